@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pelagraph.llm import ngram_jaccard, packing
-from pelagraph.llm.common import table
+from pelagraph.llm import language_id, ngram_jaccard, packing
+from pelagraph.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express.
@@ -27,3 +28,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def held_out(mod: int, is_: int):
+    return F.coalesce(crc_mod("doc_id", mod) == is_, F.lit(False))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
