@@ -7,6 +7,7 @@ row for each value: the JVM sees few rows and the arrays are sorted and counted
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,14 +18,17 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN = uuid.uuid4().hex
 _WRITTEN: list[str] = []
 
 #: Multiplier of the rolling mix (2**64 divided by the golden ratio).
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bounds of an Arrow batch; smaller settings of the session stay.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Words whose hash a Python worker remembers before it starts over.
-_MEMO_WORDS = 1_000_000
+_MEMO_WORDS = 150_000
 
 
 # ---------------------------------------------------------------- shared folder
@@ -167,7 +171,13 @@ def emit(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with small batches: a Python worker holds one batch of texts at a time."""
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            conf.set(key, most)
     return df.mapInArrow(f, schema)
 
 

@@ -10,11 +10,13 @@ How it runs, each step over all documents:
    their count, all others count as rare. This gives one global order: (count, hash).
 2. *Prefixes.* A partner of x shares at least ``o = ceil(0.75 |x|)`` of its shingles. Among the first
    ``|x| - o + m`` shingles of x, two linked documents share at least ``min(m_x, m_y)``. Each document takes
-   the ``m`` of least estimated cost: the sum of the counts in its prefix (rows to be matched) times
-   ``1 + verify / m`` (no more partners than sum / m can share m prefix shingles). A prefix that has to hold
-   frequent shingles is so lengthened, and asks for correspondingly more matches.
-3. *Classes of candidates.* Prefix entries meet by hash range, as blobs; a shingle met by two contents or
-   more ties them to its smallest. The ties' components hold every pair that could link.
+   the ``m`` of least estimated cost among 1, 2 and 4 times an eighth of its size: the entries of the prefix,
+   and a verification for each of the ``sum / m`` partners that can share m prefix shingles, where sum adds
+   up the prefix's counts. A prefix that has to hold frequent shingles is so lengthened, and asks for
+   correspondingly more matches.
+3. *Classes of candidates.* Prefix entries meet by hash range, as blobs; those that meet another content
+   stay. A document with fewer of them than any partner would ask for has no link and goes. Each shingle
+   ties the others to its smallest content. The ties' components hold every pair that could link.
 4. *Verification.* Components are cut into blocks of a bounded number of documents and shingles, and each
    pair of blocks is one group: it counts shared prefix shingles, keeps pairs with ``min(m_x, m_y)`` or
    more whose sizes allow the threshold, counts their whole intersection exactly, and returns a spanning
@@ -44,14 +46,14 @@ THRESHOLD = 75
 FREQUENT = 500_000
 #: Seen in so few documents, a shingle counts as rare.
 RARE = 3
-#: Matches that a document may ask for.
-MATCHES = (1, 2, 4, 8, 16, 32)
-#: Cost of one verification in units of one matched prefix entry.
-VERIFY = 16
+#: A document asks for an eighth of its size as shared prefix shingles, or a multiple of that.
+SHARE, MULTIPLES = 8, (1, 2, 4)
+#: Verified shingles that cost as much as one prefix entry.
+CHEAP = 16
 #: Bounds of a block of candidates.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4_000_000
-#: Hashes gathered in a task before they leave as blobs.
-FLUSH = 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Hashes gathered in a task before they leave as blobs; bytes of text cut into words at once.
+FLUSH, SLICE = 1_000_000, 2_000_000
 
 _PART = "part int, kind int, doc_id long, key long, n int, a binary, b binary"
 _PART_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -73,7 +75,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None],
         at, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t or b"")
-            if size > 24_000_000 or i + 1 == len(texts):
+            if size > SLICE or i + 1 == len(texts):
                 docs = [c.words_of(x) for x in texts[at : i + 1]]
                 yield ids[at : i + 1], np.array([c.content_key(d) for d in docs], dtype=np.int64), c.shingle_sets(docs, memo, K)
                 at, size = i + 1, 0
@@ -165,15 +167,16 @@ def _frequent(found: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.nd
 
 def prefix(shingles: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, int]:
     """The document's prefix in the order (frequency, hash), and the matches m that it asks for."""
-    n = len(shingles)
-    base = n - _overlap(n) + 1
+    n, least = len(shingles), _overlap(len(shingles))
+    ask = max(1, n // SHARE)
     rare = freq == 0
-    if int(rare.sum()) >= base:
-        return shingles[rare][:base], 1
+    if int(rare.sum()) >= n - least + ask:
+        return shingles[rare][: n - least + ask], ask
     order = np.lexsort((shingles, freq))
-    cost = np.cumsum(freq[order] + 1)
-    best = min((m for m in MATCHES if m <= max(1, _overlap(n))), key=lambda m: (cost[base + m - 2] * (1 + VERIFY / m), m))
-    return shingles[order[: base + best - 1]], best
+    met = np.cumsum(freq[order])
+    length = lambda m: n - least + m
+    best = min((ask * x for x in MULTIPLES if x == 1 or ask * x <= least), key=lambda m: (length(m) + met[length(m) - 1] / m * n / CHEAP, m))
+    return shingles[order[: length(best)]], best
 
 
 def _frequencies(sets: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], bits: int) -> list[np.ndarray]:
@@ -222,9 +225,9 @@ def _prefix_blobs(bits: int, known):
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shingle with several contents: each tied to the smallest."""
-    for _, rows in c.grouped(batches, "part"):
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix entries (shingle, content) whose shingle is in several contents' prefixes."""
+    for part, rows in c.grouped(batches, "part"):
         low = np.concatenate([c.unpack_sorted(r["a"]) for r in rows])
         raw = np.concatenate([np.frombuffer(r["b"], np.uint8).reshape(-1, 5) for r in rows])
         key = np.zeros((len(raw), 8), np.uint8)
@@ -232,11 +235,14 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = key.view("<u8").ravel().astype(np.int64)
         o = np.lexsort((key, low))
         low, key = low[o], key[o]
-        first = np.flatnonzero(np.diff(low, prepend=np.uint32(low[0] ^ np.uint32(1))))
-        centre = np.repeat(key[first], np.diff([*first, len(low)]))
-        other = key != centre
-        pairs = np.unique(np.stack([key[other], centre[other]], 1), axis=0)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(pairs[:, 0], pa.int64()), "centre": pa.array(pairs[:, 1], pa.int64())})
+        new = np.diff(low, prepend=~low[:1]) != 0
+        fresh = new | (np.diff(key, prepend=~key[:1]) != 0)
+        low, key, new = low[fresh], key[fresh], new[fresh]
+        size = np.diff([*np.flatnonzero(new), len(low)])
+        several = np.repeat(size > 1, size)
+        token = (np.int64(part) << np.int64(32)) | low[several].astype(np.int64)
+        for at in range(0, len(token), 100_000):
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token[at : at + 100_000], pa.int64()), "short": pa.array(key[several][at : at + 100_000], pa.int64())})
 
 
 def shared_counts(doc: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
@@ -325,11 +331,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = texts.where("doc_id is not null")
     entries = by_part(c.map_arrow(named, _prefix_blobs(bits, known), "part int, a binary, b binary"))
-    ties = c.map_arrow(entries, _ties, "k long, centre long")
-    cand = c.components(ties, "k", "centre").withColumnRenamed("node", "short").withColumnRenamed("label", "comp")
+    post = c.keep(c.map_arrow(entries, _shared, "token long, short long"), "entries")
 
     contents = meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    chosen = c.keep(contents.join(cand, contents["key"].bitwiseAND(F.lit(0xFFFFFFFFFF)) == cand["short"]).select("key", "doc_id", "n", "comp"), "chosen")
+    contents = contents.withColumn("short", F.col("key").bitwiseAND(F.lit(0xFFFFFFFFFF)))
+    #: No partner is smaller than the overlap, so none asks for less than its share of that.
+    asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) / SHARE))
+    alive = c.keep(contents.join(post.groupBy("short").agg(F.count("*").alias("met")), "short").where(F.col("met") >= asked).drop("met"), "alive")
+    post = post.join(alive.select("short").distinct(), "short", "left_semi")
+    centres = post.groupBy("token").agg(F.min("short").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many")
+    ties = post.join(centres, "token").where("short != centre").select("short", "centre").distinct()
+    cand = c.components(ties, "short", "centre").withColumnRenamed("node", "short").withColumnRenamed("label", "comp")
+    chosen = c.keep(alive.join(cand, "short").drop("short"), "chosen")
     sizes = chosen.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
     chosen = chosen.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
