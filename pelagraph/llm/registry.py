@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagraph.llm import language_id, ngram_jaccard, packing
-from pelagraph.llm.common import crc_mod, table
+from pelagraph.llm import language_id, lattice_lm, license_scan, mixing, ngram_jaccard, onebit_ann, packing, quality_rules, toxicity, url_filter
+from pelagraph.llm.common import crc_mod, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express.
@@ -40,3 +40,101 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.detect(docs, toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted", "best_clause")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    measured = keep(quality_rules.measure(docs), "measured")
+    judged = quality_rules.judge(measured, quality_rules.fit(measured, labels))
+    return judged.select("doc_id", *(c for c in quality_rules.COUNTS if c != "n_lines"), "base_failed", "kept", "badness")
+
+
+@query
+def op5_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# The history of the lists that the query applies.
+LIST_ENTRIES = [
+    ("gambling", "casino-win.example.com", "add", "2024-02-01"),
+    ("gambling", "casino-win.example.com", "remove", "2024-09-15"),
+    ("gambling", "casino-win.example.com", "add", "2025-03-01"),
+    ("gambling", "free-bets.example.com", "add", "2024-05-10"),
+    ("pharma", "cheap-pills.example.com", "add", "2024-01-20"),
+    ("pharma", "cheap-pills.example.com", "add", "2024-07-01"),
+    ("pharma", "cheap-pills.example.com", "remove", "2025-06-01"),
+    ("spam", "tiontion.example.net", "add", "2024-04-01"),
+    ("spam", "tiontion.example.net", "remove", "2024-04-01"),
+    ("spam", "tiontion.example.net", "add", "2024-11-01"),
+    ("spam", "blog.tionsh.example.com/fr", "add", "2024-03-01"),
+    ("spam", "blog.tionsh.example.com/fr", "remove", "2025-01-01"),
+    ("adult", "ththha.example.net/en", "add", "2024-06-01"),
+    ("adult", "m.example.org", "remove", "2024-06-01"),
+]
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no time: a capture is fetched on day page_id modulo 730 from 2024-01-01 on."""
+    return table(spark, sf_dir, "pages").withColumn("fetched_at", F.expr("date_add(DATE '2024-01-01', cast(page_id % 730 as int))"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(LIST_ENTRIES, "list string, pattern string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    return url_filter.judge(captures(spark, sf_dir), entries)
+
+
+ORACLE["op6_url_filter"] = rf"""
+WITH e0(list, pattern, action, day) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in LIST_ENTRIES)}),
+e1 AS (SELECT list, pattern, day, bool_and(action = 'add') AS is_on FROM e0 GROUP BY list, pattern, day),
+e2 AS (SELECT *, lag(is_on) OVER (PARTITION BY list, pattern ORDER BY day) AS before FROM e1),
+e3 AS (SELECT * FROM e2 WHERE is_on <> coalesce(before, false)),
+e4 AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_until FROM e3),
+spans AS (SELECT list, pattern, day AS valid_from, valid_until FROM e4 WHERE is_on),
+cap AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS DATE) AS fetched_at,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.|\.$', '', 'g') AS host,
+    rtrim(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/') AS p
+  FROM pages),
+hits AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, min(valid_from) AS listed_since
+  FROM cap JOIN spans ON fetched_at >= valid_from AND (valid_until IS NULL OR fetched_at < valid_until) AND host <> ''
+    AND (host = pattern OR ends_with(host, '.' || pattern) OR contains(pattern, '/') AND starts_with(host || p || '/', pattern || '/'))
+  GROUP BY page_id)
+SELECT cap.page_id, host, fetched_at, lists, listed_since, lists IS NOT NULL AS blocked FROM cap LEFT JOIN hits ON cap.page_id = hits.page_id
+"""
+
+
+@query
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = crc_mod("doc_id", 7)
+    return lattice_lm.score(table(spark, sf_dir, "documents"), remainder == 2, remainder != 2)
+
+
+@query
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_poisson_mixing"] = f"""
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
+terms AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM rates, range(0, 120) t(k) WHERE k <= ceil(rate + 9 * sqrt(rate) + 24)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+u AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents)
+SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= u.u
+"""
+QUERIES = dict(sorted(QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0])))
