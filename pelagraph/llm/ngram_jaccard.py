@@ -52,6 +52,8 @@ SHARE, MULTIPLES = 8, (1, 2, 4)
 CHEAP = 16
 #: Bounds of a block of candidates.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Candidates (under 50 bytes each) that a join may broadcast.
+BROADCAST_ROWS = 500_000
 #: Hashes gathered in a task before they leave as blobs; bytes of text cut into words at once.
 FLUSH, SLICE = 1_000_000, 2_000_000
 
@@ -317,6 +319,11 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(keys[child], pa.int64()), "b": pa.array(keys[[root(x) for x in child]], pa.int64())})
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted rows stay within a fixed bound; else Catalyst shuffles both sides."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of docs: (doc_id, n_shingles, component_id); see the module's text."""
     spark = docs.sparkSession
@@ -338,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     #: No partner is smaller than the overlap, so none asks for less than its share of that.
     asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) / SHARE))
     alive = c.keep(contents.join(post.groupBy("short").agg(F.count("*").alias("met")), "short").where(F.col("met") >= asked).drop("met"), "alive")
-    post = post.join(alive.select("short").distinct(), "short", "left_semi")
+    post = post.join(_small(alive.select("short").distinct()), "short", "left_semi")
     centres = post.groupBy("token").agg(F.min("short").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many")
     ties = post.join(centres, "token").where("short != centre").select("short", "centre").distinct()
     cand = c.components(ties, "short", "centre").withColumnRenamed("node", "short").withColumnRenamed("label", "comp")
@@ -359,7 +366,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rest = part.select(["key", "comp", "blk", "blocks"]).take(pa.array(fits, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([m for _, m in pre], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([p.tobytes() for p, _ in pre], pa.binary())], names=["key", "comp", "blk", "blocks", "asked", "shingles", "prefix"])
 
-    wanted = named.join(chosen, "doc_id").select("text", "key", "comp", "blk", "blocks")
+    wanted = named.join(_small(chosen), "doc_id").select("text", "key", "comp", "blk", "blocks")
     sets = c.map_arrow(wanted, fetch, "key long, comp long, blk int, blocks int, asked int, shingles binary, prefix binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other", "blocks")
