@@ -45,7 +45,7 @@ def create(lo: Lowering, s: State, c: Clause) -> State:
                 raise QueryError(f"a created {t.label} needs its key {t.key}")
             lo.catalog.replace_node(t.label, _append(t.df, s.df.select(*(v.alias(k) for k, v in values.items()))))
             name = n.var = n.var or f"_v{next(lo.fresh)}"
-            df = s.df.select("*", values[t.key].alias(f"{name}__id"), *(v.alias(f"{name}__{k}") for k, v in values.items()))
+            df = s.df.select("*", values[t.key].alias(f"{name}___id"), *(v.alias(f"{name}__{k}") for k, v in values.items()))
             s = State(df, {**s.scope, name: Bound("node", name, (t.label,), tuple(values))}, False, s.carry)
         for i in range(1, len(p.parts), 2):
             r: RelPattern = p.parts[i]
@@ -70,7 +70,7 @@ def _insert_rel(lo: Lowering, s: State, r: RelPattern, a: NodePattern, b: NodePa
     i = _pair(lo, s, r, a, b)
     pair = lo.catalog.rel(r.types[0]).pairs[i]
     values = _typed(lo, s, r.props, pair.df)
-    new = rows.select(s.scope[a.var].col("id").alias("_src"), s.scope[b.var].col("id").alias("_dst"), *(v.alias(k) for k, v in values.items()))
+    new = rows.select(s.scope[a.var].col("_id").alias("_src"), s.scope[b.var].col("_id").alias("_dst"), *(v.alias(k) for k, v in values.items()))
     lo.catalog.replace_pair(r.types[0], i, _append(pair.df, new))
 
 
@@ -115,7 +115,7 @@ def _merge_node(lo: Lowering, s: State, c: Clause, n: NodePattern) -> State:
         df, bound = lo.scan(n.var, n.var, n.labels, [], s)
         whole = lo.catalog.node(t.label).df.select(F.col(t.key).alias("_m"), *(F.col(k).alias(f"_m_{k}") for k in values))
         row = s.df.select("*", *(v.alias(f"_w_{k}") for k, v in values.items())).join(whole, reduce(lambda a, b: a & b, (F.col(f"_w_{k}").eqNullSafe(F.col(f"_m_{k}")) for k in values)))
-        row = row.join(df, F.col("_m") == F.col(f"{n.var}__id")).drop("_m", *(f"_{x}_{k}" for k in values for x in "mw"))
+        row = row.join(df, F.col("_m") == F.col(f"{n.var}___id")).drop("_m", *(f"_{x}_{k}" for k in values for x in "mw"))
         return State(row, {**s.scope, n.var: bound}, False, s.carry)
     return s
 
@@ -128,9 +128,9 @@ def _merge_rel(lo: Lowering, s: State, c: Clause, parts: list) -> State:
         a, b = b, a
     i = _pair(lo, s, r, a, b)
     pair = lo.catalog.rel(r.types[0]).pairs[i]
-    rows = s.df.dropDuplicates([f"{s.scope[a.var].name}__id", f"{s.scope[b.var].name}__id"])
+    rows = s.df.dropDuplicates([f"{s.scope[a.var].name}___id", f"{s.scope[b.var].name}___id"])
     there = pair.df.select(F.col("_src").alias("_ms"), F.col("_dst").alias("_md")).distinct()
-    new = rows.join(there, (s.scope[a.var].col("id") == F.col("_ms")) & (s.scope[b.var].col("id") == F.col("_md")), "left_anti")
+    new = rows.join(there, (s.scope[a.var].col("_id") == F.col("_ms")) & (s.scope[b.var].col("_id") == F.col("_md")), "left_anti")
     _insert_rel(lo, s, RelPattern(r.var, r.types, [*r.props, *_sets(c.on_create, r.var)], "out"), a, b, new)
     return s
 
@@ -143,13 +143,13 @@ def set_properties(lo: Lowering, s: State, c: Clause) -> State:
         if b.kind == "node":
             for label in b.labels:
                 t = lo.catalog.node(label)
-                new = s.df.select(b.col("id").alias("_sid"), lo.value(s, e).cast(t.df.schema[prop].dataType).alias("_new")).groupBy("_sid").agg(F.last("_new").alias("_new"))
+                new = s.df.select(b.col("_id").alias("_sid"), lo.value(s, e).cast(t.df.schema[prop].dataType).alias("_new")).groupBy("_sid").agg(F.last("_new").alias("_new"))
                 df = t.df.join(new, t.df[t.key] == F.col("_sid"), "left")
                 lo.catalog.replace_node(label, df.withColumn(prop, F.when(F.col("_sid").isNotNull(), F.col("_new")).otherwise(F.col(prop))).select(*t.df.columns))
         else:
             for name in b.labels:
                 for i, pair in enumerate(lo.catalog.rel(name).pairs):
-                    new = s.df.select(b.col("src").alias("_a"), b.col("dst").alias("_b"), lo.value(s, e).cast(pair.df.schema[prop].dataType).alias("_new")).groupBy("_a", "_b").agg(F.last("_new").alias("_new"))
+                    new = s.df.select(b.col("_src").alias("_a"), b.col("_dst").alias("_b"), lo.value(s, e).cast(pair.df.schema[prop].dataType).alias("_new")).groupBy("_a", "_b").agg(F.last("_new").alias("_new"))
                     df = pair.df.join(new, (F.col("_src") == F.col("_a")) & (F.col("_dst") == F.col("_b")), "left")
                     lo.catalog.replace_pair(name, i, df.withColumn(prop, F.when(F.col("_a").isNotNull(), F.col("_new")).otherwise(F.col(prop))).select(*pair.df.columns))
     return s
@@ -161,12 +161,12 @@ def delete(lo: Lowering, s: State, c: Clause) -> State:
         if b is None or b.kind not in ("node", "rel"):
             raise QueryError(f"DELETE needs a matched node or relationship, not {var}")
         if b.kind == "rel":
-            gone = s.df.select(b.col("src").alias("_a"), b.col("dst").alias("_b")).distinct()
+            gone = s.df.select(b.col("_src").alias("_a"), b.col("_dst").alias("_b")).distinct()
             for name in b.labels:
                 for i, pair in enumerate(lo.catalog.rel(name).pairs):
                     lo.catalog.replace_pair(name, i, pair.df.join(gone, (pair.df["_src"] == gone["_a"]) & (pair.df["_dst"] == gone["_b"]), "left_anti"))
             continue
-        gone = s.df.select(b.col("id").alias("_gone")).distinct()
+        gone = s.df.select(b.col("_id").alias("_gone")).distinct()
         for label in b.labels:
             t = lo.catalog.node(label)
             lo.catalog.replace_node(label, t.df.join(gone, t.df[t.key] == gone["_gone"], "left_anti"))

@@ -1,7 +1,7 @@
 """Syntax tree -> DataFrame.
 
-A query part is one DataFrame. A node variable ``a`` is the columns ``a__id`` (its key) and ``a__<property>``, a
-relationship the columns ``r__src``, ``r__dst``, ``r__type`` and its properties, a path one struct, any other
+A query part is one DataFrame. A node variable ``a`` is the columns ``a___id`` (its key) and ``a__<property>``, a
+relationship the columns ``r___src``, ``r___dst``, ``r___type`` and its properties, a path one struct, any other
 variable one column. Columns stay flat, so Catalyst prunes them and pushes predicates into the scans.
 
 An endpoint's table is joined only if the query uses one of its properties, or its label says more than the
@@ -51,9 +51,9 @@ class Bound:
 
     def all_columns(self) -> list[str]:
         if self.kind == "node":
-            return [f"{self.name}__id", *([f"{self.name}__label"] if len(self.labels) != 1 else []), *(f"{self.name}__{p}" for p in self.columns)]
+            return [f"{self.name}___id", *([f"{self.name}___label"] if len(self.labels) != 1 else []), *(f"{self.name}__{p}" for p in self.columns)]
         if self.kind == "rel":
-            return [f"{self.name}__{p}" for p in ("src", "dst", "type", *self.columns)]
+            return [f"{self.name}__{p}" for p in ("_src", "_dst", "_type", *self.columns)]
         return [self.name]
 
 
@@ -253,9 +253,9 @@ class Lowering:
             df = t.df
             for k, e in props:
                 df = df.where(semantics.compare("=", F.col(f"`{k}`"), F.lit(self.constant(e)), True, False) if k in t.properties else F.lit(False))
-            cols = [F.col(f"`{t.key}`").alias(f"{name}__id")]
+            cols = [F.col(f"`{t.key}`").alias(f"{name}___id")]
             if len(labels) > 1:
-                cols = [F.col(f"`{t.key}`").cast("string").alias(f"{name}__id"), F.lit(t.label).alias(f"{name}__label")] if self.mixed(labels) else [*cols, F.lit(t.label).alias(f"{name}__label")]
+                cols = [F.col(f"`{t.key}`").cast("string").alias(f"{name}___id"), F.lit(t.label).alias(f"{name}___label")] if self.mixed(labels) else [*cols, F.lit(t.label).alias(f"{name}___label")]
             frames.append(df.select(*cols, *(F.col(f"`{p}`").alias(f"{name}__{p}") for p in props_wanted if p in t.properties)))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
         return df, Bound("node", name, tuple(labels), tuple(props_wanted))
@@ -333,9 +333,9 @@ class Lowering:
             for k, e in r.props:
                 df = df.where(semantics.compare("=", F.col(f"`{k}`"), F.lit(self.constant(e)), True, False) if k in pair.properties else F.lit(False))
             a, b = ("_dst", "_src") if back else ("_src", "_dst")
-            cols = [F.col(a).alias(f"{name}__from"), F.col(b).alias(f"{name}__to"), F.col("_src").alias(f"{name}__src"), F.col("_dst").alias(f"{name}__dst"), F.lit(t).alias(f"{name}__type")]
+            cols = [F.col(a).alias(f"{name}___from"), F.col(b).alias(f"{name}___to"), F.col("_src").alias(f"{name}___src"), F.col("_dst").alias(f"{name}___dst"), F.lit(t).alias(f"{name}___type")]
             if ends:
-                cols += [F.lit(pair.target if back else pair.source).alias(f"{name}__fl"), F.lit(pair.source if back else pair.target).alias(f"{name}__tl")]
+                cols += [F.lit(pair.target if back else pair.source).alias(f"{name}___fl"), F.lit(pair.source if back else pair.target).alias(f"{name}___tl")]
             frames.append(df.select(*cols, *(F.col(f"`{p}`").alias(f"{name}__{p}") for p in wanted if p in pair.properties)))
         if not frames:
             raise QueryError(f"no relationship table fits {'|'.join(r.types) or 'the pattern'}")
@@ -346,7 +346,7 @@ class Lowering:
         if b.kind != "node":
             raise QueryError(f"{n.var} is no node")
         if n.labels and not set(b.labels) <= set(n.labels):
-            s = State(s.df.where(b.col("label").isin(n.labels) if len(b.labels) != 1 else F.lit(False)), s.scope, s.empty, s.carry)
+            s = State(s.df.where(b.col("_label").isin(n.labels) if len(b.labels) != 1 else F.lit(False)), s.scope, s.empty, s.carry)
         for k, e in n.props:
             s = self.where(s, E("compare", op="=", a=E("prop", of=E("var", name=n.var), name=k), b=e))
         return s
@@ -357,7 +357,7 @@ class Lowering:
         found = self.pairs(r, a.labels, b.labels)
         label = found[0][1].target if found[0][2] else found[0][1].source
         e, bound = self.edges(r.var, r, found, True)
-        e = e.withColumn(f"{a.var}__id", F.col(f"{r.var}__from")).drop(f"{r.var}__from", f"{r.var}__fl")
+        e = e.withColumn(f"{a.var}___id", F.col(f"{r.var}___from")).drop(f"{r.var}___from", f"{r.var}___fl")
         self._started = r
         return State(e if s.empty else s.df.crossJoin(e), {**s.scope, a.var: Bound("node", a.var, (label,), ()), r.var: bound}, False, s.carry)
 
@@ -368,21 +368,21 @@ class Lowering:
         if r.var in s.scope and s.scope[r.var].kind == "rel":
             raise QueryError(f"relationship {r.var} is bound twice")
         e, bound = self.edges(r.var, r, found, True)
-        on = start.col("id") == F.col(f"{r.var}__from")
+        on = start.col("_id") == F.col(f"{r.var}___from")
         if len(start.labels) != 1:
-            on = (start.col("id").cast("string") == F.col(f"{r.var}__from").cast("string")) & (start.col("label") == F.col(f"{r.var}__fl"))
+            on = (start.col("_id").cast("string") == F.col(f"{r.var}___from").cast("string")) & (start.col("_label") == F.col(f"{r.var}___fl"))
         if b.var in s.scope:  # both ends in one join condition
             end = s.scope[b.var]
-            on = on & (end.col("id").cast("string") == F.col(f"{r.var}__to").cast("string") if len(end.labels) != 1 else end.col("id") == F.col(f"{r.var}__to"))
-        df = s.df.join(e, on).drop(f"{r.var}__from", f"{r.var}__fl")
+            on = on & (end.col("_id").cast("string") == F.col(f"{r.var}___to").cast("string") if len(end.labels) != 1 else end.col("_id") == F.col(f"{r.var}___to"))
+        df = s.df.join(e, on).drop(f"{r.var}___from", f"{r.var}___fl")
         return self.arrive(State(df, {**s.scope, r.var: bound}, False, s.carry), r, b, bound)
 
     def arrive(self, s: State, r: RelPattern, b: NodePattern, rel: Bound) -> State:
         """Bind the end of a step, which the columns __to and __tl of the relationship name."""
-        to, label = f"{r.var}__to", f"{r.var}__tl"
+        to, label = f"{r.var}___to", f"{r.var}___tl"
         if b.var in s.scope:
             end = s.scope[b.var]
-            same = end.col("id") == F.col(to) if len(end.labels) == 1 else (end.col("id").cast("string") == F.col(to).cast("string")) & (end.col("label") == F.col(label))
+            same = end.col("_id") == F.col(to) if len(end.labels) == 1 else (end.col("_id").cast("string") == F.col(to).cast("string")) & (end.col("_label") == F.col(label))
             s = State(s.df.where(same).drop(to, label), s.scope, False, s.carry)
             return self.check_node(s, b)
         ends = self.end_labels(r, b)
@@ -390,15 +390,15 @@ class Lowering:
         wanted = self.wants(b.var, props)
         keys = {self.catalog.node(x).key for x in ends}
         if len(ends) == 1 and not b.props and set(wanted) <= keys and not (self.needed.get(b.var, set()) - {"*"} - set(props)):
-            df = s.df.withColumnRenamed(to, f"{b.var}__id").drop(label)
+            df = s.df.withColumnRenamed(to, f"{b.var}___id").drop(label)
             bound = Bound("node", b.var, tuple(ends), tuple(wanted))
             for w in wanted:
-                df = df.withColumn(f"{b.var}__{w}", F.col(f"{b.var}__id"))
+                df = df.withColumn(f"{b.var}__{w}", F.col(f"{b.var}___id"))
             return State(df, {**s.scope, b.var: bound}, False, s.carry)
         df, bound = self.scan(b.var, b.var, ends, b.props, s)
-        on = F.col(to) == F.col(f"{b.var}__id")
+        on = F.col(to) == F.col(f"{b.var}___id")
         if len(ends) > 1:
-            on = (F.col(to).cast("string") == F.col(f"{b.var}__id").cast("string")) & (F.col(label) == F.col(f"{b.var}__label"))
+            on = (F.col(to).cast("string") == F.col(f"{b.var}___id").cast("string")) & (F.col(label) == F.col(f"{b.var}___label"))
         return State(s.df.join(df, on).drop(to, label), {**s.scope, b.var: bound}, False, s.carry)
 
     def end_labels(self, r: RelPattern, b: NodePattern) -> list[str]:
@@ -420,13 +420,13 @@ class Lowering:
             mine.needed = uses(test)
             e, rel = mine.edges("_hop", RelPattern(rv, r.types, r.props, r.direction), found, False)
             nodes, node = mine.scan(nv, "_hopnode", [label], [], s)
-            e = e.join(nodes, F.col("_hop__to") == F.col("_hopnode__id"))
+            e = e.join(nodes, F.col("_hop___to") == F.col("_hopnode___id"))
             e = mine.where(State(e, {rv: rel, nv: node}, False), test).df
         else:
             e, _ = self.edges("_hop", RelPattern(None, r.types, r.props, r.direction), found, False)
-        e = e.select(F.col("_hop__from").alias("_f"), F.col("_hop__to").alias("_t"), F.concat_ws("|", "_hop__type", F.col("_hop__src").cast("string"), F.col("_hop__dst").cast("string")).alias("_e"))
-        vis, rels, end = f"{r.var}__nodes", f"{r.var}__rels", f"{r.var}__to"
-        at = s.df.withColumn(vis, F.array(start.col("id"))).withColumn(rels, F.array().cast("array<string>")).withColumn(end, start.col("id"))
+        e = e.select(F.col("_hop___from").alias("_f"), F.col("_hop___to").alias("_t"), F.concat_ws("|", "_hop___type", F.col("_hop___src").cast("string"), F.col("_hop___dst").cast("string")).alias("_e"))
+        vis, rels, end = f"{r.var}___nodes", f"{r.var}___rels", f"{r.var}___to"
+        at = s.df.withColumn(vis, F.array(start.col("_id"))).withColumn(rels, F.array().cast("array<string>")).withColumn(end, start.col("_id"))
         levels = [at] if lo == 0 else []
         depth = 0
         while hi is None or depth < hi:
@@ -443,7 +443,7 @@ class Lowering:
                 levels.append(step)
             at = step
         df = reduce(lambda x, y: x.unionByName(y), levels) if levels else at.limit(0)
-        df = df.withColumn(f"{r.var}__tl", F.lit(label))
+        df = df.withColumn(f"{r.var}___tl", F.lit(label))
         scope = {**s.scope, r.var: Bound("hops", r.var)}
         return self.arrive(State(df, scope, False, s.carry), RelPattern(r.var, r.types, r.props, r.direction), b, scope[r.var])
 
@@ -455,12 +455,12 @@ class Lowering:
             if kind == "node":
                 if i and s.scope[made[i - 1][1]].kind == "hops":
                     continue  # the hops hold their end
-                nodes.append(F.array(b.col("id").cast("string")))
+                nodes.append(F.array(b.col("_id").cast("string")))
             elif b.kind == "hops":
-                nodes.append(F.transform(F.slice(F.col(f"{var}__nodes"), F.lit(2), F.size(f"{var}__nodes")), lambda x: x.cast("string")))
-                rels.append(F.col(f"{var}__rels"))
+                nodes.append(F.transform(F.slice(F.col(f"{var}___nodes"), F.lit(2), F.size(f"{var}___nodes")), lambda x: x.cast("string")))
+                rels.append(F.col(f"{var}___rels"))
             else:
-                rels.append(F.array(F.concat_ws("|", b.col("type"), b.col("src").cast("string"), b.col("dst").cast("string"))))
+                rels.append(F.array(F.concat_ws("|", b.col("_type"), b.col("_src").cast("string"), b.col("_dst").cast("string"))))
         value = F.struct(F.concat(*nodes).alias("nodes"), (F.concat(*rels) if rels else F.array().cast("array<string>")).alias("rels"))
         return State(s.df.withColumn(name, value), {**s.scope, name: Bound("path", name)}, False, s.carry)
 
@@ -469,9 +469,9 @@ class Lowering:
         df, on = right.df, on_more
         for v in shared:
             a, b = left.scope[v], right.scope[v]
-            df = df.withColumnRenamed(f"{b.name}__id", f"_j_{v}")
+            df = df.withColumnRenamed(f"{b.name}___id", f"_j_{v}")
             df = df.drop(*(x for x in b.all_columns() if x in left.df.columns))
-            same = a.col("id") == F.col(f"_j_{v}")
+            same = a.col("_id") == F.col(f"_j_{v}")
             on = same if on is None else on & same
         df = df.drop(*(x for x in df.columns if x in left.df.columns))
         out = left.df.join(df, on, how).drop(*(f"_j_{v}" for v in shared))
@@ -542,14 +542,14 @@ class Lowering:
             raise QueryError("a subquery without a shared variable is not supported in this place")
         on, outer = F.lit(True), []
         for v in shared:
-            on = on & (s.scope[v].col("id") == got.scope[tag + v].col("id"))
-            outer.append(f"{s.scope[v].name}__id")
+            on = on & (s.scope[v].col("_id") == got.scope[tag + v].col("_id"))
+            outer.append(f"{s.scope[v].name}___id")
         both = State(s.df.limit(0).crossJoin(got.df.limit(0)), {**s.scope, **got.scope}, False)
         for part in outside:
             on = on & self.value(both, part, filtering=True)
             for v, props in uses(part).items():
                 if v in s.scope:
-                    outer += s.scope[v].all_columns() if "*" in props else [f"{s.scope[v].name}__{'id' if self.is_key(s.scope[v], p) else p}" for p in props]
+                    outer += s.scope[v].all_columns() if "*" in props else [f"{s.scope[v].name}__{'_id' if self.is_key(s.scope[v], p) else p}" for p in props]
         return got.df, on, list(dict.fromkeys(outer))
 
     def is_key(self, b: Bound, prop: str) -> bool:
@@ -642,7 +642,7 @@ class Lowering:
         for i, (e, _) in enumerate(order):
             hit = next((n for x, n in items if x == e or e == E("var", name=n)), None)
             if hit is not None and scope[hit].kind in ("node", "rel"):
-                hit = f"{scope[hit].name}__{'id' if scope[hit].kind == 'node' else 'src'}"
+                hit = f"{scope[hit].name}__{'_id' if scope[hit].kind == 'node' else '_src'}"
             if hit is None:
                 hit = f"_o{i}"
                 extra.append((hit, e))
@@ -710,9 +710,9 @@ class Lowering:
         arg = e.args[0]
         if e.name == "count" and arg.kind == "var" and arg.name in s.scope and s.scope[arg.name].kind in ("node", "rel"):
             b = s.scope[arg.name]
-            x = b.col("id") if b.kind == "node" else F.struct(b.col("type"), b.col("src"), b.col("dst"))
+            x = b.col("_id") if b.kind == "node" else F.struct(b.col("_type"), b.col("_src"), b.col("_dst"))
             if b.kind == "rel":
-                x = F.when(b.col("src").isNotNull(), x)
+                x = F.when(b.col("_src").isNotNull(), x)
         else:
             x = self.value(s, arg)
         if e.name == "count_if":
@@ -788,7 +788,7 @@ class Lowering:
         if k == "not":
             return ~semantics.truth(v(e.a))
         if k == "null":
-            x = v(e.a) if not (e.a.kind == "var" and e.a.name in s.scope and s.scope[e.a.name].kind in ("node", "rel")) else s.scope[e.a.name].col("id" if s.scope[e.a.name].kind == "node" else "src")
+            x = v(e.a) if not (e.a.kind == "var" and e.a.name in s.scope and s.scope[e.a.name].kind in ("node", "rel")) else s.scope[e.a.name].col("_id" if s.scope[e.a.name].kind == "node" else "_src")
             return x.isNotNull() if e.negated else x.isNull()
         if k == "list":
             return F.array(*map(v, e.items)) if e.items else F.array().cast("array<string>")
@@ -856,13 +856,13 @@ class Lowering:
             raise QueryError(f"unknown variable {name}")
         b = s.scope[name]
         if b.kind == "node":
-            label = F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("label")
-            parts = [F.concat(label, F.lit(":"), b.col("id").cast("string")).alias("_id"), label.alias("_label"), *(b.col(p).alias(p) for p in b.columns)]
-            return F.when(b.col("id").isNotNull(), F.struct(*parts))
+            label = F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("_label")
+            parts = [F.concat(label, F.lit(":"), b.col("_id").cast("string")).alias("_id"), label.alias("_label"), *(b.col(p).alias(p) for p in b.columns)]
+            return F.when(b.col("_id").isNotNull(), F.struct(*parts))
         if b.kind == "rel":
-            return F.when(b.col("src").isNotNull(), F.struct(b.col("type").alias("_type"), b.col("src").cast("string").alias("_src"), b.col("dst").cast("string").alias("_dst"), *(b.col(p).alias(p) for p in b.columns)))
+            return F.when(b.col("_src").isNotNull(), F.struct(b.col("_type").alias("_type"), b.col("_src").cast("string").alias("_src"), b.col("_dst").cast("string").alias("_dst"), *(b.col(p).alias(p) for p in b.columns)))
         if b.kind == "hops":
-            return F.col(f"`{name}__rels`")
+            return F.col(f"`{name}___rels`")
         return F.col(f"`{name}`")
 
     def property(self, s: State, e: Expr, local: Local) -> Column:
@@ -872,7 +872,7 @@ class Lowering:
                 if e.name in b.columns:
                     return b.col(e.name)
                 if self.is_key(b, e.name):
-                    return b.col("id")
+                    return b.col("_id")
                 raise QueryError(f"{e.of.name} has no property {e.name}")
         return self.value(s, e.of, local).getField(e.name)
 
@@ -887,13 +887,13 @@ class Lowering:
         if e.args and e.args[0].kind == "var" and e.args[0].name in s.scope and not (local and e.args[0].name in local):
             b = s.scope[e.args[0].name]
             if b.kind == "node" and name in ("label", "labels"):
-                return F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("label")
+                return F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("_label")
             if b.kind == "node" and name == "id":
-                return F.concat(F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("label"), F.lit(":"), b.col("id").cast("string"))
+                return F.concat(F.lit(b.labels[0]) if len(b.labels) == 1 else b.col("_label"), F.lit(":"), b.col("_id").cast("string"))
             if b.kind == "rel" and name in ("type", "relationship_type", "label"):
-                return b.col("type")
+                return b.col("_type")
             if b.kind == "hops" and name in ("length", "size", "len"):
-                return F.size(F.col(f"`{b.name}__rels`")).cast("long")
+                return F.size(F.col(f"`{b.name}___rels`")).cast("long")
         if name in self.session.scalar_functions:
             return self.session.scalar_functions[name](*(self.value(s, a, local) for a in e.args))
         if name not in SCALARS:

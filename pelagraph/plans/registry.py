@@ -197,7 +197,7 @@ text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
 text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", f"{_BOTH}, w AS (SELECT p_partkey AS node, p_partkey AS c FROM part UNION SELECT u.y, w.c FROM w JOIN u ON w.node = u.x WHERE w.c < u.y) SELECT node, min(c) AS component_id FROM w GROUP BY 1")
 text("algo_sssp", "CALL sssp('CO_ORDERED', 1) YIELD node, distance RETURN node, distance", f"{_EDGES}, w AS (SELECT 1::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < {CO_ORDERED_PARTS}) SELECT p_partkey AS node, min(d)::DOUBLE AS distance FROM part LEFT JOIN w ON w.node = p_partkey GROUP BY 1")
-text("algo_sssp_both", "CALL sssp('CO_ORDERED', 5, 'BOTH') YIELD node, distance WHERE distance < 3 RETURN node, distance", f"{_BOTH}, w AS (SELECT 5::BIGINT AS node, 0 AS d UNION SELECT u.y, d + 1 FROM w JOIN u ON w.node = u.x WHERE d < 2) SELECT node, min(d)::DOUBLE AS distance FROM w GROUP BY 1")
+text("algo_sssp_both", "CALL sssp('CO_ORDERED', 5, 'BOTH') YIELD node, distance WHERE distance IS NOT NULL AND distance < 3 RETURN node, distance", f"{_BOTH}, w AS (SELECT 5::BIGINT AS node, 0 AS d UNION SELECT u.y, d + 1 FROM w JOIN u ON w.node = u.x WHERE d < 2) SELECT node, min(d)::DOUBLE AS distance FROM w GROUP BY 1")
 text("algo_k_hop", "CALL k_hop('CO_ORDERED', 2, 2) YIELD node, hops RETURN node, hops", f"{_EDGES}, w AS (SELECT 2::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 2) SELECT node, min(d)::BIGINT AS hops FROM w GROUP BY 1 HAVING min(d) > 0")
 text("algo_paths", "CALL variable_length_path('CO_ORDERED', 55, 2) YIELD target, length, path RETURN target, length, path", f"{_EDGES}, w AS (SELECT y, [55, y] AS p FROM e WHERE x = 55 UNION ALL SELECT e.y, list_append(p, e.y) FROM w JOIN e ON w.y = e.x WHERE len(p) < 3) SELECT y AS target, len(p) - 1 AS length, p AS path FROM w")
 text("algo_scc", "CALL scc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", "SELECT p_partkey AS node, p_partkey AS component_id FROM part")
