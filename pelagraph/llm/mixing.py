@@ -7,8 +7,8 @@ their count and dealt to partitions by another hash of seed, id, text and copy,
 shuffle.
 
 DataFrame functions only. The cumulated Poisson probabilities of a source are one array in its row of the
-rate table (one row a source); joining it is left to Catalyst, which broadcasts it where it is small and
-splits skewed partitions of hot sources where it is not.
+rate table (one row a source). The table is broadcast if it has at most ``SOURCES`` rows, counted; beyond, the
+join is Catalyst's, which splits skewed partitions of hot sources.
 
 Defined results: weights None: shares in proportion to ``n ** TEMPER``. A source without weight gets none of
 its documents copied; a weight without source is left out, and the rest is scaled to sum to 1. Null source
@@ -29,6 +29,8 @@ from pelagraph.llm import common as c
 TEMPER = 0.5
 SEED = 17
 MAX_RATE = 200.0
+#: Sources (a row of at most 3 KB each) whose rates are broadcast; beyond, Catalyst chooses the join.
+SOURCES = 5_000
 #: Columns that the replication adds, and removes again.
 _SOURCE, _CDF, _COPY = "_mix_source", "_mix_cdf", "_mix_copy"
 
@@ -74,7 +76,10 @@ def uniform(id_col: str, text_col: str, *more: Column | str, seed: int = SEED) -
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with _mix_copy: how often each row is to appear (rows of sources without weight have gone)."""
-    table = rates(docs, source_col, weights, temper, total).select(F.col("source").alias(_SOURCE), cdf(F.col("rate")).alias(_CDF))
+    table = rates(docs, source_col, weights, temper, total)
+    few = table.limit(SOURCES + 1).count() <= SOURCES
+    table = table.select(F.col("source").alias(_SOURCE), cdf(F.col("rate")).alias(_CDF))
+    table = F.broadcast(table) if few else table
     joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(_SOURCE)))
     u = uniform(id_col, text_col, seed=seed)
     return joined.withColumn(_COPY, F.size(F.filter(_CDF, lambda p: p <= u))).drop(_SOURCE, _CDF)
