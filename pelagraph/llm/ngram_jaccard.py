@@ -382,9 +382,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, one of each class: its smallest doc_id. Rows without doc_id stay (they link with nothing)."""
     found = c.keep(jaccard_components(docs, id_col, text_col), "classes")
-    first = found.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = first.select(F.col("doc_id").alias("_first"))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_first"), "left_semi")
-    if first.where("count > 1").take(1):  # repeated ids: one row of each
-        named = named.dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("many"))
+    later = ids.where("not first").select(F.col("doc_id").alias("_later"))
+    rows = docs.join(_small(later), F.col(id_col) == F.col("_later"), "left_anti")
+    if ids.where("many > 1").take(1):  # repeated ids: one row of each
+        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
+    return rows
