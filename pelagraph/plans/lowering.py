@@ -283,7 +283,7 @@ class Lowering:
             return self.join_states(s, fresh, "inner")
         else:
             first_rel = parts[1] if len(parts) > 1 else None
-            if first_rel is not None and first_rel.hops is None and not first.props and not self.wants(first.var, self.properties_of(first.labels)) and self.implied(first, first_rel, parts[2]):
+            if first_rel is not None and first_rel.hops is None and not first.props and self.implied(first, first_rel, parts[2]) and self.key_only(first, first_rel, parts[2]):
                 s = self.from_rel(s, first, first_rel, parts[2])
             else:
                 df, bound = self.scan(first.var, first.var, first.labels, first.props, s)
@@ -320,6 +320,11 @@ class Lowering:
         ends = {(p.target if back else p.source) for _, p, back in self.pairs(r, n.labels, b.labels)}
         return len(ends) == 1
 
+    def key_only(self, n: NodePattern, r: RelPattern, b: NodePattern) -> bool:
+        _, p, back = self.pairs(r, n.labels, b.labels)[0]
+        table = self.catalog.node(p.target if back else p.source)
+        return set(self.wants(n.var, table.properties)) | (self.needed.get(n.var, set()) - {"*"}) <= {table.key}
+
     def edges(self, name: str, r: RelPattern, found: list[tuple[str, RelPair, bool]], ends: bool) -> tuple[DataFrame, Bound]:
         """Relationship rows with from and to as the pattern walks them; ends: with their labels."""
         every = list(dict.fromkeys(p for _, pair, _ in found for p in pair.properties))
