@@ -28,12 +28,12 @@ def _dump(v: Any) -> str:
 
 
 def holds(whole: Any, piece: Any) -> bool:
-    """Whether piece is contained: objects by key, arrays by element, scalars by equality."""
+    """Whether piece is contained: objects by key, arrays by element, anything else by equality."""
     if isinstance(whole, dict) and isinstance(piece, dict):
         return all(k in whole and holds(whole[k], v) for k, v in piece.items())
-    if isinstance(whole, list):
-        return all(any(holds(x, y) for x in whole) for y in piece) if isinstance(piece, list) else any(holds(x, piece) for x in whole)
-    return type(whole) is type(piece) and whole == piece or not isinstance(whole, bool) and not isinstance(piece, bool) and isinstance(whole, (int, float)) and isinstance(piece, (int, float)) and whole == piece
+    if isinstance(whole, list) and isinstance(piece, list):
+        return all(any(holds(x, y) for x in whole) for y in piece)
+    return type(whole) is type(piece) and whole == piece
 
 
 def merge_patch(target: Any, patch: Any) -> Any:
@@ -60,8 +60,10 @@ def structure(v: Any) -> Any:
 @F.pandas_udf(T.BooleanType())
 def _contains(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
+        if x is None or y is None:
+            return None
         (ok, v), (ok2, w) = _load(x), _load(y)
-        return holds(v, w) if ok and ok2 else None
+        return ok and ok2 and holds(v, w)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 

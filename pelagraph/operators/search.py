@@ -123,6 +123,13 @@ class TextIndex:
         postings = words.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
         return TextIndex(cut(postings, "postings"), lengths, table, tuple(properties), stemmed)
 
+    def updated(self, rows: DataFrame, key: str) -> TextIndex:
+        """With the documents of rows added or replaced."""
+        new = TextIndex.build(rows, key, list(self.properties), self.stemmed, self.table)
+        gone = new.lengths.select(F.col("doc").alias("k"))
+        left = lambda df: df.join(gone, F.col("doc") == F.col("k"), "left_anti")
+        return TextIndex(cut(left(self.postings).unionByName(new.postings), "postings"), cut(left(self.lengths).unionByName(new.lengths), "lengths"), self.table, self.properties, self.stemmed)
+
     def terms(self, query: str) -> list[str]:
         one = self.lengths.sparkSession.range(1).select(tokens(F.lit(query), self.stemmed).alias("w")).first()
         return list(one["w"])

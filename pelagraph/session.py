@@ -132,6 +132,9 @@ class GraphSession:
         self.table_functions[name.lower()] = f
 
     # ------------------------------------------------------------ method chaining
+    def mutate(self) -> Mutation:
+        return Mutation(self)
+
     def match(self, pattern: str) -> Fluent:
         return Fluent(self, [f"MATCH {pattern}"])
 
@@ -180,6 +183,43 @@ class Fluent:
         return self.session.cypher(self.text, self.parameters)
 
 
+class Mutation:
+    """Nodes and relationships collected row by row, then written to the catalog in one step each table.
+
+    upsert_node replaces a node of the same key; upsert_rel adds a relationship unless its ends have one.
+    """
+
+    def __init__(self, session: GraphSession):
+        self.session = session
+        self.nodes: dict[str, dict[Any, dict[str, Any]]] = {}
+        self.rels: dict[tuple[str, str, str], dict[tuple[Any, Any], dict[str, Any]]] = {}
+
+    def upsert_node(self, label: str, **properties: Any) -> Mutation:
+        t = self.session.catalog.node(label)
+        if properties.get(t.key) is None:
+            raise QueryError(f"{label} needs its key {t.key}")
+        self.nodes.setdefault(label, {})[properties[t.key]] = properties
+        return self
+
+    def upsert_rel(self, name: str, source: tuple[str, Any], target: tuple[str, Any], **properties: Any) -> Mutation:
+        self.rels.setdefault((name, source[0], target[0]), {})[(source[1], target[1])] = properties
+        return self
+
+    def apply(self) -> None:
+        s = self.session
+        for label, rows in self.nodes.items():
+            t = s.catalog.node(label)
+            new = s.spark.createDataFrame([tuple(r.get(c) for c in t.df.columns) for r in rows.values()], t.df.schema)
+            s.catalog.replace_node(label, t.df.join(new.select(t.key), t.key, "left_anti").select(*t.df.columns).unionByName(new))
+        for (name, a, b), rows in self.rels.items():
+            i = next((i for i, p in enumerate(s.catalog.rel(name).pairs) if (p.source, p.target) == (a, b)), None)
+            if i is None:
+                raise QueryError(f"{name} does not go from {a} to {b}")
+            old = s.catalog.rel(name).pairs[i].df
+            new = s.spark.createDataFrame([tuple({"_src": k[0], "_dst": k[1], **r}.get(c) for c in old.columns) for k, r in rows.items()], old.schema)
+            s.catalog.replace_pair(name, i, old.unionByName(new.join(old, ["_src", "_dst"], "left_anti").select(*old.columns)))
+
+
 # ---------------------------------------------------------------- statements outside the query grammar
 def _split(text: str) -> list[str]:
     """At commas outside brackets."""

@@ -1 +1 @@
-
+"""Keeping an index up to date while nodes arrive."""
