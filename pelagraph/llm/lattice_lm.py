@@ -37,6 +37,8 @@ from pelagraph.llm import common as c
 HEAD, COMMON = 400_000, 3
 #: Distinct words, and documents' rare words, gathered in a task before they leave as blobs.
 FLUSH_WORDS, FLUSH_RARE = 120_000, 600_000
+#: Scored words that a task remembers before it starts over.
+MEMO_WORDS = 600_000
 _SPACE = "▁"
 LOG10 = math.log(10)
 
@@ -65,38 +67,47 @@ class Vocabulary:
 
 
 class Lattice:
-    """log p of pieces -> log probability of a word over all segmentations."""
+    """log p of pieces -> log probability of a word over all segmentations.
+
+    The pieces are a trie of dictionaries; the entry '' of a node is the log p of the piece that ends there.
+    """
 
     def __init__(self, pieces: dict[str, int], byte_ids: dict[int, int], log_p: np.ndarray):
         self.log_p = {p: float(log_p[i]) for p, i in pieces.items()}
         self.byte = [float(log_p[byte_ids[b]]) if b in byte_ids else float(log_p.min()) for b in range(256)]
-        self.heads = {p[:k] for p in pieces for k in range(1, len(p))}  # proper beginnings
+        self.trie: dict = {}
+        for piece, p in self.log_p.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[""] = p
 
     def word(self, word: str) -> float:
-        s, log_p, heads = _SPACE + word, self.log_p, self.heads
+        s, trie = _SPACE + word, self.trie
         n = len(s)
         into: list[list[float]] = [[] for _ in range(n + 1)]
-        alpha = 0.0
+        into[0].append(0.0)
         for i in range(n):
-            if i:
-                alpha = _log_sum(into[i])
-            single = s[i]
-            p = log_p.get(single)
-            into[i + 1].append(alpha + (p if p is not None else sum(self.byte[b] for b in single.encode("utf-8", "replace"))))
+            x = into[i]
+            alpha = x[0] if len(x) == 1 else _log_sum(x)
+            node = trie.get(s[i])
+            if node is None or "" not in node:
+                into[i + 1].append(alpha + sum([self.byte[b] for b in s[i].encode("utf-8", "replace")]))
             j = i + 1
-            while j < n and s[i:j] in heads:
-                j += 1
-                p = log_p.get(s[i:j])
+            while node is not None:
+                p = node.get("")
                 if p is not None:
                     into[j].append(alpha + p)
+                if j == n:
+                    break
+                node = node.get(s[j])
+                j += 1
         return _log_sum(into[n])
 
 
 def _log_sum(x: list[float]) -> float:
-    if len(x) == 1:
-        return x[0]
     m = max(x)
-    return m + math.log(sum(math.exp(v - m) for v in x))
+    return m + math.log(sum([math.exp(v - m) for v in x]))
 
 
 def log_probabilities(counts: np.ndarray) -> np.ndarray:
@@ -280,7 +291,7 @@ def _score_docs(parts: int, held, vocabulary: str | None):
         for batch in batches:
             for doc_id, out, taught, t in zip(*(batch.column(i).to_pylist() for i in range(3)), c.as_bytes(batch.column(3)), strict=True):
                 tokens = c.words_of(t)
-                if len(words) > FLUSH_WORDS:
+                if len(words) > MEMO_WORDS:
                     words.clear()
                 at = np.fromiter((words[w] for w in tokens), np.int64, len(tokens))
                 n = words.n[at]
