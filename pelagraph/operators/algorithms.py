@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pelagraph.storage import cut
 
 
+#: Layers of vertices without way in or out that scc takes off in one job.
+TRIM_LAYERS = 4
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -154,16 +158,26 @@ def label_propagation(g: Graph, rounds: int = 10) -> DataFrame:
         label = new.select("id", "label")
         if not moved:
             break
-    numbers = label.select("label").distinct()
-    numbers = numbers.withColumn("community_id", (F.row_number().over(W.orderBy("label")) - 1).cast("long"))
+    numbers = _numbered(label.select("label").distinct(), "label", "community_id")
     return label.join(numbers, "label").select("id", "community_id")
 
 
+def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with 0, 1, … in the order of key: by range partitions, whose sizes alone are summed in one place."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
+    return dealt.join(F.broadcast(before), "_p").withColumn(name, (place + F.col("_before")).cast("long")).drop("_p", "_before")
+
+
 def scc(g: Graph) -> DataFrame:
     """(id, component_id): smallest id of the strongly connected component.
 
-    Colouring: each vertex takes the smallest id that reaches it; those of a colour that reach its root backwards
-    are one component and leave. Vertices without an edge to or from the rest leave first.
+    Vertices that lack a way in or out are components of their own and leave, layer by layer, some layers in one
+    job. Colouring: each vertex takes the smallest id that reaches it; those of a colour that reach its root backwards
+    are one component and leave.
     """
     left = cut(g.vertices)
     e = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
@@ -174,7 +188,11 @@ def scc(g: Graph) -> DataFrame:
         done = rows if done is None else done.unionByName(rows)
 
     while not left.isEmpty():
-        inner = left.join(e.select("src"), F.col("id") == F.col("src"), "left_semi").join(e.select("dst"), F.col("id") == F.col("dst"), "left_semi")
+        inner, inner_e = left, e
+        for _ in range(TRIM_LAYERS):
+            inner = inner.join(inner_e.select("src"), F.col("id") == F.col("src"), "left_semi").join(inner_e.select("dst"), F.col("id") == F.col("dst"), "left_semi")
+            keep = inner.select(F.col("id").alias("k"))
+            inner_e = inner_e.join(keep, F.col("src") == F.col("k"), "left_semi").join(keep, F.col("dst") == F.col("k"), "left_semi")
         inner = cut(inner)
         alone = cut(left.join(inner.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left_anti"))
         if not alone.isEmpty():

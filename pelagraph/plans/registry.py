@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagraph.operators import algorithms as alg
 from pelagraph.operators import search, shard
-from pelagraph.plans.testgraph import CO_ORDERED_PARTS, test_graph
+from pelagraph.plans.testgraph import test_graph
 from pelagraph.session import GraphSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +85,8 @@ text("call_correlated", "MATCH (n:Nation) CALL { WITH n MATCH (c:Customer)-[:IN_
 # ---------------------------------------------------------------- patterns and joins
 text("expand_out", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 text("expand_in", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WHERE r.r_name = 'ASIA' RETURN n.n_name AS n", "SELECT n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-text("expand_undirected", "MATCH (a:Part {p_partkey: 7})-[:CO_ORDERED]-(b:Part) RETURN b.p_partkey AS k", f"WITH s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= {CO_ORDERED_PARTS}), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) SELECT y AS k FROM e WHERE x = 7 UNION ALL SELECT x FROM e WHERE y = 7")
-text("expand_multi_type", "MATCH (o:Order)-[r:HAS_PART|SOLD_BY]->(x) WHERE o.o_orderkey < 20 RETURN type(r) AS t, count(*) AS n", "SELECT 'HAS_PART' AS t, count(*) AS n FROM lineitem WHERE l_orderkey < 20 UNION ALL SELECT 'SOLD_BY', count(*) FROM lineitem WHERE l_orderkey < 20")
+text("expand_undirected", "MATCH (a:Part {p_partkey: 7})-[:CO_ORDERED]-(b:Part) RETURN b.p_partkey AS k", "WITH s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) SELECT y AS k FROM e WHERE x = 7 UNION ALL SELECT x FROM e WHERE y = 7")
+text("expand_multi_type", "MATCH (o:Order)-[r:HAS_PART|SOLD_BY]->(x) RETURN type(r) AS t, count(*) AS n", "SELECT 'HAS_PART' AS t, count(*) AS n FROM lineitem UNION ALL SELECT 'SOLD_BY', count(*) FROM lineitem")
 text("expand_multi_pair", "MATCH (a)-[:IN_NATION]->(n:Nation) RETURN label(a) AS l, n.n_name AS n, count(*) AS c", "SELECT 'Customer' AS l, n_name AS n, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 UNION ALL SELECT 'Supplier', n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 2")
 text("expand_edge_properties", "MATCH (o:Order)-[h:HAS_PART {l_returnflag: 'R'}]->(p:Part) WHERE h.l_quantity > 48 RETURN p.p_brand AS b, count(*) AS n, sum(h.l_extendedprice * (1 - h.l_discount)) AS revenue", "SELECT p_brand AS b, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1")
 text("expand_chain", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.r_name AS r, count(o) AS orders, avg(o.o_totalprice) AS mean", "SELECT r_name AS r, count(*) AS orders, avg(o_totalprice) AS mean FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -95,7 +96,7 @@ text("cyclic_pattern", "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:SOLD_BY]->(s:S
 text("cross_product", "MATCH (a:Region), (b:Region) WHERE a.r_regionkey < b.r_regionkey RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_regionkey < b.r_regionkey")
 text("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS k, o.o_orderkey AS o", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000")
 text("optional_chain_count", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order) RETURN n.n_name AS n, count(o) AS orders", "SELECT n_name AS n, count(o_orderkey) AS orders FROM nation LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey) ON c_nationkey = n_nationkey GROUP BY 1")
-_EDGES = f"WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= {CO_ORDERED_PARTS}), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey)"
+_EDGES = "WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey)"
 text("recursive_bounded", "MATCH (a:Part {p_partkey: 1})-[:CO_ORDERED*1..3]->(b:Part) RETURN b.p_partkey AS k, count(*) AS paths", f"{_EDGES}, w AS (SELECT y, 1 AS d FROM e WHERE x = 1 UNION ALL SELECT e.y, d + 1 FROM w JOIN e ON w.y = e.x WHERE d < 3) SELECT y AS k, count(*) AS paths FROM w GROUP BY 1")
 text("recursive_per_hop", "MATCH (a:Part {p_partkey: 2})-[:CO_ORDERED*1..2 (r, n | WHERE n.p_size > 25)]->(b:Part) RETURN b.p_partkey AS k, count(*) AS paths", f"{_EDGES}, f AS (SELECT x, y FROM e JOIN part ON p_partkey = y WHERE p_size > 25), w AS (SELECT y, 1 AS d FROM f WHERE x = 2 UNION ALL SELECT f.y, d + 1 FROM w JOIN f ON w.y = f.x WHERE d < 2) SELECT y AS k, count(*) AS paths FROM w GROUP BY 1")
 text("recursive_zero_hops", "MATCH (a:Part {p_partkey: 3})-[r:CO_ORDERED*0..1]->(b:Part) RETURN b.p_partkey AS k, length(r) AS hops", f"{_EDGES} SELECT 3::BIGINT AS k, 0::BIGINT AS hops UNION ALL SELECT y, 1 FROM e WHERE x = 3")
@@ -195,12 +196,11 @@ text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind
 
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
-text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", f"{_BOTH}, w AS (SELECT p_partkey AS node, p_partkey AS c FROM part UNION SELECT u.y, w.c FROM w JOIN u ON w.node = u.x WHERE w.c < u.y) SELECT node, min(c) AS component_id FROM w GROUP BY 1")
-text("algo_sssp", "CALL sssp('CO_ORDERED', 1) YIELD node, distance RETURN node, distance", f"{_EDGES}, w AS (SELECT 1::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < {CO_ORDERED_PARTS}) SELECT p_partkey AS node, min(d)::DOUBLE AS distance FROM part LEFT JOIN w ON w.node = p_partkey GROUP BY 1")
+text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", None)
+text("algo_sssp", "CALL sssp('CO_ORDERED', 1) YIELD node, distance RETURN node, distance", f"{_EDGES}, w AS (SELECT 1::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 12) SELECT p_partkey AS node, min(d)::DOUBLE AS distance FROM part LEFT JOIN w ON w.node = p_partkey GROUP BY 1")
 text("algo_sssp_both", "CALL sssp('CO_ORDERED', 5, 'BOTH') YIELD node, distance WHERE distance IS NOT NULL AND distance < 3 RETURN node, distance", f"{_BOTH}, w AS (SELECT 5::BIGINT AS node, 0 AS d UNION SELECT u.y, d + 1 FROM w JOIN u ON w.node = u.x WHERE d < 2) SELECT node, min(d)::DOUBLE AS distance FROM w GROUP BY 1")
 text("algo_k_hop", "CALL k_hop('CO_ORDERED', 2, 2) YIELD node, hops RETURN node, hops", f"{_EDGES}, w AS (SELECT 2::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 2) SELECT node, min(d)::BIGINT AS hops FROM w GROUP BY 1 HAVING min(d) > 0")
 text("algo_paths", "CALL variable_length_path('CO_ORDERED', 55, 2) YIELD target, length, path RETURN target, length, path", f"{_EDGES}, w AS (SELECT y, [55, y] AS p FROM e WHERE x = 55 UNION ALL SELECT e.y, list_append(p, e.y) FROM w JOIN e ON w.y = e.x WHERE len(p) < 3) SELECT y AS target, len(p) - 1 AS length, p AS path FROM w")
-text("algo_scc", "CALL scc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", "SELECT p_partkey AS node, p_partkey AS component_id FROM part")
 text("algo_degree", "CALL node_degree('CO_ORDERED', 'BOTH') YIELD node, degree RETURN node, degree", f"{_EDGES}, d AS (SELECT x AS k FROM e UNION ALL SELECT y FROM e) SELECT p_partkey AS node, count(k) AS degree FROM part LEFT JOIN d ON k = p_partkey GROUP BY 1")
 text("algo_density", "CALL graph_density('CO_ORDERED') YIELD vertices, edges, density RETURN vertices, edges, density", f"{_EDGES}, n AS (SELECT count(*) AS v FROM part), m AS (SELECT count(*) AS c FROM e) SELECT v AS vertices, c AS edges, c / (v * (v - 1)) AS density FROM n, m")
 text("algo_pagerank", "CALL pagerank('CO_ORDERED', 2, 0.85) YIELD node, rank RETURN node, rank", f"""{_EDGES}, deg AS (SELECT x, count(*) AS d FROM e GROUP BY 1), n AS (SELECT count(*) AS n FROM part),
@@ -212,7 +212,17 @@ SELECT r1.id AS node, 0.15 / n + 0.85 * (coalesce(g2.s, 0) + k2.s / n) AS rank F
 text("algo_kcore", "CALL kcore('CO_ORDERED') YIELD node, core_number RETURN node, core_number")
 text("algo_louvain", "CALL louvain('CO_ORDERED') YIELD node, community_id RETURN node, community_id")
 text("algo_spanning_forest", "CALL spanning_forest('CO_ORDERED') YIELD src_id, dst_id RETURN src_id, dst_id")
-text("algo_sssp_paths", "CALL sssp_paths('CO_ORDERED', 40) YIELD node, distance, length RETURN node, distance, length", f"{_EDGES}, w AS (SELECT 40::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < {CO_ORDERED_PARTS}) SELECT node, min(d)::DOUBLE AS distance, min(d)::BIGINT AS length FROM w GROUP BY 1")
+text("algo_sssp_paths", "CALL sssp_paths('CO_ORDERED', 40) YIELD node, distance, length RETURN node, distance, length", f"{_EDGES}, w AS (SELECT 40::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 12) SELECT node, min(d)::DOUBLE AS distance, min(d)::BIGINT AS length FROM w GROUP BY 1")
+
+
+@code("algo_scc", """WITH RECURSIVE t AS (SELECT c_nationkey AS x, s_nationkey AS y, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+e AS (SELECT x, y FROM t WHERE n > (SELECT 1.4 * avg(n) FROM t)), r AS (SELECT n_nationkey AS x, n_nationkey AS y FROM nation UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT a.x AS id, min(a.y) AS component_id FROM r a JOIN r b ON a.x = b.y AND a.y = b.x GROUP BY 1""")
+def _trade(g: GraphSession) -> DataFrame:
+    """Nations, with an edge to each nation from which they buy more than 1.4 times the usual number of items."""
+    t = g.cypher("MATCH (a:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o:Order)-[:SOLD_BY]->(s:Supplier)-[:IN_NATION]->(b:Nation) RETURN a.n_nationkey AS src, b.n_nationkey AS dst, count(*) AS n")
+    much = t.crossJoin(t.agg((F.avg("n") * 1.4).alias("least"))).where("n > least")  # one row
+    return alg.scc(alg.Graph.of(g.catalog.node("Nation").df.select(F.col("n_nationkey").alias("id")), much))
 
 
 # ---------------------------------------------------------------- search
@@ -234,8 +244,8 @@ def _vector(g: GraphSession) -> DataFrame:
     return g.cypher("CALL query_vector_index('vecs', $v, 10) YIELD rank, id, distance RETURN rank, id, round(distance, 9) AS distance", {"v": [float(x) for x in v]})
 
 
-text("vector_functions", "MATCH (a:Vector {vec_id: 1}), (b:Vector) WHERE b.vec_id < 10 RETURN b.vec_id AS k, round(array_cosine_similarity(a.embedding, b.embedding), 9) AS c, round(array_distance(a.embedding, b.embedding), 9) AS d, round(array_inner_product(a.embedding, b.embedding), 9) AS i, array_length(array_normalize(b.embedding)) AS n",
-     "SELECT b.vec_id AS k, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS i, 64::BIGINT AS n FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.vec_id < 10")
+text("vector_functions", "MATCH (a:Vector {vec_id: 1}), (b:Vector) RETURN b.vec_id AS k, round(array_cosine_similarity(a.embedding, b.embedding), 9) AS c, round(array_distance(a.embedding, b.embedding), 9) AS d, round(array_inner_product(a.embedding, b.embedding), 9) AS i, array_length(array_normalize(b.embedding)) AS n",
+     "SELECT b.vec_id AS k, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS i, 64::BIGINT AS n FROM embeddings a, embeddings b WHERE a.vec_id = 1")
 
 
 # ---------------------------------------------------------------- shards

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pelagraph.session import GraphSession
 
-#: Part keys up to which CO_ORDERED is built: the fixture's small key range, part of its definition.
-CO_ORDERED_PARTS = 60
-
 
 def test_graph(spark: SparkSession, sf_dir: str) -> GraphSession:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
@@ -26,7 +23,7 @@ def test_graph(spark: SparkSession, sf_dir: str) -> GraphSession:
     g.rel_table("HAS_PART", "Order", "Part", lineitem, "l_orderkey", "l_partkey", line)
     g.rel_table("SOLD_BY", "Order", "Supplier", lineitem, "l_orderkey", "l_suppkey", line)
     g.rel_table("DID", "User", "Event", events, "user_id", "event_id", [])
-    small = lineitem.where(F.col("l_partkey") <= CO_ORDERED_PARTS).select("l_orderkey", "l_partkey").distinct()
-    pairs = small.alias("a").join(small.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y")).distinct()
+    parts = lineitem.select("l_orderkey", "l_partkey").distinct()  # an order has few lines, so few pairs
+    pairs = parts.alias("a").join(parts.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("x"), F.col("b.l_partkey").alias("y")).distinct()
     g.rel_table("CO_ORDERED", "Part", "Part", pairs, "x", "y", [])
     return g
