@@ -513,8 +513,9 @@ class Lowering:
             s = State(df.where(self.value(s, part, filtering=True)), s.scope, s.empty, s.carry)
         return s
 
-    def inner_match(self, s: State, e: Expr) -> tuple[DataFrame, Column, list[str]]:
-        """(rows of the subquery's pattern, condition joining them to s, the outer columns it reads)."""
+    def inner_match(self, s: State, e: Expr) -> tuple[DataFrame, Column, list[str], list[str] | None]:
+        """(rows of the subquery's pattern, condition joining them to s, the outer columns it reads, and, if the
+        condition only equates these with inner columns, the inner columns)."""
         mine = Lowering(self.session, self.parameters)
         mine.fresh = self.fresh
         tag = f"_i{next(self.fresh)}_"
@@ -549,19 +550,20 @@ class Lowering:
         for v in shared:
             on = on & (s.scope[v].col("_id") == got.scope[tag + v].col("_id"))
             outer.append(f"{s.scope[v].name}___id")
+        equal = [f"{tag}{v}___id" for v in shared] if not outside else None
         both = State(s.df.limit(0).crossJoin(got.df.limit(0)), {**s.scope, **got.scope}, False)
         for part in outside:
             on = on & self.value(both, part, filtering=True)
             for v, props in uses(part).items():
                 if v in s.scope:
                     outer += s.scope[v].all_columns() if "*" in props else [f"{s.scope[v].name}__{'_id' if self.is_key(s.scope[v], p) else p}" for p in props]
-        return got.df, on, list(dict.fromkeys(outer))
+        return got.df, on, list(dict.fromkeys(outer)), equal
 
     def is_key(self, b: Bound, prop: str) -> bool:
         return b.kind == "node" and len(b.labels) == 1 and self.catalog.node(b.labels[0]).key == prop and prop not in b.columns
 
     def semi(self, s: State, e: Expr, negated: bool) -> State:
-        inner, on, _ = self.inner_match(s, e)
+        inner, on, _, _ = self.inner_match(s, e)
         return State(s.df.join(inner, on, "left_anti" if negated else "left_semi"), s.scope, s.empty, s.carry)
 
     def prepare(self, s: State, e: Expr) -> tuple[DataFrame, Expr]:
@@ -572,11 +574,15 @@ class Lowering:
             nonlocal df
             if x.kind not in ("exists", "count_of"):
                 return None
-            inner, on, outer = self.inner_match(State(df, s.scope, s.empty), x)
-            keys = df.select(*(f"`{o}`" for o in outer)).distinct()
+            inner, on, outer, equal = self.inner_match(State(df, s.scope, s.empty), x)
             name = f"_sub{next(self.fresh)}"
-            n = keys.join(inner, on).groupBy(*(F.col(f"`{o}`").alias(f"_k_{o}") for o in outer)).agg(F.count(F.lit(1)).alias(name))
-            match = reduce(lambda a, b: a & b, (F.col(f"`{o}`").eqNullSafe(F.col(f"`_k_{o}`")) for o in outer))
+            if equal:  # one aggregation of the pattern's rows by their own ends
+                n = inner.groupBy(*(F.col(f"`{i}`").alias(f"_k_{o}") for o, i in zip(outer, equal, strict=True))).agg(F.count(F.lit(1)).alias(name))
+                match = reduce(lambda a, b: a & b, (F.col(f"`{o}`") == F.col(f"`_k_{o}`") for o in outer))
+            else:
+                keys = df.select(*(f"`{o}`" for o in outer)).distinct()
+                n = keys.join(inner, on).groupBy(*(F.col(f"`{o}`").alias(f"_k_{o}") for o in outer)).agg(F.count(F.lit(1)).alias(name))
+                match = reduce(lambda a, b: a & b, (F.col(f"`{o}`").eqNullSafe(F.col(f"`_k_{o}`")) for o in outer))
             df = df.join(n, match, "left").drop(*(f"_k_{o}" for o in outer))
             got = F.coalesce(F.col(name), F.lit(0).cast("long"))
             df = df.withColumn(name, got > 0 if x.kind == "exists" else got)
