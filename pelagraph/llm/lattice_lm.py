@@ -230,7 +230,10 @@ _ROUTED_ARROW = pa.schema([("part", pa.int32()), ("origin", pa.int64()), ("kind"
 
 
 class _Words(dict):
-    """word -> index into the arrays of hash, lattice log10 probability and count (-1: not in the head)."""
+    """word -> index into the arrays of hash, lattice log10 probability and count (-1: not in the head).
+
+    New words are only noted; settle() adds them to the arrays, all at once.
+    """
 
     def __init__(self, model: Model, lattice: Lattice):
         super().__init__()
@@ -239,19 +242,26 @@ class _Words(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.h, self.p, self.n = np.zeros(1024, np.uint64), np.zeros(1024), np.zeros(1024, np.int64)
+        self.h, self.p, self.n = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+        self.new_h: list[int] = []
+        self.new_p: list[float] = []
 
     def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.h):
-            self.h, self.p, self.n = (np.concatenate([x, np.zeros(i, x.dtype)]) for x in (self.h, self.p, self.n))
-        h = np.uint64(c.xxhash.xxh3_64_intdigest(word))
-        at = int(np.searchsorted(self.model.head, h))
-        self.h[i], self.p[i] = h, self.lattice.word(word.decode("utf-8", "replace")) / LOG10
-        self.n[i] = self.model.head_n[at] if at < len(self.model.head) and self.model.head[at] == h else -1
-        self[word] = i
+        i = self[word] = len(self)
+        self.new_h.append(c.xxhash.xxh3_64_intdigest(word))
+        self.new_p.append(self.lattice.word(word.decode("utf-8", "replace")))
         return i
 
+    def settle(self) -> None:
+        h = np.array(self.new_h, np.uint64)
+        n = np.full(len(h), -1, np.int64)
+        if len(self.model.head):
+            at = np.minimum(np.searchsorted(self.model.head, h), len(self.model.head) - 1)
+            n = np.where(self.model.head[at] == h, self.model.head_n[at], -1)
+        self.h, self.n = np.concatenate([self.h, h]), np.concatenate([self.n, n])
+        self.p = np.concatenate([self.p, np.array(self.new_p) / LOG10])
+        self.new_h, self.new_p = [], []
+
 
 def _score_docs(parts: int, held, vocabulary: str | None):
     """Documents -> one header a flush (kind 0) and requests for their rare words (kind 1)."""
@@ -289,11 +299,15 @@ def _score_docs(parts: int, held, vocabulary: str | None):
             return c.emit(_ROUTED_ARROW, rows)
 
         for batch in batches:
-            for doc_id, out, taught, t in zip(*(batch.column(i).to_pylist() for i in range(3)), c.as_bytes(batch.column(3)), strict=True):
-                tokens = c.words_of(t)
-                if len(words) > MEMO_WORDS:
-                    words.clear()
-                at = np.fromiter((words[w] for w in tokens), np.int64, len(tokens))
+            if len(words) > MEMO_WORDS:
+                words.clear()
+            texts = [c.words_of(t) for t in c.as_bytes(batch.column(3))]
+            flat = np.fromiter((words[w] for t in texts for w in t), np.int64, sum(map(len, texts)))
+            words.settle()
+            lo = 0
+            for doc_id, out, taught, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), texts, strict=True):
+                at = flat[lo : lo + len(tokens)]
+                lo += len(tokens)
                 n = words.n[at]
                 tail = n < 0
                 base = np.log10(n[~tail] + 1.0).sum() + math.log10(end_n + 1)
