@@ -415,23 +415,25 @@ class Lowering:
         lo, hi = r.hops
         start = s.scope[a.var]
         found = self.pairs(r, [], [])
-        labels = {x for _, p, _ in found for x in (p.source, p.target)}
-        if len(labels) != 1:
-            raise QueryError("a variable-length pattern needs relationships within one node table")
-        label = next(iter(labels))
+        labels = sorted({x for _, p, _ in found for x in (p.source, p.target)})
+        one = len(labels) == 1
         if r.per_hop:
             rv, nv, test = r.per_hop
             mine = Lowering(self.session, self.parameters)
             mine.needed = uses(test)
-            e, rel = mine.edges("_hop", RelPattern(rv, r.types, r.props, r.direction), found, False)
-            nodes, node = mine.scan(nv, "_hopnode", [label], [], s)
-            e = e.join(nodes, F.col("_hop___to") == F.col("_hopnode___id"))
+            e, rel = mine.edges("_hop", RelPattern(rv, r.types, r.props, r.direction), found, True)
+            nodes, node = mine.scan(nv, "_hopnode", labels, [], s)
+            at_node = F.col("_hop___to") == F.col("_hopnode___id") if one else (F.col("_hop___to").cast("string") == F.col("_hopnode___id").cast("string")) & (F.col("_hop___tl") == F.col("_hopnode___label"))
+            e = e.join(nodes, at_node)
             e = mine.where(State(e, {rv: rel, nv: node}, False), test).df
         else:
-            e, _ = self.edges("_hop", RelPattern(None, r.types, r.props, r.direction), found, False)
-        e = e.select(F.col("_hop___from").alias("_f"), F.col("_hop___to").alias("_t"), F.concat_ws("|", "_hop___type", F.col("_hop___src").cast("string"), F.col("_hop___dst").cast("string")).alias("_e"))
+            e, _ = self.edges("_hop", RelPattern(None, r.types, r.props, r.direction), found, True)
+        #: Over several node tables a node is named label:key.
+        named = lambda label, key: key if one else F.concat(label, F.lit(":"), key.cast("string"))
+        here = named(F.lit(start.labels[0]) if len(start.labels) == 1 else start.col("_label"), start.col("_id"))
+        e = e.select(named(F.col("_hop___fl"), F.col("_hop___from")).alias("_f"), named(F.col("_hop___tl"), F.col("_hop___to")).alias("_t"), F.concat_ws("|", "_hop___type", F.col("_hop___src").cast("string"), F.col("_hop___dst").cast("string")).alias("_e"))
         vis, rels, end = f"{r.var}___nodes", f"{r.var}___rels", f"{r.var}___to"
-        at = s.df.withColumn(vis, F.array(start.col("_id"))).withColumn(rels, F.array().cast("array<string>")).withColumn(end, start.col("_id"))
+        at = s.df.withColumn(vis, F.array(here)).withColumn(rels, F.array().cast("array<string>")).withColumn(end, here)
         levels = [at] if lo == 0 else []
         depth = 0
         while hi is None or depth < hi:
@@ -448,7 +450,15 @@ class Lowering:
                 levels.append(step)
             at = step
         df = reduce(lambda x, y: x.unionByName(y), levels) if levels else at.limit(0)
-        df = df.withColumn(f"{r.var}___tl", F.lit(label))
+        if one:
+            df = df.withColumn(f"{r.var}___tl", F.lit(labels[0]))
+        else:
+            df = df.withColumn(f"{r.var}___tl", F.substring_index(end, ":", 1)).withColumn(end, F.regexp_replace(end, "^[^:]*:", ""))
+            wanted = list(s.scope[b.var].labels) if b.var in s.scope else self.end_labels(RelPattern(r.var, r.types, r.props, r.direction), b)
+            df = df.where(F.col(f"{r.var}___tl").isin(wanted))
+            if len(wanted) == 1:  # the key has its own type again
+                t = self.catalog.node(wanted[0])
+                df = df.withColumn(end, F.col(end).try_cast(t.df.schema[t.key].dataType))
         scope = {**s.scope, r.var: Bound("hops", r.var)}
         return self.arrive(State(df, scope, False, s.carry), RelPattern(r.var, r.types, r.props, r.direction), b, scope[r.var])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import replace
 from typing import Any
@@ -41,6 +42,7 @@ class GraphSession:
         self.warnings: list[str] = []
         self.provider: Any = None
         self._saved: Catalog | None = None
+        self._pool: ThreadPoolExecutor | None = None
 
     # ------------------------------------------------------------ tables
     def node_table(self, label: str, df: DataFrame, key: str) -> GraphSession:
@@ -72,6 +74,12 @@ class GraphSession:
         parts = re.findall(r"(?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^;])+", text)
         return [self.cypher(p) for p in parts if p.strip()]
 
+    def submit(self, text: str, parameters: dict[str, Any] | None = None) -> Future:
+        """Runs the statement and collects its rows in a thread of its own."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(4)
+        return self._pool.submit(lambda: self.cypher(text, parameters).collect())
+
     @contextmanager
     def interruptible(self, tag: str) -> Iterator[None]:
         """Jobs started within can be stopped by interrupt(tag)."""

@@ -150,3 +150,18 @@ def test_parse_tree_shapes():
     q = parse("MATCH (a:A|B)-[r:R*1..2 (x, y | WHERE y.z > 1)]->(b) RETURN DISTINCT a AS q ORDER BY q DESC SKIP 1 LIMIT 2 UNION MATCH (c) RETURN c AS q")
     rel = q.singles[0][0].patterns[0].parts[1]
     assert rel.hops == (1, 2) and rel.per_hop[:2] == ("x", "y") and q.alls == [False]
+
+
+def test_recursion_over_several_tables(graph):
+    got = graph.cypher("MATCH (c:Customer)-[:IN_NATION|IN_REGION*1..2]->(x) RETURN label(x) AS l, count(*) AS n")
+    n = graph.cypher("MATCH (c:Customer) RETURN count(*) AS n").first()[0]
+    assert sorted(map(tuple, got.collect())) == [("Nation", n), ("Region", n)]
+    one = graph.cypher("MATCH (r:Region {r_regionkey: 1})<-[h:IN_NATION|IN_REGION*2..2]-(c:Customer) RETURN count(*) AS n, min(length(h)) AS l").first()
+    two = graph.cypher("MATCH (r:Region {r_regionkey: 1})<-[:IN_REGION]-(:Nation)<-[:IN_NATION]-(c:Customer) RETURN count(*) AS n").first()
+    assert tuple(one) == (two[0], 2)
+    hop = graph.cypher("MATCH (c:Customer {c_custkey: 1})-[:IN_NATION|IN_REGION*1..2 (r, x | WHERE label(x) = 'Nation')]->(y) RETURN label(y) AS l").collect()
+    assert [r[0] for r in hop] == ["Nation"]
+
+
+def test_submit(g):
+    assert g.submit("RETURN 1 AS x").result()[0][0] == 1
