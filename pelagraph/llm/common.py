@@ -28,7 +28,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bounds of an Arrow batch; smaller settings of the session stay.
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Words whose hash a Python worker remembers before it starts over.
-_MEMO_WORDS = 150_000
+_MEMO_WORDS = 100_000
 
 
 # ---------------------------------------------------------------- shared folder

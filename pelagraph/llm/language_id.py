@@ -88,11 +88,11 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return Model({})
     wanted = 4 * dict_bytes // EXCERPT  # excerpts may be short
     rate = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, wanted / n)))))
-    drawn = F.pmod(F.xxhash64("i", F.lit("draw")), F.lit(1 << 30)) < rate[F.col("l")] * (1 << 30)
+    drawn = F.pmod(F.xxhash64("i", "t", F.lit("draw")), F.lit(1 << 30)) < rate[F.col("l")] * (1 << 30)
     at = F.pmod(F.xxhash64("i", F.lit("at")), F.greatest(F.length("t") - EXCERPT + 1, F.lit(1))) + 1
     sample = rows.where(F.col("l").isin(list(counts))).where(drawn).select("l", F.xxhash64("i", F.lit("order")).alias("o"), F.substr("t", at.cast("int"), F.lit(EXCERPT)).alias("x"))
     held: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():
+    for r in sample.distinct().collect():  # repeated rows count once
         held.setdefault(r["l"], []).append((r["o"], r["x"]))
     return Model({k: b" ".join(map(letters, (x for _, x in sorted(v))))[:dict_bytes] or b" " for k, v in held.items()})
 

@@ -55,7 +55,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Candidates (under 50 bytes each) that a join may broadcast.
 BROADCAST_ROWS = 500_000
 #: Hashes gathered in a task before they leave as blobs; bytes of text cut into words at once.
-FLUSH, SLICE = 1_000_000, 2_000_000
+FLUSH, SLICE = 500_000, 1_000_000
 
 _PART = "part int, kind int, doc_id long, key long, n int, a binary, b binary"
 _PART_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -367,6 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([m for _, m in pre], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([p.tobytes() for p, _ in pre], pa.binary())], names=["key", "comp", "blk", "blocks", "asked", "shingles", "prefix"])
 
     wanted = named.join(_small(chosen), "doc_id").select("text", "key", "comp", "blk", "blocks")
+    if meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        wanted = wanted.distinct()  # rows of a repeated id, before they meet in one group
     sets = c.map_arrow(wanted, fetch, "key long, comp long, blk int, blocks int, asked int, shingles binary, prefix binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other", "blocks")

@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     known = labels.where(train).where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("_label"))
     drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # at most rows * 12 bytes: safe to broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows_ = c.keep(texts.join(F.broadcast(drawn), "_id").select("_label", "_text"), "labelled")
+    one = texts.join(F.broadcast(drawn), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # a repeated id counts once
+    rows_ = c.keep(one.select("_label", "_text"), "labelled")
     sizes = {r["_label"]: r["count"] for r in rows_.groupBy("_label").count().collect()}
     model = Model(toxic=sizes.get(1, 0), clean=sizes.get(0, 0))
     if not model.toxic or not model.clean:
