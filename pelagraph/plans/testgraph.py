@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pelagraph.session import GraphSession
 
 
+#: Schemas by path, as a metastore would keep them: reading a table's footer again costs more than planning.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def test_graph(spark: SparkSession, sf_dir: str) -> GraphSession:
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    t = lambda n: read(spark, f"{sf_dir}/{n}.parquet")
     region, nation, customer, supplier, part, orders, lineitem, events = map(t, "region nation customer supplier part orders lineitem events".split())
     g = GraphSession(spark)
     for label, df, key in (("Region", region, "r_regionkey"), ("Nation", nation, "n_nationkey"), ("Customer", customer, "c_custkey"), ("Supplier", supplier, "s_suppkey"), ("Part", part, "p_partkey"), ("Order", orders, "o_orderkey"), ("Event", events, "event_id"), ("Document", t("documents"), "doc_id"), ("Vector", t("embeddings"), "vec_id")):
