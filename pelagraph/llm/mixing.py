@@ -82,13 +82,15 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     table = F.broadcast(table) if few else table
     joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(_SOURCE)))
     u = uniform(id_col, text_col, seed=seed)
-    return joined.withColumn(_COPY, F.size(F.filter(_CDF, lambda p: p <= u))).drop(_SOURCE, _CDF)
+    #: The array of one holds u for the inner lambda, which would else compute it anew for each probability.
+    n = F.transform(F.array(u), lambda x: F.size(F.filter(_CDF, lambda p: p <= x)))[0]
+    return joined.withColumn(_COPY, n).drop(_SOURCE, _CDF)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The replicated documents with docs' columns, in random order over all partitions."""
-    many = counted(docs, id_col, text_col, source_col, weights, temper, total, seed).where(f"{_COPY} > 0")
-    many = many.withColumn(_COPY, F.explode(F.sequence(F.lit(1), F.col(_COPY))))
+    many = counted(docs, id_col, text_col, source_col, weights, temper, total, seed)
+    many = many.withColumn(_COPY, F.explode(F.when(F.col(_COPY) > 0, F.sequence(F.lit(1), F.col(_COPY)))))
     place = F.xxhash64(F.lit(seed), F.lit("place"), F.col(id_col), F.md5(F.col(text_col).cast("string").cast("binary")), F.col(_COPY))
     dealt = many.withColumn(_SOURCE, place).repartition(c.width(docs), _SOURCE).sortWithinPartitions(_SOURCE)
     return dealt.select(*(F.col(f"`{x}`") for x in docs.columns))
