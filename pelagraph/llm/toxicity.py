@@ -149,9 +149,10 @@ def features(text: str | None, reader: Reader) -> list[float]:
         read = [reader[w] for w in tokens]
         if not any(w for _, w in read):
             continue
-        state, score = 0, 0.0
-        for k, w in read:
-            if w:
+        state, score, seen = 0, 0.0, set()
+        for token, (k, w) in zip(tokens, read, strict=True):
+            if w and token not in seen:  # a word repeated within a clause says no more
+                seen.add(token)
                 gain = w * factors[state][k]
                 score += gain
                 lost += max(0.0, w - gain) if k == INSULT else 0.0
