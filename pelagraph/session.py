@@ -8,11 +8,13 @@ BEGIN/COMMIT/ROLLBACK (catalog snapshots), INSTALL/LOAD EXTENSION (modules are a
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import replace
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,7 @@ from pelagraph.sources import readers, sinks
 class GraphSession:
     def __init__(self, spark: SparkSession):
         self.spark, self.catalog = spark, Catalog()
+        _importable(spark)
         self.settings: dict[str, Any] = {}
         self.sequences: dict[str, int] = {}
         self.attached: dict[str, tuple[str, str]] = {}
@@ -147,6 +150,14 @@ class GraphSession:
         return Fluent(self, [f"MATCH {pattern}"])
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package where the driver has it (a cluster ships it)."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 class Fluent:
     """A query, clause by clause; nothing runs before ``frame``."""
 
