@@ -7,10 +7,13 @@ row for each value: the JVM sees few rows and the arrays are sorted and counted
 from __future__ import annotations
 
 import atexit
+import ctypes
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -174,11 +177,33 @@ def emit(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with small batches: a Python worker holds one batch of texts at a time."""
     conf = df.sparkSession.conf
+    importable(df.sparkSession)
     for key, most in _BATCH.items():
         now = int(re.sub(r"\D", "", conf.get(key)) or 0)
         if now <= 0 or now > most:
             conf.set(key, most)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package where the driver has it (a cluster ships it)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: it waits beside the JVM for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 # ---------------------------------------------------------------- connected components
