@@ -375,8 +375,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = pairs.groupBy("comp", "i", "j").applyInArrow(_verify, "a long, b long")
     classes = c.components(linked, "a", "b")
 
+    classes = _small(classes)
     rows = meta.join(classes, meta["key"] == classes["node"], "left").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "key").alias("cls"))
     least = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
+    least = _small(c.keep(least, "least"))  # a class may hold a third of all rows; its one row here goes to them
     on = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("cls"))
     return rows.withColumn("cls", on).join(least, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
