@@ -81,7 +81,7 @@ def wcc(g: Graph) -> DataFrame:
 
 def _relax(g: Graph, source, direction: str, weighted: bool, limit: int | None, carry_path: bool) -> DataFrame:
     """Best distance of each reached vertex; the frontier holds those whose distance has just improved."""
-    e = g.directed(direction)
+    e = cut(g.directed(direction), "edges")  # every round reads them
     w = F.col("weight") if weighted else F.lit(1.0)
     start = g.vertices.where(F.col("id") == F.lit(source)).withColumn("distance", F.lit(0.0))
     if carry_path:
@@ -127,7 +127,7 @@ def k_hop(g: Graph, source, hops: int, direction: str = "OUT") -> DataFrame:
 
 def paths(g: Graph, source, longest: int, direction: str = "OUT") -> DataFrame:
     """(source, target, length, path): every path of 1 to longest hops that repeats no vertex."""
-    e = g.directed(direction)
+    e = cut(g.directed(direction), "edges")
     at = g.vertices.where(F.col("id") == F.lit(source)).select(F.col("id").alias("end"), F.array("id").alias("path"))
     found = None
     for _ in range(longest):
