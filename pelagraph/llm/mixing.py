@@ -2,7 +2,9 @@
 
 A source with n documents and target share w of N output documents has the mean repetition rate
 ``w * N / n``. Each document's copies follow the Poisson distribution of that mean, inverted at a uniform
-number that an md5 of seed, id and text gives, so a rerun makes the same choice. Documents are exploded by
+number that an md5 of seed, id and text gives, so a rerun makes the same choice. A rate beyond ``MAX_RATE`` is
+cut into equal parts of at most that; each part is inverted at a number of its own, and the counts add up, as
+independent Poisson numbers do, to one of the whole rate. Documents are exploded by
 their count and dealt to partitions by another hash of seed, id, text and copy, sorted by it within each: a global
 shuffle.
 
@@ -13,8 +15,9 @@ join is Catalyst's, which splits skewed partitions of hot sources.
 Defined results: weights None: shares in proportion to ``n ** TEMPER``. A source without weight gets none of
 its documents copied; a weight without source is left out, and the rest is scaled to sum to 1. Null source
 is a source of its own (key None in weights). Null text counts as empty, null id as the word "null", for
-the hash only. Equal rows (same id and text) get the same count. A rate beyond ``MAX_RATE`` raises, as the
-distribution's table would grow without bound. An empty table gives no rows.
+the hash only. Equal rows (same id and text) get the same count. Every rate that the documents themselves lead
+to is drawn; if the caller names a total, a rate beyond ``MAX_RATE`` raises instead, as that total asks for more
+copies of a source than were meant. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ MAX_RATE = 200.0
 #: Sources (a row of at most 3 KB each) whose rates are broadcast; beyond, Catalyst chooses the join.
 SOURCES = 5_000
 #: Columns that the replication adds, and removes again.
-_SOURCE, _CDF, _COPY = "_mix_source", "_mix_cdf", "_mix_copy"
+_SOURCE, _CDF, _PARTS, _COPY = "_mix_source", "_mix_cdf", "_mix_parts", "_mix_copy"
 
 
 def poisson_terms(rate: float = MAX_RATE) -> int:
@@ -54,9 +57,18 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str | None,
     return weighted.join(F.broadcast(one)).select("source", "n", (F.col("w") / F.col("all_w") * (F.lit(total) if total is not None else F.col("docs")) / F.col("n")).alias("rate"))
 
 
+def bounded(rate: Column) -> Column:
+    """The rate; raises beyond MAX_RATE."""
+    return F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a source's repetition rate exceeds {MAX_RATE}"))).otherwise(rate)
+
+
+def parts(rate: Column) -> Column:
+    """The number of equal parts, none beyond MAX_RATE, that a rate is drawn in."""
+    return F.greatest(F.lit(1), F.ceil(rate / MAX_RATE).cast("int"))
+
+
 def cdf(rate: Column) -> Column:
-    """Cumulated Poisson probabilities up to poisson_terms; e^-rate is positive for every rate allowed."""
-    rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a source's repetition rate exceeds {MAX_RATE}"))).otherwise(rate)
+    """Cumulated Poisson probabilities up to poisson_terms, for a rate of at most MAX_RATE: e^-rate is positive."""
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -67,24 +79,32 @@ def cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), terms), start, step)["c"]
 
 
-def uniform(id_col: str, text_col: str, *more: Column | str, seed: int = SEED) -> Column:
-    """In [0, 1), from 52 bits of an md5."""
+def uniforms(id_col: str, text_col: str, count: Column, seed: int = SEED) -> Column:
+    """An array of count numbers in [0, 1), each from 52 bits of an md5; the first depends on seed, id and text only."""
     text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text, *more)
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)
+
+    def number(key: Column) -> Column:
+        return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+    #: The array of one holds key for the inner lambda; concat_ws leaves out the null of the first number.
+    each = lambda k: F.transform(F.sequence(F.lit(1), count), lambda i: number(F.concat_ws("|", k, F.when(i > 1, i.cast("string")))))
+    return F.transform(F.array(key), each)[0]
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with _mix_copy: how often each row is to appear (rows of sources without weight have gone)."""
     table = rates(docs, source_col, weights, temper, total)
     few = table.limit(SOURCES + 1).count() <= SOURCES
-    table = table.select(F.col("source").alias(_SOURCE), cdf(F.col("rate")).alias(_CDF))
+    rate = F.col("rate") if total is None else bounded(F.col("rate"))
+    table = table.withColumn("rate", rate).withColumn(_PARTS, parts(F.col("rate")))
+    table = table.select(F.col("source").alias(_SOURCE), _PARTS, cdf(F.col("rate") / F.col(_PARTS)).alias(_CDF))
     table = F.broadcast(table) if few else table
     joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(_SOURCE)))
-    u = uniform(id_col, text_col, seed=seed)
-    #: The array of one holds u for the inner lambda, which would else compute it anew for each probability.
-    n = F.transform(F.array(u), lambda x: F.size(F.filter(_CDF, lambda p: p <= x)))[0]
-    return joined.withColumn(_COPY, n).drop(_SOURCE, _CDF)
+    u = uniforms(id_col, text_col, F.col(_PARTS), seed)
+    #: The array holds the numbers for the inner lambda, which would else compute them anew for each probability.
+    n = F.aggregate(F.transform(u, lambda x: F.size(F.filter(_CDF, lambda p: p <= x))), F.lit(0), lambda a, b: a + b)
+    return joined.withColumn(_COPY, n).drop(_SOURCE, _CDF, _PARTS)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:

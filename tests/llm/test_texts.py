@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import math
 import random
 import zlib
@@ -292,6 +293,25 @@ def test_mixing_edges(spark, odd, empty):
         mixing.mix(odd, total=10_000).count()
 
 
+def test_mixing_draws_every_rate(spark):
+    """Sources of one document beside a large one: rates of about 390, in parts of at most MAX_RATE."""
+    big = spark.range(160_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("big").alias("source"))
+    small = spark.range(160_000, 160_020).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("source"))
+    docs = big.unionByName(small)
+    table = {r.source: r.rate for r in mixing.rates(docs).collect()}
+    got = {r.doc_id: r["count"] for r in mixing.mix(docs).where("source != 'big'").groupBy("doc_id").count().collect()}
+    assert len(got) == 20
+    rates = [table[str(i)] for i in sorted(got)]
+    assert min(rates) > mixing.MAX_RATE
+    for (i, n), rate in zip(sorted(got.items()), rates, strict=True):
+        part = rate / math.ceil(rate / mixing.MAX_RATE)
+        cdf = np.cumsum([math.exp(k * math.log(part) - part - math.lgamma(k + 1)) for k in range(mixing.poisson_terms(part))])
+        keys = [f"{mixing.SEED}|{i}|{hashlib.md5(b't').hexdigest()}" + (f"|{j}" if j > 1 else "") for j in range(1, math.ceil(rate / mixing.MAX_RATE) + 1)]
+        assert n == sum(int((cdf <= int(hashlib.md5(k.encode()).hexdigest()[:13], 16) / 2**52).sum()) for k in keys)
+    z = (np.array([n for _, n in sorted(got.items())]) - rates) / np.sqrt(rates)
+    assert abs(z.mean()) < 1 and 0.4 < z.std() < 1.7
+
+
 # ---------------------------------------------------------------- URLs
 def test_url_filter_as_of(spark):
     d = datetime.date
