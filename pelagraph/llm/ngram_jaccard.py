@@ -34,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pelagraph.llm import common as c
 
@@ -326,6 +327,11 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of docs: (doc_id, n_shingles, component_id); see the module's text."""
+    return _classed(docs, id_col, text_col, frequent).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> DataFrame:
+    """jaccard_components with each row's content key and class (null where it links with nothing by definition)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = c.width(texts)
@@ -380,15 +386,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
     least = _small(c.keep(least, "least"))  # a class may hold a third of all rows; its one row here goes to them
     on = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("cls"))
-    return rows.withColumn("cls", on).join(least, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return rows.withColumn("cls", on).join(least, "cls", "left").select("doc_id", "key", "cls", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with _key, the content key of each row's text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [c.content_key(c.words_of(x)) for x in c.as_bytes(batch.column(at).cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+
+    return c.map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each class: its smallest doc_id. Rows without doc_id stay (they link with nothing)."""
-    found = c.keep(jaccard_components(docs, id_col, text_col), "classes")
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("many"))
+    """Rows of docs, one of each class: that with the smallest (doc_id, content key).
+
+    Rows without doc_id stay (they link with nothing). Of rows with the same doc_id and the same words, or both without
+    any, the one whose JSON sorts first stays. Rows that share an id only are judged each by its own class.
+    """
+    found = c.keep(_classed(docs, id_col, text_col, FREQUENT), "classes").where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("many"))
     later = ids.where("not first").select(F.col("doc_id").alias("_later"))
     rows = docs.join(_small(later), F.col(id_col) == F.col("_later"), "left_anti")
-    if ids.where("many > 1").take(1):  # repeated ids: one row of each
-        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
-    return rows
+    again = ids.where("many > 1").select(F.col("doc_id").alias("_again"))
+    if not again.take(1):
+        return rows
+    again = _small(c.keep(again, "again"))
+    stay = found.where("doc_id = component_id").join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+    stay = stay.groupBy("doc_id", "cls").agg(F.min("key").alias("_stay")).select(F.col("doc_id").alias("_id"), "_stay")
+    same = F.col(id_col) == F.col("_again")
+    several = _keyed(rows.join(again, same, "left_semi"), text_col)
+    several = several.join(stay, (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_stay")), "left_semi")
+    order = Window.partitionBy(id_col, "_key").orderBy(F.to_json(F.struct(*(F.col(f"`{x}`") for x in docs.columns))))
+    several = several.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_key")
+    return rows.join(again, same, "left_anti").unionByName(several)

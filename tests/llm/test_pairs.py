@@ -91,6 +91,13 @@ def test_keep_one(spark):
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 2, 9, None]
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    rows = [(1, "a b", 1, "k"), (2, "a b", 1, "k"), (2, "own text", 1, "k"), (2, "", 1, "k"), (2, None, 1, "k"), (2, "own  TEXT", 1, "k"), (3, "x", 1, "k"), (3, "y", 1, "k"), (4, "y", 1, "k"), (None, "y", 1, "k"), (5, "z", 2, "k"), (5, "z", 1, "k"), (0, "w", 1, "k"), (6, "w", 1, "k")]
+    got = ngram_jaccard.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = [(1, "a b", 1, "k"), (2, "own  TEXT", 1, "k"), (2, None, 1, "k"), (3, "x", 1, "k"), (3, "y", 1, "k"), (None, "y", 1, "k"), (5, "z", 1, "k"), (0, "w", 1, "k")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_prefixes_of_linked_sets_share_what_is_asked():
     r = np.random.default_rng(0)
     for _ in range(300):
