@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 Fit: for each language a raw-content zstandard dictionary, built from excerpts of a bounded sample of its
-labelled documents (``DICT_BYTES`` bytes; at most ``MAX_LANGUAGES`` languages, those with most documents).
+labelled documents (``DICT_BYTES`` bytes); every language is learned. Languages are fitted, and texts scored, in
+groups of ``GROUP`` languages: no more excerpts come to the driver at once, nor compressors stand in a worker.
 Predict: a whole text, lower-cased and with all but letters turned to single blanks, is cut into blocks;
 each block (and a fixed tail) is compressed with each dictionary, and the language with the smallest total is chosen. The
 margin is the runner-up's excess relative to it. A text is rejected when the margin is under ``MARGIN``.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from pelagraph.llm import common as c
 
 UNDETERMINED = "und"
-#: Bounds of the fit: bytes of a dictionary, characters of an excerpt, languages.
-DICT_BYTES, EXCERPT, MAX_LANGUAGES = 65_536, 512, 128
+#: Bounds of the fit: bytes of a dictionary, characters of an excerpt; languages handled at once.
+DICT_BYTES, EXCERPT, GROUP = 65_536, 512, 128
 #: Bytes compressed at once, and zstandard's level.
 BLOCK, LEVEL = 4096, 6
 #: Follows each block: a block that does not shrink would be stored raw, whatever the dictionary matched in it.
@@ -50,25 +51,35 @@ class Model:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK):
         self.dictionaries, self.level, self.block = dict(sorted(dictionaries.items())), level, block
 
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
+    def compressors(self, names: list[str] | None = None) -> list[zstandard.ZstdCompressor]:
+        """One for each of the given languages; of all if None."""
         out = []
-        for content in self.dictionaries.values():
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for name in self.dictionaries if names is None else names:
+            d = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=self.level)
             out.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_dict_id=False))
         return out
 
-    def predict(self, texts: list[str | None], compressors: list[zstandard.ZstdCompressor]) -> list[tuple[str, float, float]]:
-        """(language, score, margin) of each text."""
+    def _blocks(self, text: str | None) -> list[bytes]:
+        data = letters(text) if text else b""
+        data = b" " + data + b" " if data else b""
+        return [data[i : i + self.block] + PAD for i in range(0, len(data), self.block)]
+
+    def predict(self, texts: list[str | None], compressors: list[zstandard.ZstdCompressor] | None = None) -> list[tuple[str, float, float]]:
+        """(language, score, margin) of each text. compressors: of all languages; None: made and dropped by groups."""
         names, out = list(self.dictionaries), []
-        for text in texts:
-            data = letters(text) if text else b""
-            if not data or not names:
+        blocks = [self._blocks(text) for text in texts]
+        totals = np.zeros((len(texts), len(names)))
+        step = GROUP if compressors is None else max(1, len(names))
+        for at in range(0, len(names), step):
+            group = self.compressors(names[at : at + step]) if compressors is None else compressors
+            for i, held in enumerate(blocks):
+                if held:
+                    totals[i, at : at + step] = [sum(len(z.compress(b)) for b in held) for z in group]
+        for held, total in zip(blocks, totals, strict=True):
+            if not held or not names:
                 out.append((UNDETERMINED, 0.0, 0.0))
                 continue
-            data = b" " + data + b" "
-            blocks = [data[i : i + self.block] + PAD for i in range(0, len(data), self.block)]
-            total = np.array([sum(len(z.compress(b)) for b in blocks) for z in compressors], float)
             best = int(total.argmin())
             if len(names) == 1:
                 out.append((names[0], 1.0, 1.0))
@@ -80,12 +91,18 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES) -> Model:
-    """Learn from the rows where train holds. About dict_bytes of excerpts a language come to the driver."""
+    """Learn from the rows where train holds. About 4 * dict_bytes of excerpts a language come to the driver, GROUP languages at once."""
     rows = docs.where(train).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return Model({})
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    found, names = {}, sorted(counts)
+    for i in range(0, len(names), GROUP):
+        found |= _excerpts(rows, {k: counts[k] for k in names[i : i + GROUP]}, dict_bytes)
+    return Model(found)
+
+
+def _excerpts(rows: DataFrame, counts: dict[str, int], dict_bytes: int) -> dict[str, bytes]:
+    """The dictionaries of the languages that counts names."""
     wanted = 4 * dict_bytes // EXCERPT  # excerpts may be short
     rate = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, wanted / n)))))
     drawn = F.pmod(F.xxhash64("i", "t", F.lit("draw")), F.lit(1 << 30)) < rate[F.col("l")] * (1 << 30)
@@ -94,11 +111,11 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     held: dict[str, list[tuple[int, str]]] = {}
     for r in sample.distinct().collect():  # repeated rows count once
         held.setdefault(r["l"], []).append((r["o"], r["x"]))
-    return Model({k: b" ".join(map(letters, (x for _, x in sorted(v))))[:dict_bytes] or b" " for k, v in held.items()})
+    return {k: b" ".join(map(letters, (x for _, x in sorted(v))))[:dict_bytes] or b" " for k, v in held.items()}
 
 
-def _ready(model: Model) -> list[zstandard.ZstdCompressor]:
-    return model.compressors()
+def _ready(model: Model) -> list[zstandard.ZstdCompressor] | None:
+    return model.compressors() if len(model.dictionaries) <= GROUP else None
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

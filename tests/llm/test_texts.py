@@ -96,6 +96,21 @@ def test_language_edges(odd, empty, docs):
     assert one.predict(["abc"], one.compressors()) == [("en", 1.0, 1.0)]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    r, rows = random.Random(6), []
+    for i in range(135):
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(30)]
+        rows += [(4 * i + j, " ".join(r.choice(own) for _ in range(60)), f"l{i:03}") for j in range(1 if i > 130 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert len(model.dictionaries) == 135
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()} == {i: lang for i, _, lang in rows}
+    texts = [None, "", *(t for _, t, _ in rows[::40])]
+    want = model.predict(texts, model.compressors())
+    monkeypatch.setattr(language_id, "GROUP", 4)
+    assert model.predict(texts) == want and language_id.fit(df, F.lit(True)).dictionaries == model.dictionaries
+
+
 # ---------------------------------------------------------------- licences
 def test_license_templates_and_noise():
     s, r = license_scan.Scanner(), random.Random(1)
