@@ -4,7 +4,8 @@ Base counts come from whole texts; three signals follow from them: symbols a cha
 line, repeated words a word. The cut-offs are chosen so that, with confidence ``1 - DELTA`` over all strata
 at once, at most the share ``ALPHA`` of a stratum's good documents is rejected by them:
 
-* Strata are languages; those beyond the ``STRATA`` with most labels, and null, are one stratum.
+* Strata are all languages that have labelled documents; null is one of its own. A language without any has no level,
+  and rejects nothing.
 * Of the labelled documents, half (by crc32 of the id) is for the fit: for each stratum the quantiles of
   each signal among good documents. A document's badness is the highest quantile, over the signals, that
   it exceeds (0 to ``LEVELS``). Rejecting from a level on gives a nested family of rules.
@@ -33,10 +34,10 @@ from pelagraph.llm import common as c
 
 #: Tolerated share of good documents rejected in a stratum; chance that the guarantee fails in any.
 ALPHA, DELTA = 0.02, 0.05
-LEVELS, STRATA = 200, 64
+LEVELS = 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOLS = b"#*$%&|<>"
-_REST = "\0other"
+_NULL = "\0null"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SIGNALS = ("symbols", "lines", "words")
@@ -102,7 +103,7 @@ class Rules:
     holdout: dict[str, tuple[int, int]]
 
     def stratum(self, lang: str | None) -> str:
-        return lang if lang in self.quantiles else _REST
+        return _NULL if lang is None else lang
 
     def badness(self, lang: list[str | None], n: np.ndarray) -> np.ndarray:
         out, s = np.zeros(len(n), np.int64), signals(n)
@@ -152,14 +153,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Rules:
     """measured: a kept table of measure(). labels: doc_id and quality (1 good).
 
-    To the driver come STRATA + 1 rows of quantiles and as many histograms of LEVELS + 1 counts.
+    To the driver comes a row of quantiles a language, and as many histograms of LEVELS + 1 counts.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     rows = measured.join(good, "doc_id").where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
     rows = rows.select("lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).alias("half"), *COUNTS)
-    top = [r["lang"] for r in rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).collect()]
-    rows = rows.withColumn("lang", F.when(F.col("lang").isin(top), F.col("lang")).otherwise(_REST) if top else F.lit(_REST))
+    rows = rows.withColumn("lang", F.coalesce("lang", F.lit(_NULL)))
     grid = [i / LEVELS for i in range(1, LEVELS + 1)]
     exprs = [F.percentile_approx(ratio(a, b), grid, 20_000).alias(s) for s, (a, b) in zip(SIGNALS, (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words")), strict=True)]
     quantiles = {r["lang"]: np.array([r[s] for s in SIGNALS]) for r in rows.where("half = 0").groupBy("lang").agg(*exprs).collect()}

@@ -193,6 +193,18 @@ def test_quality_end_to_end(docs, labels, odd, empty, spark):
     assert none.level == {} and quality_rules.keep_good(empty, labels).count() == 0
 
 
+def test_every_language_is_a_stratum(spark):
+    """70 languages of clean documents and one, with fewest labels, where each good document is as repetitive."""
+    rows = [(1000 * k + i, f"l{k:02}", 100, 500, 0, 0, 0, 5) for k in range(70) for i in range(4)]
+    rows += [(900_000 + i, None, 100, 500, 0, 0, 0, 5) for i in range(900)]
+    rows += [(990_000 + i, "zz", 100, 500, 40, 4, 40, 5) for i in range(3)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{x} long" for x in quality_rules.COUNTS))
+    rules = quality_rules.fit(measured, measured.selectExpr("doc_id", "1 AS quality"))
+    assert {x for x in rules.level if x.startswith("l")} == {f"l{k:02}" for k in range(70) if len({crc(1000 * k + i, 2) for i in range(4)} & {0})}
+    bad = np.array([rows[-1][2:]], np.int64)
+    assert rules.rejects([None], bad).all() and not rules.rejects(["zz"], bad).any() and not rules.rejects(["unseen"], bad).any()
+
+
 # ---------------------------------------------------------------- language model
 def all_segmentations(lattice, s):
     if not s:
