@@ -5,10 +5,12 @@ the share c if its words that the text has at all make up c of it; texts that fa
 others, among any ``(1 - c) * length + 1`` words of the template one must be matched, so the places of its
 rarest words in the text give every window that can hold it. A window is aligned: words unique to both
 sides are anchors, the longest increasing subsequence of them is kept, the gaps between are aligned again,
-and equal words at a gap's ends are matched. Coverage is the share of the template's words matched.
+and equal words at a gap's ends are matched; a gap without such words is aligned by a longest common subsequence.
+The place itself, as long as the template, is aligned before the window around it, which may hold words of a
+neighbouring copy. Coverage is the share of the template's words matched.
 
 A match is reported with its characters' span in the text. Overlapping matches of several templates: the
-one with more matched words stays (then higher coverage, then the name that sorts first).
+one with more matched words stays (then higher coverage, then the name that sorts first, then the shorter span).
 
 Defined results: null, empty and wordless texts have no match. Repeated rows are scanned each. A null id
 stays null. Other columns are ignored. A text without match has no row in ``scan`` and an empty list in
@@ -92,6 +94,24 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions (in a, in b) of a longest common subsequence."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b) and best[i][j]:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched positions (in a, in b), both increasing."""
     out: list[tuple[int, int]] = []
@@ -108,9 +128,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             continue
         ca, cb = Counter(a[lo:hi]), Counter(b[at:end])
         place = {a[i]: i for i in range(lo, hi) if ca[a[i]] == 1 and cb[a[i]] == 1}
-        common = [(place[b[j]], j) for j in range(at, end) if b[j] in place]
-        anchors = [common[i] for i in increasing([x for x, _ in common])]
+        unique = [(place[b[j]], j) for j in range(at, end) if b[j] in place]
+        anchors = [unique[i] for i in increasing([x for x, _ in unique])]
         if not anchors:
+            if not ca.keys().isdisjoint(cb):
+                out += [(lo + x, at + y) for x, y in common(a[lo:hi], b[at:end])]
             continue
         out += anchors
         for (x, y), (x2, y2) in zip([(lo - 1, at - 1), *anchors], [*anchors, (hi, end)], strict=True):
@@ -155,11 +177,17 @@ class Scanner:
                 if last is not None and s - last <= slack // 2:
                     continue
                 last = s
-                lo, hi = max(0, s - slack), min(len(tokens), s + len(t) + slack)
-                got = align(tokens[lo:hi], t)
-                if len(got) >= self.least(name):
-                    found.append(Match(name, len(got) / len(t), len(got), spans[lo + got[0][0]][0], spans[lo + got[-1][0]][1]))
-        found.sort(key=lambda m: (-m.matched, -m.coverage, m.license, m.start))
+                for more in (0, slack):
+                    lo, hi = max(0, s - more), min(len(tokens), s + len(t) + more)
+                    held = Counter(tokens[lo:hi])
+                    if sum(min(n, held[w]) for w, n in self.counts[name].items()) < self.least(name):
+                        continue  # no alignment has more matches than that
+                    got = align(tokens[lo:hi], t)
+                    if len(got) >= self.least(name):
+                        found.append(Match(name, len(got) / len(t), len(got), spans[lo + got[0][0]][0], spans[lo + got[-1][0]][1]))
+                    if len(got) == len(t):
+                        break
+        found.sort(key=lambda m: (-m.matched, -m.coverage, m.license, m.end - m.start, m.start))
         kept: list[Match] = []
         for m in found:
             if all(m.end <= k.start or m.start >= k.end for k in kept):

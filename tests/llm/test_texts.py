@@ -135,6 +135,23 @@ def test_alignment_is_a_common_subsequence():
     assert license_scan.align(list("xaybz"), list("ab")) == [(1, 0), (3, 1)]
 
 
+def test_license_repeated_notices():
+    s = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        for gap in ("\n", "\n* "):
+            many = gap.join([text] * 5)
+            m = [x for x in s.find(many) if x.license == name]
+            assert [many.count(gap[:1], 0, x.start) // (text.count(gap[:1]) + 1) for x in m] == list(range(5)), name
+            assert all(x.coverage == 1.0 and license_scan.words(many[x.start : x.end]) == license_scan.words(text) for x in m), name
+    noisy = " ".join(["Released under the new MIT License."] * 5)
+    assert [x.license for x in s.find(noisy)] == ["MIT-notice"] * 5
+
+
+def test_gaps_without_unique_words_are_aligned_exactly():
+    assert len(license_scan.align(list("cabcab"), list("abcabc"))) == 5
+    assert len(license_scan.align("the mit license released under the mit license released under the".split(), "released under the mit license".split())) == 5
+
+
 def test_license_finds_all_lines(docs, odd, empty):
     want = sum("Apache License, Version 2.0" in r.text for r in docs.select("text").collect())
     got = license_scan.scan(docs).where("license = 'Apache-2.0-notice'").select("doc_id").distinct().count()
