@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagraph.operators import algorithms as alg
 from pelagraph.operators import search, shard
+from pelagraph.plans import function_queries
 from pelagraph.plans.testgraph import test_graph
 from pelagraph.session import GraphSession
 
@@ -194,6 +195,8 @@ QUERIES["copy_from_parquet"] = _copy
 ORACLE["copy_from_parquet"] = "SELECT n_nationkey::BIGINT AS k, n_name AS n FROM nation WHERE n_regionkey <> 1"
 text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind = 'REL' RETURN name AS n", "SELECT * FROM (VALUES ('CO_ORDERED'), ('DID'), ('HAS_PART'), ('IN_NATION'), ('IN_REGION'), ('PLACED'), ('SOLD_BY')) t(n)")
 
+function_queries.register(text)
+
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
 text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", None)
