@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagraph.plans.parser import Expr, QueryError
+from pelagraph.storage import cut
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,10 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class RelPair:
-    """One FROM/TO pair of a relationship table: rows with _src and _dst (the nodes' keys) and properties."""
+    """One FROM/TO pair of a relationship table: rows with _src and _dst (the nodes' keys) and properties.
+
+    Once one of its relationships is to be changed, also _rid, which names a row.
+    """
 
     source: str
     target: str
@@ -31,7 +35,7 @@ class RelPair:
 
     @property
     def properties(self) -> list[str]:
-        return [x for x in self.df.columns if x not in ("_src", "_dst")]
+        return [x for x in self.df.columns if x not in ("_src", "_dst", "_rid")]
 
 
 @dataclass(frozen=True)
@@ -86,6 +90,12 @@ class Catalog:
             raise QueryError(f"no relationship table {name}")
         return self.rels[name]
 
+    def identify(self, name: str) -> None:
+        """Give the relationship table's rows ids; it is written, so that they stay."""
+        for i, pair in enumerate(self.rel(name).pairs):
+            if "_rid" not in pair.df.columns:
+                self.replace_pair(name, i, cut(pair.df.withColumn("_rid", F.expr("uuid()")), "identified"))
+
     def replace_node(self, label: str, df: DataFrame) -> None:
         self.nodes[label] = replace(self.node(label), df=df)
 

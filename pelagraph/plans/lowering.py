@@ -45,6 +45,7 @@ class Bound:
     name: str
     labels: tuple[str, ...] = ()
     columns: tuple[str, ...] = ()  # properties that are there
+    ident: bool = False  # a relationship with its row id
 
     def col(self, part: str) -> Column:
         return F.col(f"`{self.name}__{part}`")
@@ -53,7 +54,7 @@ class Bound:
         if self.kind == "node":
             return [f"{self.name}___id", *([f"{self.name}___label"] if len(self.labels) != 1 else []), *(f"{self.name}__{p}" for p in self.columns)]
         if self.kind == "rel":
-            return [f"{self.name}__{p}" for p in ("_src", "_dst", "_type", *self.columns)]
+            return [f"{self.name}__{p}" for p in ("_src", "_dst", "_type", *(["_rid"] if self.ident else []), *self.columns)]
         return [self.name]
 
 
@@ -132,10 +133,24 @@ def uses(x: Any, out: dict[str, set[str]] | None = None) -> dict[str, set[str]]:
     return out
 
 
+def changed(clauses: list[Clause]) -> set[str]:
+    """The variables that SET or DELETE names, and those that WITH has renamed to them."""
+    out: set[str] = set()
+    for c in reversed(clauses):
+        if c.kind == "delete":
+            out |= set(c.vars)
+        elif c.kind in ("set", "merge"):
+            out |= {v for v, _, _ in (c.items if c.kind == "set" else [*c.on_create, *c.on_match])}
+        elif c.kind == "with":
+            out |= {e.name for e, n in c.projection.items if e.kind == "var" and n in out}
+    return out
+
+
 class Lowering:
     def __init__(self, session: Any, parameters: dict[str, Any] | None = None):
         self.session, self.catalog, self.parameters = session, session.catalog, parameters or {}
         self.fresh = count()
+        self.identified: set[str] = set()
 
     # ------------------------------------------------------------ queries
     def query(self, q: Query, start: State | None = None) -> DataFrame:
@@ -151,6 +166,7 @@ class Lowering:
 
     def single(self, clauses: list[Clause], start: State | None = None) -> DataFrame:
         self.needed = uses(clauses)
+        self.identified = changed(clauses)
         state = start or State(self.session.spark.range(1).select())
         for i, c in enumerate(clauses):
             if c.kind == "return" and i + 1 != len(clauses):
@@ -309,6 +325,8 @@ class Lowering:
         """(type, pair, reversed) that the pattern can follow from a node of sources to one of targets."""
         out = []
         for t in r.types or sorted(self.catalog.rels):
+            if r.var in self.identified:
+                self.catalog.identify(t)
             for pair in self.catalog.rel(t).pairs:
                 for back in {"out": (False,), "in": (True,), "both": (False, True)}[r.direction]:
                     a, b = (pair.target, pair.source) if back else (pair.source, pair.target)
@@ -339,12 +357,14 @@ class Lowering:
                 df = df.where(semantics.compare("=", F.col(f"`{k}`"), F.lit(self.constant(e)), True, False) if k in pair.properties else F.lit(False))
             a, b = ("_dst", "_src") if back else ("_src", "_dst")
             cols = [F.col(a).alias(f"{name}___from"), F.col(b).alias(f"{name}___to"), F.col("_src").alias(f"{name}___src"), F.col("_dst").alias(f"{name}___dst"), F.lit(t).alias(f"{name}___type")]
+            if r.var in self.identified:
+                cols.append(F.col("_rid").alias(f"{name}___rid"))
             if ends:
                 cols += [F.lit(pair.target if back else pair.source).alias(f"{name}___fl"), F.lit(pair.source if back else pair.target).alias(f"{name}___tl")]
             frames.append(df.select(*cols, *(F.col(f"`{p}`").alias(f"{name}__{p}") for p in wanted if p in pair.properties)))
         if not frames:
             raise QueryError(f"no relationship table fits {'|'.join(r.types) or 'the pattern'}")
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), Bound("rel", name, tuple(dict.fromkeys(t for t, _, _ in found)), tuple(wanted))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), Bound("rel", name, tuple(dict.fromkeys(t for t, _, _ in found)), tuple(wanted), r.var in self.identified)
 
     def check_node(self, s: State, n: NodePattern) -> State:
         b = s.scope[n.var]
@@ -651,7 +671,7 @@ class Lowering:
         """The columns of an item, and what its name stands for afterwards."""
         if e.kind == "var" and e.name in s.scope and s.scope[e.name].kind in ("node", "rel") and not final:
             b = s.scope[e.name]
-            moved = Bound(b.kind, name, b.labels, b.columns)
+            moved = Bound(b.kind, name, b.labels, b.columns, b.ident)
             return [F.col(f"`{x}`").alias(y) for x, y in zip(b.all_columns(), moved.all_columns(), strict=True)], moved
         if e.kind == "var" and e.name in s.scope and s.scope[e.name].kind == "path" and not final:
             return [F.col(f"`{e.name}`").alias(name)], Bound("path", name)

@@ -8,13 +8,12 @@ BEGIN/COMMIT/ROLLBACK (catalog snapshots), INSTALL/LOAD EXTENSION (modules are a
 
 from __future__ import annotations
 
-import os
 import re
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import replace
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +28,13 @@ from pelagraph.functions.registry import Context
 from pelagraph.plans.lowering import Lowering
 from pelagraph.plans.parser import Parser, QueryError, parse
 from pelagraph.sources import readers, sinks
+from pelagraph.storage import importable
 
 
 class GraphSession:
     def __init__(self, spark: SparkSession):
         self.spark, self.catalog = spark, Catalog()
-        _importable(spark)
+        importable(spark)
         self.settings: dict[str, Any] = {}
         self.sequences: dict[str, int] = {}
         self.attached: dict[str, tuple[str, str]] = {}
@@ -58,12 +58,23 @@ class GraphSession:
 
     # ------------------------------------------------------------ statements
     def cypher(self, text: str, parameters: dict[str, Any] | None = None) -> DataFrame:
+        """The statement's result. Updates happen now, the reading of results later; a statement that fails changes nothing."""
         handler, m = self._statement(text.strip().rstrip(";").strip())
-        if handler is not None:
-            return handler(self, m) if m is not None else handler(self)
-        q = parse(text)
-        df = Lowering(self, parameters).query(q)
-        return self._explained(df) if q.mode else df
+        before = self.catalog.snapshot()
+        try:
+            if handler is not None:
+                return handler(self, m) if m is not None else handler(self)
+            q = parse(text)
+            df = Lowering(self, parameters).query(q)
+            if not q.mode:
+                return df
+            out = self._profiled(df) if q.mode == "PROFILE" else self._explained(df)
+        except BaseException:
+            self.catalog = before
+            raise
+        if q.mode != "PROFILE":
+            self.catalog = before
+        return out
 
     query = cypher
 
@@ -95,6 +106,13 @@ class GraphSession:
     def interrupt(self, tag: str) -> None:
         self.spark.interruptTag(tag)
 
+    def _profiled(self, df: DataFrame) -> DataFrame:
+        """Runs the query; its plan follows the number of rows and the seconds they took."""
+        start = time.perf_counter()
+        rows = df.count() if df.columns else 0
+        head = [f"rows: {rows}", f"seconds: {time.perf_counter() - start:.3f}"]
+        return self.spark.createDataFrame([(x,) for x in [*head, *(r[0] for r in self._explained(df).collect())]], "plan string")
+
     def _explained(self, df: DataFrame) -> DataFrame:
         text = self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         return self.spark.createDataFrame([(x,) for x in text.splitlines()], "plan string")
@@ -150,14 +168,6 @@ class GraphSession:
         return Fluent(self, [f"MATCH {pattern}"])
 
 
-def _importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine find the package where the driver has it (a cluster ships it)."""
-    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 class Fluent:
     """A query, clause by clause; nothing runs before ``frame``."""
 

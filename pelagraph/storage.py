@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,25 +15,29 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where a local session names none (tests) a temporary one; a cluster has to."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # tests only: a cluster names a folder that all executors see
-        found = tempfile.mkdtemp(prefix="pelagraph-graph-")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="pelagraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a written table. Iterations use it, so that plans stay short and a lost executor costs one task."""
+    """df as a written table. Plans stay short, and a lost executor costs only its running tasks."""
     spark = df.sparkSession
     if not _WRITTEN:
         atexit.register(_clean, spark)
-    path = f"{shared_dir(spark)}/graph-{_OWN}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(spark)}/pelagraph-{_OWN}/{name}-{uuid.uuid4().hex[:8]}"
     _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _clean(spark: SparkSession) -> None:
+    """At the end of the driver's process; a session that has already stopped leaves its files."""
     if spark.sparkContext._jsc is None:
         return
     for path in _WRITTEN:
@@ -40,3 +46,11 @@ def _clean(spark: SparkSession) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package where the driver has it (a cluster ships it)."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
