@@ -1,4 +1,4 @@
-"""Shared pieces: the shared folder, word and shingle hashing, packed blobs, connected components.
+"""Shared pieces: kept tables, word and shingle hashing, packed blobs, connected components.
 
 Large shuffles here move *blobs* (packed numpy arrays, one row for thousands of values) instead of one
 row for each value: the JVM sees few rows and the arrays are sorted and counted by numpy.
@@ -6,14 +6,9 @@ row for each value: the JVM sees few rows and the arrays are sorted and counted
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_OWN = uuid.uuid4().hex
-_WRITTEN: list[str] = []
+from pelagraph.storage import cut, importable
 
 #: Multiplier of the rolling mix (2**64 divided by the golden ratio).
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bounds of an Arrow batch; smaller settings of the session stay.
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Hot keys that a join broadcasts, at most; see beside_hubs.
+HUBS = 200_000
 #: Words whose hash a Python worker remembers before it starts over.
 _MEMO_WORDS = 100_000
 
 
-# ---------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh temporary one where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="pelagraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return the table read back.
-
-    Lineage ends at files that every executor sees, so a lost executor costs only its running tasks.
-    """
-    spark = df.sparkSession
-    if not _WRITTEN:
-        atexit.register(_drop_written, spark)
-    path = f"{shared_dir(spark)}/pelagraph-{_OWN}/{name}-{uuid.uuid4().hex[:8]}"
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_written(spark: SparkSession) -> None:
-    """At the end of the driver's process; a session that has already stopped leaves its files."""
-    if spark.sparkContext._jsc is None:
-        return
-    for path in _WRITTEN:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            return
+    """df as a table in the shared folder; see pelagraph.storage."""
+    return cut(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +44,18 @@ def width(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have (Spark's names ignore case), one for each of names."""
+    have, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in have:
+            name = f"_{name}"
+        have.add(name)
+        out.append(name)
+    return out
+
+
 def crc_mod(doc_id: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
@@ -190,14 +167,6 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine find the package where the driver has it (a cluster ships it)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def give_back() -> None:
     """Return a worker's freed memory to the system: it waits beside the JVM for its next task."""
     pa.default_memory_pool().release_unused()
@@ -227,6 +196,21 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"a": pa.array(part, pa.int64()), "b": pa.array([root(x) for x in part], pa.int64())})
 
 
+def beside_hubs(rows: DataFrame, side: DataFrame, key: str, many: str, total: int) -> DataFrame:
+    """rows joined with side, which has one row a key, without dealing a hot key's rows to one task.
+
+    many: side's column with the key's number of rows; total: their sum. Keys of more than total / HUBS rows, of which there
+    cannot be more than HUBS, are broadcast; the others' rows are shuffled. side is read twice, so it should be kept.
+    """
+    bound = max(64, -(-total // HUBS))
+    names = [x for x in side.columns if x != key]
+    hubs = F.broadcast(side.where(F.col(many) > bound).select(key, *(F.col(x).alias(f"hub_{x}") for x in names)))
+    near = rows.join(hubs, key, "left")
+    lone = F.col(f"hub_{many}").isNull()
+    hot = near.where(~lone).select(*rows.columns, *(F.col(f"hub_{x}").alias(x) for x in names))
+    return hot.unionByName(near.where(lone).select(*rows.columns).join(side.where(F.col(many) <= bound), key))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): label is the smallest node reached over the undirected edges; nodes without edge are absent.
 
@@ -237,8 +221,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = keep(map_arrow(e, _local_forest, "a long, b long"), "forest")
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("deg")), "least")
+        large = beside_hubs(both.where("b > a"), least, "a", "deg", 2 * e.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         large = keep(map_arrow(large.distinct(), _local_forest, "a long, b long"), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")

@@ -14,13 +14,20 @@ How it runs, each step over all documents:
    and a verification for each of the ``sum / m`` partners that can share m prefix shingles, where sum adds
    up the prefix's counts. A prefix that has to hold frequent shingles is so lengthened, and asks for
    correspondingly more matches.
-3. *Classes of candidates.* Prefix entries meet by hash range, as blobs; those that meet another content
-   stay. A document with fewer of them than any partner would ask for has no link and goes. Each shingle
-   ties the others to its smallest content. The ties' components hold every pair that could link.
-4. *Verification.* Components are cut into blocks of a bounded number of documents and shingles, and each
-   pair of blocks is one group: it counts shared prefix shingles, keeps pairs with ``min(m_x, m_y)`` or
-   more whose sizes allow the threshold, counts their whole intersection exactly, and returns a spanning
-   forest of the links, never the pairs. Exact copies are one content throughout.
+3. *Entries that meet.* Prefix entries meet by hash range, as blobs; those that meet another content stay. A
+   document with fewer of them than any partner would ask for has no link and goes.
+4. *Stars.* Each shingle names one centre, the content whose entries met the most. A document that shares enough
+   with a centre is verified against the one it shares most with: one verification a document. The links found are
+   contracted to classes, so a group of near copies, however large, has cost one verification a member.
+5. *Pairs.* Shingles whose contents are of one class by now have done their work. Of the others, those in at most
+   ``SMALL`` contents give their pairs over different classes; equal lists of contents (a shared passage) are one
+   list with a weight. Pairs that share at least ``min(m_x, m_y)`` are verified, each against its own texts alone.
+6. *Blocks.* Shingles in more contents than that only matter for documents that can reach their number of matches
+   by such shingles. These are cut into blocks of a bounded number of documents and shingles by class; each two
+   blocks, unless both are of one class, are one group, which counts shared prefix shingles and verifies.
+
+Verification counts the whole intersection exactly. Exact copies are one content throughout; step 5 and 6 see a pair
+in any class at most once, and links are kept as forests.
 
 Defined results: null or empty text: n_shingles 0, alone. Fewer than five words: one shingle of the whole
 sequence. Equal texts are one class. A repeated doc_id gives one result row for each row. A null doc_id
@@ -52,7 +59,11 @@ SHARE, MULTIPLES = 8, (1, 2, 4)
 #: Verified shingles that cost as much as one prefix entry.
 CHEAP = 16
 #: Bounds of a block of candidates.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
+#: A shingle in more contents than this gives blocks instead of pairs.
+SMALL = 32
+#: Partners verified against one text in one group.
+CHUNK = 256
 #: Candidates (under 50 bytes each) that a join may broadcast.
 BROADCAST_ROWS = 500_000
 #: Hashes gathered in a task before they leave as blobs; bytes of text cut into words at once.
@@ -98,7 +109,8 @@ def _count_blobs(bits: int):
         held: list[np.ndarray] = []
         size = 0
         for ids, keys, sets in _sets(batches):
-            rows: list[tuple] = [(k & ((1 << bits) - 1), 0, i, k, len(s), None, None) for i, k, s in zip(ids, keys.tolist(), sets, strict=True)]
+            deal = c.finish(np.array([i or 0 for i in ids], np.int64).view(np.uint64) + np.arange(len(ids), dtype=np.uint64)) >> np.uint64(64 - bits)
+            rows: list[tuple] = [(p, 0, i, k, len(s), None, None) for p, i, k, s in zip(deal.astype(np.int64).tolist(), ids, keys.tolist(), sets, strict=True)]
             for k, s in zip(keys.tolist(), sets, strict=True):
                 if len(s) and k not in seen:  # copies within a task count once
                     seen.add(k)
@@ -204,38 +216,41 @@ def _prefix_blobs(bits: int, known):
         o = np.argsort(h, kind="stable")
         h, key = h[o], key[o]
         low = (h >> np.uint64(32 - bits)).astype(np.uint32)
-        #: 40 bits of the content's key: who shares them is one candidate, told apart when verified.
-        short = np.ascontiguousarray((key & 0xFFFFFFFFFF).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         for part, at in c.split_at((h >> np.uint64(64 - bits)).astype(np.int64)):
-            yield part, c.pack_sorted(low[at]), short[at].tobytes()
+            yield part, c.pack_sorted(low[at]), key[at].tobytes(), None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()), ("m", pa.int32())])
         seen: set[int] = set()
-        held, size = [], 0
+        held, size, rows = [], 0, []
         for _, keys, sets in _sets(batches):
             for k, s, f in zip(keys.tolist(), sets, _frequencies(sets, known.value, bits), strict=True):
                 if len(s) and k not in seen:
                     seen.add(k)
-                    p, _ = prefix(s, f)
+                    p, m = prefix(s, f)
                     held.append((p, k))
+                    rows.append((k & ((1 << bits) - 1), None, None, k, m))
                     size += len(p)
             if size > FLUSH:
-                yield c.emit(schema, list(blobs(held)))
-                held, size = [], 0
-        yield c.emit(schema, list(blobs(held)))
+                yield c.emit(schema, [*blobs(held), *rows])
+                held, size, rows = [], 0, []
+        yield c.emit(schema, [*blobs(held), *rows])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix entries (shingle, content) whose shingle is in several contents' prefixes."""
+    """The prefix entries (shingle, content) whose shingle is in several contents' prefixes; contents' m pass (without shingle)."""
+    schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("m", pa.int32())])
     for part, rows in c.grouped(batches, "part"):
+        asks = [(None, r["key"], r["m"]) for r in rows if r["a"] is None]
+        if asks:
+            yield c.emit(schema, asks)
+        rows = [r for r in rows if r["a"] is not None]
+        if not rows:
+            continue
         low = np.concatenate([c.unpack_sorted(r["a"]) for r in rows])
-        raw = np.concatenate([np.frombuffer(r["b"], np.uint8).reshape(-1, 5) for r in rows])
-        key = np.zeros((len(raw), 8), np.uint8)
-        key[:, :5] = raw
-        key = key.view("<u8").ravel().astype(np.int64)
+        key = np.concatenate([np.frombuffer(r["b"], np.int64) for r in rows])
         o = np.lexsort((key, low))
         low, key = low[o], key[o]
         new = np.diff(low, prepend=~low[:1]) != 0
@@ -243,9 +258,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, key, new = low[fresh], key[fresh], new[fresh]
         size = np.diff([*np.flatnonzero(new), len(low)])
         several = np.repeat(size > 1, size)
-        token = (np.int64(part) << np.int64(32)) | low[several].astype(np.int64)
+        token, key = (np.int64(part) << np.int64(32)) | low[several].astype(np.int64), key[several]
         for at in range(0, len(token), 100_000):
-            yield pa.RecordBatch.from_pydict({"token": pa.array(token[at : at + 100_000], pa.int64()), "short": pa.array(key[several][at : at + 100_000], pa.int64())})
+            n = len(token[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(token[at : at + n]), pa.array(key[at : at + n]), pa.nulls(n, pa.int32())], schema=schema)
 
 
 def shared_counts(doc: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
@@ -296,28 +312,59 @@ def links(sets: list[np.ndarray], prefixes: list[np.ndarray], asked: np.ndarray,
     return rows[np.argwhere(good)]
 
 
-def _verify(group: pa.Table) -> pa.Table:
-    names = ["key", "blk", "i", "j", "asked", "shingles", "prefix"]
-    key, blk, i, j, asked, sets, pre = (group.column(x).to_pylist() for x in names)
-    _, at = np.unique(np.array(key, np.int64), return_index=True)
-    sets = [np.frombuffer(sets[x], np.uint64) for x in at]
-    pre = [np.frombuffer(pre[x], np.uint64) for x in at]
-    keys = np.array(key, np.int64)[at]
-    side = np.array(blk)[at] if i[0] != j[0] else None
-    found = links(sets, pre, np.array(asked)[at], side) if len(at) > 1 else np.zeros((0, 2), np.int64)
-    parent = list(range(len(at)))
+def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(node, smallest node reached) of the nodes 0..n-1 that pairs join to a smaller one."""
+    parent = list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for a, b in found.tolist():
+    for a, b in pairs.tolist():
         a, b = root(a), root(b)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    child = [x for x in range(len(at)) if root(x) != x]
-    return pa.table({"a": pa.array(keys[child], pa.int64()), "b": pa.array(keys[[root(x) for x in child]], pa.int64())})
+    return [(x, root(x)) for x in range(n) if root(x) != x]
+
+
+def _verify_blocks(group: pa.Table) -> pa.Table:
+    names = ["key", "blk", "i", "j", "asked", "shingles", "prefix"]
+    key, blk, i, j, asked, sets, pre = (group.column(x).to_pylist() for x in names)
+    _, at = np.unique(np.array(key, np.int64), return_index=True)
+    sets = [np.frombuffer(sets[x], np.uint64) for x in at]
+    pre = [np.frombuffer(pre[x], np.uint64) for x in at]
+    keys = np.array(key, np.int64)[at]
+    side = np.array([blk[x] for x in at]) if i[0] != j[0] else None
+    found = links(sets, pre, np.array(asked)[at], side) if len(at) > 1 else np.zeros((0, 2), np.int64)
+    tree = _forest(found, len(at))
+    return pa.table({"a": pa.array(keys[[x for x, _ in tree]], pa.int64()), "b": pa.array(keys[[y for _, y in tree]], pa.int64())})
+
+
+def linked_to(anchor: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each other set links with the anchor's. All are sorted."""
+    of, flat = _flat(others)
+    at = np.minimum(np.searchsorted(anchor, flat), len(anchor) - 1)
+    inter = np.bincount(of[anchor[at] == flat], minlength=len(others))
+    size = np.array([len(x) for x in others], np.int64)
+    return 100 * inter >= THRESHOLD * (len(anchor) + size - inter)
+
+
+def _verify_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, anchor, key, shingles) sorted by grp -> the links (key, anchor)."""
+    a, b = [], []
+    for _, rows in c.grouped(batches, "grp"):
+        own = {r["anchor"]: np.frombuffer(r["shingles"], np.uint64) for r in rows if r["anchor"] == r["key"]}
+        for name, anchor in own.items():
+            rest = [r for r in rows if r["anchor"] == name != r["key"]]
+            if rest:
+                good = linked_to(anchor, [np.frombuffer(r["shingles"], np.uint64) for r in rest])
+                a += [r["key"] for r, g in zip(rest, good.tolist(), strict=True) if g]
+                b += [name] * (len(a) - len(b))
+        if len(a) > 50_000:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b = [], []
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -330,6 +377,84 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _classed(docs, id_col, text_col, frequent).select("doc_id", "n_shingles", "component_id")
 
 
+class _Texts:
+    """The named rows, and the sets of those contents that are asked for."""
+
+    def __init__(self, named: DataFrame, known, bits: int, parts: int):
+        self.named, self.known, self.bits, self.parts = named, known, bits, parts
+
+    def sets(self, wanted: DataFrame, columns: list[str], prefixes: bool = False) -> DataFrame:
+        """wanted: doc_id, key and columns, one row a key. Adds shingles; with prefixes also asked and prefix."""
+        known, bits = self.known, self.bits
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row whose text is not the wanted content (a repeated doc_id) goes."""
+            memo = c.WordHash()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    docs = [c.words_of(x) for x in c.as_bytes(part.column(0))]
+                    fits = [i for i, (d, k) in enumerate(zip(docs, part.column(1).to_pylist(), strict=True)) if c.content_key(d) == k]
+                    sets = c.shingle_sets([docs[i] for i in fits], memo, K)
+                    out = [*part.select(["key", *columns]).take(pa.array(fits, pa.int64())).columns, pa.array([s.tobytes() for s in sets], pa.binary())]
+                    if prefixes:
+                        pre = [prefix(s, f) for s, f in zip(sets, _frequencies(sets, known.value, bits), strict=True)]
+                        out += [pa.array([m for _, m in pre], pa.int32()), pa.array([p.tobytes() for p, _ in pre], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, names=["key", *columns, "shingles", *(["asked", "prefix"] if prefixes else [])])
+
+        rows = self.named.join(_small(wanted), "doc_id").select("text", "key", *columns)
+        schema = ", ".join(["key long", *(f"{x} {t}" for x, t in wanted.dtypes if x in columns), "shingles binary", *(["asked int", "prefix binary"] if prefixes else [])])
+        return c.map_arrow(rows, fetch, schema)
+
+    def linked(self, pairs: DataFrame, alive: DataFrame, name: str) -> DataFrame:
+        """pairs: (a, b) of keys, distinct. The links among them, each verified on the whole sets (kept as table).
+
+        The end of more pairs is the anchor, whose set meets its partners' in groups of at most CHUNK.
+        """
+        pairs = c.keep(pairs, name + "-pairs")
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count()
+        top = lambda x: degree.select(F.col("key").alias(x), F.col("count").alias("n" + x))
+        both = pairs.join(_small(top("a")), "a").join(_small(top("b")), "b")
+        turn = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        both = both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("anchor"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("key"))
+        cuts = both.groupBy("anchor").agg(F.count("*").alias("many")).join(_small(alive.select(F.col("key").alias("anchor"), "n")), "anchor")
+        cuts = cuts.select("anchor", F.greatest(F.ceil(F.col("many") / CHUNK), F.ceil(F.col("many") * F.col("n") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
+        own = cuts.select("anchor", F.col("anchor").alias("key"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+        side = both.join(_small(cuts), "anchor").select("anchor", "key", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int").alias("cut"))
+        side = c.keep(side.unionByName(own).withColumn("grp", F.xxhash64("anchor", "cut")).drop("cut"), name + "-sides")
+        wanted = alive.join(_small(side.select("key").distinct()), "key", "left_semi").select("doc_id", "key")
+        met = self.sets(wanted, []).join(_small(side), "key").select("grp", "anchor", "key", "shingles")
+        met = met.repartition(self.parts, "grp").sortWithinPartitions("grp")
+        return c.keep(c.map_arrow(met, _verify_anchors, "a long, b long"), name)
+
+
+def star_pairs(post: DataFrame, alive: DataFrame) -> DataFrame:
+    """(a, b): each content and the centre that it shares most with, where that is enough. post: token, key, rank."""
+    centres = c.keep(post.groupBy("token").agg(F.min_by("key", "rank").alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
+    met = c.beside_hubs(post.drop("rank"), centres, "token", "many", post.count()).where("key != centre").groupBy("key", "centre").agg(F.count("*").alias("same"))
+    mine, other = alive.select("key", "n", "m"), alive.select(F.col("key").alias("centre"), F.col("n").alias("cn"), F.col("m").alias("cm"))
+    fits = met.join(_small(mine), "key").join(_small(other), "centre").where("same >= least(m, cm)").where(_sizes("n", "cn"))
+    order = F.col("same") * (1 << 40) + F.col("centre").bitwiseAND(F.lit((1 << 40) - 1))
+    return fits.groupBy("key").agg(F.max_by("centre", order).alias("b")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
+def _sizes(x: str, y: str) -> str:
+    return f"100 * {x} >= {THRESHOLD} * {y} and 100 * {y} >= {THRESHOLD} * {x}"
+
+
+def list_pairs(post: DataFrame, alive: DataFrame, wide: DataFrame) -> DataFrame:
+    """(a, b): contents of different classes that share enough shingles of few contents.
+
+    post: token, key, cls, of tokens in at most SMALL contents. wide: key, big, the number of a content's other live tokens.
+    """
+    lists = post.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("key", "cls"))).alias("of")).groupBy("of").agg(F.count("*").alias("w"))
+    each = F.expr("explode(flatten(transform(of, (x, i) -> transform(filter(slice(of, i + 2, size(of)), y -> y.cls != x.cls), y -> struct(x.key AS a, y.key AS b)))))")
+    met = lists.select("w", each.alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("same"))
+    facts = alive.join(_small(wide), "key", "left").select("key", "n", "m", F.coalesce("big", F.lit(0)).alias("big"))
+    side = lambda x: _small(facts.select(F.col("key").alias(x), *(F.col(y).alias(x + y) for y in ("n", "m", "big"))))
+    return met.join(side("a"), "a").join(side("b"), "b").where("same + least(abig, bbig) >= least(am, bm)").where(_sizes("an", "bn")).select("a", "b")
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> DataFrame:
     """jaccard_components with each row's content key and class (null where it links with nothing by definition)."""
     spark = docs.sparkSession
@@ -343,42 +468,34 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> Data
     known = spark.sparkContext.broadcast(_frequent(found, bits, frequent))
 
     named = texts.where("doc_id is not null")
-    entries = by_part(c.map_arrow(named, _prefix_blobs(bits, known), "part int, a binary, b binary"))
-    post = c.keep(c.map_arrow(entries, _shared, "token long, short long"), "entries")
+    entries = by_part(c.map_arrow(named, _prefix_blobs(bits, known), "part int, a binary, b binary, key long, m int"))
+    post = c.keep(c.map_arrow(entries, _shared, "token long, key long, m int"), "entries")
+    asks = post.where("token is null").groupBy("key").agg(F.max("m").alias("m"))
+    post = post.where("token is not null").drop("m")
 
     contents = meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    contents = contents.withColumn("short", F.col("key").bitwiseAND(F.lit(0xFFFFFFFFFF)))
     #: No partner is smaller than the overlap, so none asks for less than its share of that.
     asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) / SHARE))
-    alive = c.keep(contents.join(post.groupBy("short").agg(F.count("*").alias("met")), "short").where(F.col("met") >= asked).drop("met"), "alive")
-    post = post.join(_small(alive.select("short").distinct()), "short", "left_semi")
-    centres = post.groupBy("token").agg(F.min("short").alias("centre"), F.count("*").alias("many")).where("many > 1").drop("many")
-    ties = post.join(centres, "token").where("short != centre").select("short", "centre").distinct()
-    cand = c.components(ties, "short", "centre").withColumnRenamed("node", "short").withColumnRenamed("label", "comp")
-    chosen = c.keep(alive.join(cand, "short").drop("short"), "chosen")
-    sizes = chosen.groupBy("comp").agg(F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
-    chosen = chosen.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates' sets and prefixes; a row whose text is not the wanted content (a repeated doc_id) goes."""
-        memo = c.WordHash()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                docs = [c.words_of(x) for x in c.as_bytes(part.column(0))]
-                fits = [i for i, (d, k) in enumerate(zip(docs, part.column(1).to_pylist(), strict=True)) if c.content_key(d) == k]
-                sets = c.shingle_sets([docs[i] for i in fits], memo, K)
-                pre = [prefix(s, f) for s, f in zip(sets, _frequencies(sets, known.value, bits), strict=True)]
-                rest = part.select(["key", "comp", "blk", "blocks"]).take(pa.array(fits, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([m for _, m in pre], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([p.tobytes() for p, _ in pre], pa.binary())], names=["key", "comp", "blk", "blocks", "asked", "shingles", "prefix"])
-
-    wanted = named.join(_small(chosen), "doc_id").select("text", "key", "comp", "blk", "blocks")
-    if meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        wanted = wanted.distinct()  # rows of a repeated id, before they meet in one group
-    sets = c.map_arrow(wanted, fetch, "key long, comp long, blk int, blocks int, asked int, shingles binary, prefix binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other", "blocks")
-    linked = pairs.groupBy("comp", "i", "j").applyInArrow(_verify, "a long, b long")
+    alive = contents.join(post.groupBy("key").agg(F.count("*").alias("met")), "key").withColumn("asked", asked).where("met >= asked").join(asks, "key")
+    alive = c.keep(alive, "alive")
+    facts = _Texts(named, known, bits, parts)
+
+    #: The share of a content's shingles that met others, the greatest first; then the key.
+    rank = F.floor((1 - F.col("met") / F.greatest("n", "met")) * 1023).cast("long") * (1 << 52) + F.col("key").bitwiseAND(F.lit((1 << 52) - 1))
+    post = c.keep(post.join(_small(alive.select("key", rank.alias("rank"))), "key"), "alive-entries")
+    stars = facts.linked(star_pairs(post, alive), alive, "stars")
+    tied = c.components(stars, "a", "b")
+
+    post = post.join(_small(tied), F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("label", "key").alias("cls"))
+    live = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many")).where("lo != hi").select("token", "many")
+    live = c.keep(live, "live-tokens")
+    live = c.keep(c.beside_hubs(post, live, "token", "many", live.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "live")
+    wide = c.keep(live.where(F.col("many") > SMALL).groupBy("key").agg(F.count("*").alias("big")), "wide")
+    linked = facts.linked(list_pairs(live.where(F.col("many") <= SMALL), alive, wide), alive, "linked")
+    linked = linked.unionByName(stars)
+    dense = alive.join(_small(wide), "key").where("big >= asked")
+    if dense.take(1):
+        linked = linked.unionByName(_dense(live.where(F.col("many") > SMALL), dense, facts))
     classes = c.components(linked, "a", "b")
 
     classes = _small(classes)
@@ -389,16 +506,43 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> Data
     return rows.withColumn("cls", on).join(least, "cls", "left").select("doc_id", "key", "cls", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _key, the content key of each row's text."""
+def _dense(post: DataFrame, dense: DataFrame, facts: _Texts) -> DataFrame:
+    """Links among contents that share enough shingles of many contents. post: token, key, cls of those shingles.
+
+    The contents that such shingles tie are cut into blocks. A class of more than a block's documents has blocks of
+    its own, which need not meet each other; the other classes share blocks by a hash of the class.
+    """
+    post = post.join(_small(dense.select("key")), "key", "left_semi")
+    centres = post.groupBy("token").agg(F.min("key").alias("centre"))
+    comps = c.components(post.join(centres, "token").where("key != centre").select("key", "centre").distinct(), "key", "centre")
+    rows = dense.join(post.select("key", "cls").distinct(), "key").join(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key")
+    rows = c.keep(rows.select("key", "doc_id", "n", "cls", "comp"), "dense")
+    cuts = F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+    own = rows.groupBy("comp", "cls").agg(cuts.alias("own")).where("own > 1")
+    rows = rows.join(_small(own), ["comp", "cls"], "left")
+    rest = rows.where("own is null").groupBy("comp").agg(cuts.alias("rest"))
+    rows = rows.join(_small(rest), "comp", "left")
+    blk = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("cls"), F.col("rest"))).otherwise(F.xxhash64("cls", F.pmod(F.xxhash64("key"), F.col("own"))))
+    rows = c.keep(rows.select("key", "doc_id", "comp", blk.alias("blk"), F.when(F.col("own").isNotNull(), F.col("cls")).alias("whole")), "blocks")
+    blocks = rows.groupBy("comp", "blk").agg(F.max("whole").alias("whole"))
+    met = blocks.select("comp", F.col("blk").alias("i"), F.col("whole").alias("iw")).join(blocks.select("comp", F.col("blk").alias("j"), F.col("whole").alias("jw")), "comp")
+    met = c.keep(met.where("i <= j and not (iw is not null and iw <=> jw)").select("comp", "i", "j"), "meetings")
+    seats = met.select("comp", "i", "j", F.col("i").alias("blk")).unionByName(met.select("comp", "i", "j", F.col("j").alias("blk"))).distinct()
+    sets = facts.sets(rows.drop("whole"), ["comp", "blk"], prefixes=True)
+    groups = sets.join(_small(seats), ["comp", "blk"])
+    return c.keep(groups.groupBy("comp", "i", "j").applyInArrow(_verify_blocks, "a long, b long"), "dense-links")
+
+
+def _keyed(docs: DataFrame, text_col: str, key: str) -> DataFrame:
+    """docs with the content key of each row's text as column key."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [c.content_key(c.words_of(x)) for x in c.as_bytes(batch.column(at).cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, key])
 
-    return c.map_arrow(docs, run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    return c.map_arrow(docs, run, StructType([*docs.schema.fields, StructField(key, LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,19 +551,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without doc_id stay (they link with nothing). Of rows with the same doc_id and the same words, or both without
     any, the one whose JSON sorts first stays. Rows that share an id only are judged each by its own class.
     """
+    id_, gone, again_, stay_, key, nth = c.fresh(docs, "id", "gone", "again", "stay", "key", "nth")
+    mine = F.col(f"`{id_col}`").cast("long")
     found = c.keep(_classed(docs, id_col, text_col, FREQUENT), "classes").where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("many"))
-    later = ids.where("not first").select(F.col("doc_id").alias("_later"))
-    rows = docs.join(_small(later), F.col(id_col) == F.col("_later"), "left_anti")
-    again = ids.where("many > 1").select(F.col("doc_id").alias("_again"))
-    if not again.take(1):
+    ids = c.keep(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("many")), "ids")
+    later = ids.where("not first").select(F.col("doc_id").alias(gone))
+    rows = docs.join(_small(later), mine == F.col(gone), "left_anti")
+    again = ids.where("many > 1 and first").select(F.col("doc_id").alias(again_))
+    if not again.take(1):  # no id repeats among those that stay
         return rows
-    again = _small(c.keep(again, "again"))
-    stay = found.where("doc_id = component_id").join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-    stay = stay.groupBy("doc_id", "cls").agg(F.min("key").alias("_stay")).select(F.col("doc_id").alias("_id"), "_stay")
-    same = F.col(id_col) == F.col("_again")
-    several = _keyed(rows.join(again, same, "left_semi"), text_col)
-    several = several.join(stay, (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_stay")), "left_semi")
-    order = Window.partitionBy(id_col, "_key").orderBy(F.to_json(F.struct(*(F.col(f"`{x}`") for x in docs.columns))))
-    several = several.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_key")
+    again = _small(again)
+    stay = found.where("doc_id = component_id").join(again, F.col("doc_id") == F.col(again_), "left_semi")
+    stay = stay.groupBy("doc_id", "cls").agg(F.min("key").alias(stay_)).select(F.col("doc_id").alias(id_), stay_).distinct()
+    same = mine == F.col(again_)
+    several = _keyed(rows.join(again, same, "left_semi"), text_col, key)
+    several = several.join(stay, (mine == F.col(id_)) & (F.col(key) == F.col(stay_)), "left_semi")
+    order = Window.partitionBy(mine, key).orderBy(F.to_json(F.struct(*(F.col(f"`{x}`") for x in docs.columns))))
+    several = several.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth, key)
     return rows.join(again, same, "left_anti").unionByName(several)

@@ -66,15 +66,67 @@ def test_jaccard_same_as_brute_force(spark, seed, frequent):
     assert got == brute(rows)
 
 
-def test_jaccard_blocks_same_as_one_block(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1, 3])
+def test_jaccard_blocks_same_as_one_block(spark, monkeypatch, small):
     rows = corpus(5)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], SCHEMA)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 2)
     monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df).collect()}
     assert got == brute(rows)
 
 
+def test_jaccard_large_group_and_boilerplate(spark):
+    """More near copies, and more texts of one boilerplate, than a shingle may have to give pairs."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(90):  # near copies whose mutual similarity lies about the threshold
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2])):
+            w[r.randrange(80)] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    boiler = [f"p{i}" for i in range(60)]
+    for i in range(90):  # texts that are mostly boilerplate, some linked
+        rows.append((100 + i, " ".join(boiler + [f"q{r.randrange(10**6)}" for _ in range(r.choice([4, 12, 15, 25]))])))
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.jaccard_components(df).collect()}
+    assert got == brute(rows)
+
+
+def test_shared_passages_give_few_pairs(spark, monkeypatch):
+    """Unlinked texts of sentences that about three others quote: pairs follow the shared shingles, not the tied texts."""
+    r = random.Random(4)
+    sentences = [" ".join(f"v{r.randrange(3000)}" for _ in range(12)) for _ in range(4000)]
+    rows = [(i, " ".join(r.choice(sentences) for _ in range(20)), 0, "x") for i in range(600)]
+    seen = []
+    linked = ngram_jaccard._Texts.linked
+
+    def counting(self, pairs, alive, name):
+        seen.append(pairs.count())
+        return linked(self, pairs, alive, name)
+
+    monkeypatch.setattr(ngram_jaccard._Texts, "linked", counting)
+    monkeypatch.setattr(ngram_jaccard, "_dense", lambda *a: pytest.fail("no shingle here is in so many texts"))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(x.component_id == x.doc_id for x in got) and len(got) == 600
+    assert len(seen) == 2 and max(seen) <= 600
+
+
+def test_components_of_a_star_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", 3)
+    edges = [(5, 100 + i) for i in range(400)] + [(100 + i, 900 + i) for i in range(0, 400, 7)] + [(1, 5), (2000, 2001)]
+    got = dict(common.components(spark.createDataFrame(edges, "x long, y long").repartition(5), "x", "y").collect())
+    assert {v for k, v in got.items() if k < 2000} == {1} and got[2001] == 2000
+
+
+def test_keep_one_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "a b", 7, 8, 9), (2, "c", 7, 8, 9)], "doc_id long, text string, _gone int, _Stay int, first int")
+    assert sorted((x.doc_id, x.text) for x in ngram_jaccard.keep_one(df).collect()) == [(1, "a b"), (2, "c")]
+
+
 def test_jaccard_edges(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None, 1, "a"), (2, "", 1, "a"), (3, " \t\n", 1, "a"), (4, "A b", 1, "a"), (5, "a  B", 1, "a"), (5, "a b", 1, "a"), (None, "a b", 1, "a"), (6, long, 1, "a"), (7, long + " end", 1, "a")]
@@ -157,12 +209,43 @@ def test_neighbours_edges(spark):
     assert onebit_ann.nearest(spark.createDataFrame([], VEC), F.col("vec_id") % 20 == 0).collect() == []
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [3, 64])
+def test_estimates_are_unbiased_and_bounded(dim):
     r = np.random.default_rng(1)
-    x, q = r.standard_normal((4000, 64)), r.standard_normal(64)
-    turn = onebit_ann.rotation(64, 128)
-    codes, norm, a = onebit_ann.encode(x, turn)
-    est = ((np.unpackbits(codes, axis=1) * 2.0 - 1) @ (q @ turn)) * norm / a / np.sqrt(128)
-    width = onebit_ann.EPSILON * np.linalg.norm(q) * norm * np.sqrt(1 - a * a) / a / np.sqrt(127)
-    err = est - x @ q
-    assert abs(err.mean()) < 0.05 * np.abs(x @ q).mean() and (np.abs(err) <= width).mean() > 0.97
+    x, q = r.standard_normal((4000, dim)), r.standard_normal((1, dim))
+    turn = onebit_ann.rotation(dim, onebit_ann.bits_for(dim))
+    codes, norm, a, ones = onebit_ann.encode(x, turn)
+    planes, scalars = onebit_ann.encode_queries(q, turn)
+    est, width = onebit_ann.estimate(codes, norm, a, ones, planes[0], scalars[0])
+    err, true = est - x @ q[0], np.abs(x @ q[0]).mean()
+    assert codes.dtype == np.uint64 and codes.shape == (4000, onebit_ann.bits_for(dim) // 64)
+    assert abs(err.mean()) < 0.05 * true and (np.abs(err) <= width).mean() > 0.97 and width.mean() < 3 * true
+
+
+def test_packed_estimate_is_the_unpacked_product():
+    r = np.random.default_rng(2)
+    turn = onebit_ann.rotation(20, onebit_ann.bits_for(20))
+    bits = turn.shape[1]
+    x, q = r.standard_normal((50, 20)), r.standard_normal((3, 20))
+    codes, norm, a, ones = onebit_ann.encode(x, turn)
+    planes, scalars = onebit_ann.encode_queries(q, turn)
+    sign = np.where(x @ turn > 0, 1, -1) / np.sqrt(bits)
+    for j in range(3):
+        u = sum(np.unpackbits(planes[j][p].view(np.uint8)).astype(int) << p for p in range(onebit_ann.PLANES))
+        rounded = scalars[j][1] + scalars[j][2] * u
+        assert np.abs(rounded - (q[j] / np.linalg.norm(q[j])) @ turn).max() <= scalars[j][2] / 2 + 1e-12
+        want = sign @ rounded * norm / a * np.linalg.norm(q[j])
+        assert np.abs(onebit_ann.estimate(codes, norm, a, ones, planes[j], scalars[j])[0] - want).max() < 1e-9
+
+
+def test_equal_vectors_in_several_blocks(spark):
+    """All scores equal: the smaller ids win, in whatever blocks they are."""
+    df = spark.createDataFrame([(i, [0.6, 0.8], 1, 1) for i in range(60)], VEC)
+    got = onebit_ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, block=7, queries=1).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, n + 1): v for q in (0, 20, 40) for n, v in enumerate([i for i in range(6) if i != q][:5])}
+
+
+def test_very_long_and_very_small_vectors(spark):
+    df = spark.createDataFrame([(0, [1e30, 2e30], 1, 1), (1, [1e-30, 0.0], 1, 1), (2, [3e30, 1e30], 1, 1)], VEC)
+    got = [(r.query_id, r.vec_id) for r in onebit_ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 2), (0, 1)]
