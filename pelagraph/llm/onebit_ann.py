@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Every vector is divided by its norm, padded to the code's length and multiplied by one random rotation; the
-signs are its code, packed eight to a byte. Beside it stand two correction scalars: the norm, and the inner
-product a of the rotated unit vector with its own sign vector (scaled to length 1). For a query q the value
-``<code, q> / a`` estimates the inner product without bias, with an error above
-``EPSILON * sqrt((1 - a^2) / a^2 / (bits - 1))`` times both norms only with a small probability. A block's
-vectors are reranked exactly where estimate plus bound reaches the k-th best of estimate minus bound.
-
-Queries are packed into blocks and meet each block of vectors once: work and traffic are those of a stated
-query set against all rows. A block holds at most ``BLOCK`` vectors on average, whatever the input, and is
-found by a hash of the id, so equal vectors spread like any others. No training: every row is indexed.
+signs are its code, packed into 64-bit words. Beside it stand the correction scalars: the norm, the inner product a of
+the rotated unit vector with its own sign vector (scaled to length 1), and the number of ones. A query is rotated alike
+and its components rounded to ``PLANES`` bits, whose planes are packed too: the inner product of code and query is a
+weighted sum of the ones in ``code & plane``. Divided by a it estimates the inner product of the vectors without bias,
+with an error above ``EPSILON`` times both norms times ``sqrt(((1 - a^2) / (bits - 1) + step^2 / 12) / a^2)`` only with a
+small probability (step: of the query's rounding).
+
+Codes meet, vectors do not: query planes are packed into blocks and meet each block of codes once, which is the work
+of a stated query set against all rows. A first round, of one block of codes for each block of queries, gives each query a floor:
+the k-th best of its lower bounds. In the second, of all blocks, a vector stays whose upper bound reaches the floor
+and the block's own k-th best lower bound; over all blocks, whose upper bound reaches the k-th best lower bound of all.
+Only for those are the vectors themselves fetched, and their inner products computed exactly.
+
+A block holds at most ``BLOCK`` codes on average, whatever the input, and is found by a hash of the id, so
+equal vectors spread like any others. No training: every row is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows with a null id. Rows that repeat an id count once, with the smallest vector. Only vectors of equal
@@ -20,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +37,11 @@ from pyspark.sql import functions as F
 from pelagraph.llm import common as c
 
 K, BLOCK, QUERIES = 20, 8192, 1024
-#: Bits a dimension (two give the bound of twice the length), width of the error bound, seed of the rotation.
-SPREAD, EPSILON, SEED = 2, 2.4, 11
+#: Bits a dimension, bits of a query's component, width of the error bound, seed of the rotation.
+SPREAD, PLANES, EPSILON, SEED = 4, 4, 2.4, 11
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
     """dim rows of a random orthogonal matrix of bits columns."""
     q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((bits, bits)))
@@ -41,14 +49,49 @@ def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
 
 
 def bits_for(dim: int) -> int:
-    return -(-SPREAD * dim // 8) * 8
+    return -(-SPREAD * dim // 64) * 64
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    return np.packbits(bits, axis=-1).view(np.uint64)
+
+
+def _turned(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(norms, rotated unit vectors); scaled first, so that no square leaves the range of doubles."""
+    top = np.abs(x).max(axis=1)
+    unit = x / top[:, None]
+    size = np.linalg.norm(unit, axis=1)
+    return top * size, (unit / size[:, None]) @ turn
+
+
+def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of 64-bit words, norms, a, ones) of the rows of x."""
+    norm, y = _turned(x, turn)
+    return _words(y > 0), norm, np.abs(y).sum(1) / np.sqrt(y.shape[1]), (y > 0).sum(1).astype(np.int64)
+
 
+def encode_queries(q: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(planes: rows of PLANES codes, scalars: rows of norm, least component, step and sum of the rounded components)."""
+    norm, y = _turned(q, turn)
+    low = y.min(axis=1)
+    step = (y.max(axis=1) - low) / (2**PLANES - 1)
+    step = np.where(step > 0, step, 1.0)
+    u = np.rint((y - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = np.stack([_words((u >> p) & 1) for p in range(PLANES)], axis=1)
+    return planes, np.stack([norm, low, step, u.sum(1, dtype=np.int64)], axis=1)
 
-def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed codes, norms, a) of the rows of x."""
-    norm = np.linalg.norm(x, axis=1)
-    y = (x / norm[:, None]) @ turn
-    return np.packbits(y > 0, axis=1), norm, np.abs(y).sum(1) / np.sqrt(y.shape[1])
+
+def estimate(codes: np.ndarray, norm: np.ndarray, a: np.ndarray, ones: np.ndarray, planes: np.ndarray, scalars: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated inner products of a query with coded vectors, error bounds), from packed bits and scalars alone."""
+    bits = codes.shape[1] * 64
+    hits = np.zeros(len(codes), np.int64)
+    for p in range(PLANES):
+        hits += np.bitwise_count(codes & planes[p]).sum(axis=1, dtype=np.int64) << p
+    q_norm, low, step, total = scalars
+    signed = (2 * step * hits + 2 * low * ones - step * total) / np.sqrt(bits) - np.sqrt(bits) * low
+    scale = norm * (q_norm / a)
+    return signed * scale, epsilon * scale * np.sqrt(np.maximum(0, 1 - a * a) / (bits - 1) + step * step / 12)
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -56,27 +99,12 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.multiply(x, q, dtype=np.float64).sum(axis=-1)
 
 
-def search(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, a: np.ndarray, q_ids: np.ndarray, q: np.ndarray, turn: np.ndarray, k: int = K, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (id, found ids, scores): the block's k best, in order, by estimate, bound and rerank."""
-    bits = turn.shape[1]
-    sign = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    spread = epsilon * norm * np.sqrt(np.maximum(0, 1 - a * a)) / a / np.sqrt(bits - 1)
-    for at in range(0, len(q), 128):
-        part = q[at : at + 128]
-        est = ((part @ turn).astype(np.float32) @ sign.T) * (norm / a / np.sqrt(bits))[None, :].astype(np.float32)
-        width = np.linalg.norm(part, axis=1)[:, None] * spread[None, :]
-        for j in range(len(part)):
-            own = ids == q_ids[at + j]
-            low = np.where(own, -np.inf, est[j] - width[j])
-            kth = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            near = np.flatnonzero((est[j] + width[j] >= kth) & ~own)
-            s = inner(x[near], part[j])
-            best = np.lexsort((ids[near], -s))[:k]
-            yield int(q_ids[at + j]), ids[near[best]], s[best]
-
-
-def _pack_blocks(dim_bits: bool):
-    """Rows (dim, blk, vec_id, embedding), sorted by block, into one row a block; with codes if asked."""
+def _kth(low: np.ndarray, k: int) -> float:
+    return float(np.partition(low, len(low) - k)[len(low) - k]) if len(low) >= k else -np.inf
+
+
+def _pack_blocks(queries: bool):
+    """Rows (dim, blk, vec_id, embedding), sorted by block, into one row of codes a block: of vectors, or of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -85,10 +113,14 @@ def _pack_blocks(dim_bits: bool):
             t = pa.Table.from_batches(held).combine_chunks()
             dim, blk = t.column("dim")[0].as_py(), t.column("blk")[0].as_py()
             o = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
-            ids = t.column("vec_id").to_numpy()[o]
             x = t.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)[o]
-            code, norm, a = encode(x, rotation(dim, bits_for(dim))) if dim_bits else (np.zeros(0, np.uint8), np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([blk], pa.int64()), "ids": [ids.tobytes()], "x": [x.astype(np.float64).tobytes()], "codes": [code.tobytes()], "norm": [norm.tobytes()], "a": [a.tobytes()]})
+            turn = rotation(dim, bits_for(dim))
+            if queries:
+                codes, scalars = encode_queries(x, turn)
+            else:
+                codes, *rest = encode(x, turn)
+                scalars = np.stack(rest, axis=1).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([blk], pa.int64()), "ids": [t.column("vec_id").to_numpy()[o].tobytes()], "codes": [codes.tobytes()], "scalars": [scalars.tobytes()]})
 
         for batch in batches:
             key = np.stack([batch.column("dim").to_numpy(), batch.column("blk").to_numpy()], 1)
@@ -106,32 +138,59 @@ def _pack_blocks(dim_bits: bool):
     return run
 
 
-_BLOCKS = "dim int, blk long, ids binary, x binary, codes binary, norm binary, a binary"
-
-
-def _blocks(rows: DataFrame, size: int, coded: bool) -> DataFrame:
-    """Packed blocks of about size vectors of one dimension, with the number of the dimension's blocks."""
+def _blocks(rows: DataFrame, size: int, queries: bool) -> DataFrame:
+    """Packed blocks of about size vectors of one dimension."""
     counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("blocks"))
     dealt = rows.join(counts, "dim").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
     dealt = dealt.select("dim", "blk", "vec_id", "embedding").repartition(c.width(rows), "dim", "blk").sortWithinPartitions("dim", "blk")
-    return c.keep(c.map_arrow(dealt, _pack_blocks(coded), _BLOCKS), "blocks")
+    return c.keep(c.map_arrow(dealt, _pack_blocks(queries), "dim int, blk long, ids binary, codes binary, scalars binary"), "blocks")
+
 
+def _meet(k: int, pilot: bool):
+    """Pairs of a block of queries and one of codes -> each query's floor (pilot), or the vectors that may be among its best."""
 
-def _search_pairs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                dim, f64 = r["dim"], lambda b: np.frombuffer(b, np.float64)
-                turn = rotation(dim, bits_for(dim))
                 ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                found = list(search(ids, f64(r["x"]).reshape(-1, dim), codes, f64(r["norm"]), f64(r["a"]), q_ids, f64(r["q"]).reshape(-1, dim), turn, k))
-                n = [len(x) for _, x, _ in found]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(np.array([x for x, _, _ in found], np.int64), n)), "vec_id": pa.array(np.concatenate([x for _, x, _ in found]) if found else [], pa.int64()), "score": pa.array(np.concatenate([s for _, _, s in found]) if found else [], pa.float64())})
+                words = bits_for(r["dim"]) // 64
+                codes = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), words)
+                norm, a, ones = np.ascontiguousarray(np.frombuffer(r["scalars"], np.float64).reshape(-1, 3).T)
+                planes = np.frombuffer(r["q_codes"], np.uint64).reshape(len(q_ids), PLANES, words)
+                scalars = np.frombuffer(r["q_scalars"], np.float64).reshape(-1, 4)
+                floors = np.full(len(q_ids), -np.inf) if pilot else np.frombuffer(r["floors"], np.float64)
+                out = []
+                for j in range(len(q_ids)):
+                    est, width = estimate(codes, norm, a, ones, planes[j], scalars[j])
+                    low = np.where(ids == q_ids[j], -np.inf, est - width)
+                    floor = max(floors[j], _kth(low, k))
+                    if pilot:
+                        out.append(floor)
+                    else:
+                        near = np.flatnonzero((est + width >= floor) & (ids != q_ids[j]))
+                        out.append((ids[near], low[near], (est + width)[near]))
+                if pilot:
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array([r["dim"]], pa.int32()), "q_ids": [r["q_ids"]], "q_codes": [r["q_codes"]], "q_scalars": [r["q_scalars"]], "floors": [np.array(out).tobytes()]})
+                elif out:
+                    n = [len(x) for x, _, _ in out]
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, n), **{name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("vec_id", "low", "high"))}})
 
     return run
 
 
+def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, vec_id, q, x) -> (query_id, vec_id, score)."""
+    for batch in batches:
+        q, x = batch.column("q"), batch.column("x")
+        size = np.diff(x.offsets.to_numpy())
+        score = np.zeros(batch.num_rows)
+        for dim in np.unique(size).tolist():
+            at = np.flatnonzero(size == dim)
+            rows = pa.array(at, pa.int64())
+            score[at] = inner(*(v.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for v in (x, q)))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dim, embedding of doubles): the vectors that take part, one for each id."""
     v = F.col(vector_col).cast("array<double>")
@@ -144,11 +203,21 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query (over vec_id) holds, its k nearest others."""
     rows = c.keep(valid(vectors, id_col, vector_col), "vectors")
-    base = _blocks(rows, block, True)
-    asked = _blocks(rows.where(is_query), queries, False)
-    places = base.groupBy("dim").agg(F.max("blk").alias("last"))
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q")).join(places, "dim").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
-    pairs = asked.join(base, ["dim", "blk"]).select("dim", "q_ids", "q", "ids", "x", "codes", "norm", "a").repartition(c.width(vectors))
-    found = c.map_arrow(pairs, _search_pairs(k), "query_id long, vec_id long, score double")
+    base = _blocks(rows, block, False)
+    asked = _blocks(rows.where(is_query), queries, True).select("dim", F.col("blk").alias("q_blk"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("scalars").alias("q_scalars"))
+    asked = asked.join(base.groupBy("dim").agg(F.max("blk").alias("last")), "dim")
+    meeting = lambda left: left.join(base, ["dim", "blk"]).repartition(c.width(vectors))
+
+    first = asked.withColumn("blk", F.pmod(F.xxhash64("q_blk"), F.col("last") + 1)).drop("q_blk", "last")
+    floors = c.map_arrow(meeting(first), _meet(k, True), "dim int, q_ids binary, q_codes binary, q_scalars binary, floors binary")
+    floors = c.keep(floors, "floors").join(asked.select("dim", "last").distinct(), "dim")
+    every = floors.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
+    near = c.keep(c.map_arrow(meeting(every), _meet(k, False), "query_id long, vec_id long, low double, high double"), "near")
+
+    best = near.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("nth") <= k)
+    floor = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))
+    near = near.join(floor, "query_id").where("floor is null or high >= floor").select("query_id", "vec_id")
+    met = near.join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    found = c.map_arrow(met.select("query_id", "vec_id", "q", "x"), _rerank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
