@@ -5,11 +5,16 @@ Two levels of machines:
 * *Characters.* Weighted arcs learned from labelled documents: whole words and stems (prefixes) with the lower
   confidence bound of their log odds between toxic and clean documents. A word takes its heaviest arc.
 * *Words of a clause.* Small machines for insult, threat, target, negation and reported speech are composed
-  into one deterministic machine over word classes. Each insult or threat that it reads adds its weight,
-  scaled by the state: less within three words of a negation, less after a verb of reporting, more (threats:
-  much more) where a target has been named. The sum is the clause's score; isolated words are never scored.
+  into one deterministic machine over word classes. It reads a clause from its first word to its last, and a clause
+  matches when an insult or a threat is read; what each adds depends on the state: little within three words of a
+  negation, less after a verb of reporting, more where a target has been named, and a threat next to nothing without one.
+  The sum is the matched clause's score.
 
-A logistic curve over six features of a document's clauses turns them into the score. Training documents
+An insult without target is a matched clause as well, an epithet, and counts in full (``UNAIMED``): toxic
+documents of the tables hold epithets among other words and name no target, so that a grammar which asks for one
+finds none of them. Features of a document are of its clauses only, none of a word.
+
+A logistic curve over five features of a document's clauses turns them into the score. Training documents
 are featurised without their own contribution to the arcs' counts, so they look like unseen ones.
 
 The fit uses at most ``TRAIN_ROWS`` labelled documents (those with the smallest hash of the id), which is
@@ -50,6 +55,8 @@ REPORTS = "said says told claims claimed wrote quoted reported reports according
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _CLOSED = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 _THREAT_WEIGHT = 2.0
+#: Factors of an insult with and without a target before it, and of a threat without; of a negated and of a reported word.
+AIMED_AT, UNAIMED, IDLE, DENIED, TOLD = 1.25, 1.0, 0.2, 0.4, 0.5
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,9 +72,9 @@ class Machine:
     factor: Callable[[int, int], float]
 
 
-NEGATED = Machine(0, lambda s, k: 3 if k == NEGATION else max(0, s - 1), lambda s, k: 0.4 if s else 1.0)
-REPORTED = Machine(0, lambda s, k: 1 if k == REPORT else s, lambda s, k: 0.5 if s else 1.0)
-AIMED = Machine(0, lambda s, k: 1 if k == TARGET else s, lambda s, k: (1.25 if s else 1.0) if k == INSULT else (1.0 if s else 0.2))
+NEGATED = Machine(0, lambda s, k: 3 if k == NEGATION else max(0, s - 1), lambda s, k: DENIED if s else 1.0)
+REPORTED = Machine(0, lambda s, k: 1 if k == REPORT else s, lambda s, k: TOLD if s else 1.0)
+AIMED = Machine(0, lambda s, k: 1 if k == TARGET else s, lambda s, k: (AIMED_AT if s else UNAIMED) if k == INSULT else (1.0 if s else IDLE))
 READS = Machine(0, lambda s, k: 0, lambda s, k: 1.0 if k in (INSULT, THREAT) else 0.0)
 
 
@@ -135,13 +142,25 @@ class Reader(dict):
 
 
 GRAMMAR = compose(READS, NEGATED, REPORTED, AIMED)
-FEATURES = 6
 
 
-def features(text: str | None, reader: Reader) -> list[float]:
-    """Best clause, sum of clauses, sum for the length, heaviest word, matched words, weight lost to context (all but the third as logarithms)."""
+def clause_score(read: list[tuple[int, float]], tokens: list[str]) -> tuple[float, float]:
+    """(score, weight lost to context) of a clause, whose words the machine reads in turn. A word counts once."""
     steps, factors = GRAMMAR
-    best = total = heaviest = lost = 0.0
+    state, total, lost, seen = 0, 0.0, 0.0, set()
+    for token, (k, w) in zip(tokens, read, strict=True):
+        if w and token not in seen:
+            seen.add(token)
+            gain = w * factors[state][k]
+            total += gain
+            lost += max(0.0, w - gain) if k == INSULT else 0.0
+        state = steps[state][k]
+    return total, lost
+
+
+def features(text: str | None, reader: Reader) -> list[float]:
+    """Best clause, sum of clauses, sum for the length, matched clauses, weight lost to context (all but the third as logarithms)."""
+    best = total = lost = 0.0
     matched = words = 0
     for clause in _CLAUSE.split((text or "").lower()):
         tokens = _WORD.findall(clause)
@@ -149,18 +168,9 @@ def features(text: str | None, reader: Reader) -> list[float]:
         read = [reader[w] for w in tokens]
         if not any(w for _, w in read):
             continue
-        state, score, seen = 0, 0.0, set()
-        for token, (k, w) in zip(tokens, read, strict=True):
-            if w and token not in seen:  # a word repeated within a clause says no more
-                seen.add(token)
-                gain = w * factors[state][k]
-                score += gain
-                lost += max(0.0, w - gain) if k == INSULT else 0.0
-                matched += k == INSULT
-                heaviest = max(heaviest, gain)
-            state = steps[state][k]
-        best, total = max(best, score), total + score
-    return [math.log1p(best), math.log1p(total), total / math.sqrt(words + 20), heaviest, math.log1p(matched), math.log1p(lost)]
+        score, less = clause_score(read, tokens)
+        best, total, lost, matched = max(best, score), total + score, lost + less, matched + 1
+    return [math.log1p(best), math.log1p(total), total / math.sqrt(words + 20), math.log1p(matched), math.log1p(lost)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
