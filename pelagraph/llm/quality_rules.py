@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pelagraph.llm import common as c
 
@@ -41,6 +42,9 @@ _NULL = "\0null"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SIGNALS = ("symbols", "lines", "words")
+RATIOS = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
+#: Strata whose three thresholds a join may broadcast.
+BROADCAST_STRATA = 10_000
 _SLICE = 2_000_000
 
 
@@ -161,7 +165,7 @@ def fit(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     rows = rows.select("lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).alias("half"), *COUNTS)
     rows = rows.withColumn("lang", F.coalesce("lang", F.lit(_NULL)))
     grid = [i / LEVELS for i in range(1, LEVELS + 1)]
-    exprs = [F.percentile_approx(ratio(a, b), grid, 20_000).alias(s) for s, (a, b) in zip(SIGNALS, (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words")), strict=True)]
+    exprs = [F.percentile_approx(ratio(a, b), grid, 20_000).alias(s) for s, (a, b) in zip(SIGNALS, RATIOS, strict=True)]
     quantiles = {r["lang"]: np.array([r[s] for s in SIGNALS]) for r in rows.where("half = 0").groupBy("lang").agg(*exprs).collect()}
     rules = Rules(quantiles, {}, {})
 
@@ -197,14 +201,29 @@ def judge(measured: DataFrame, rules: Rules) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The kept rows of docs, with all their columns."""
-    rules = docs.sparkSession.sparkContext.broadcast(fit(c.keep(measure(docs, id_col, text_col, lang_col), "measured"), labels))
-    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    """The kept rows of docs, with all their columns.
+
+    Rows are measured once and written with their counts. A level rejects what exceeds any signal's quantile below it, so
+    the rules come to three thresholds a stratum, joined by language.
+    """
+    names = c.fresh(docs, *COUNTS, "stratum", *SIGNALS)
+    n, stratum, most = dict(zip(COUNTS, names, strict=False)), names[len(COUNTS)], names[len(COUNTS) + 1 :]
+    text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = c.WordHash()
         for batch in batches:
-            n = _sliced(batch.column(text).to_pylist(), memo)
-            yield batch.filter(pa.array(~base_failed(n) & ~rules.value.rejects(batch.column(lang).cast(pa.string()).to_pylist(), n)))
-
-    return c.map_arrow(docs, run, docs.schema)
+            got = _sliced(batch.column(text).cast(pa.string()).to_pylist(), memo)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[:, i]) for i in range(len(COUNTS)))], names=[*batch.schema.names, *n.values()])
+
+    counted = c.keep(c.map_arrow(docs, run, StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in n.values())])), "counted")
+    lang = F.col(f"`{lang_col}`").cast("string")
+    rules = fit(counted.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), lang.alias("lang"), *(F.col(v).alias(k) for k, v in n.items())), labels)
+    limits = [(x, *(float(v) for v in rules.quantiles[x][:, level - 1])) for x, level in rules.level.items() if level <= LEVELS]
+    limits_df = docs.sparkSession.createDataFrame(limits, StructType([StructField(stratum, StringType()), *(StructField(x, DoubleType()) for x in most)]))
+    limits_df = F.broadcast(limits_df) if len(limits) <= BROADCAST_STRATA else limits_df
+    share = lambda x, y: F.col(n[x]) / F.greatest(F.col(n[y]), F.lit(1))
+    over = [share(a, b) > F.col(m) for (a, b), m in zip(RATIOS, most, strict=True)]
+    failed = (F.col(n["n_words"]) < MIN_WORDS) | (100 * F.col(n["n_repeat_words"]) > MAX_REPEAT_PERCENT * F.col(n["n_words"]))
+    rows = counted.where(~failed).join(limits_df, F.coalesce(lang, F.lit(_NULL)) == F.col(stratum), "left")
+    return rows.where(~F.coalesce(over[0] | over[1] | over[2], F.lit(False))).select(*(F.col(f"`{x}`") for x in docs.columns))
