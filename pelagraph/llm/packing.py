@@ -1,8 +1,8 @@
 """Packing by non-negative least squares over shallow length combinations.
 
 Every document becomes token ids (byte-level BPE, 50,257 ids) and one end id. It is cut at multiples of the
-window: whole windows are sequences of their own, the rest is one piece. Pieces are dealt by a hash into
-shards of about ``shard_docs`` documents, so no task holds more whatever the input. In a shard:
+window: whole windows are sequences of their own, the rest is one piece. The pieces (lengths and checksums, no ids) are written,
+counted, and dealt by a hash into shards of about ``shard_pieces``, so no task holds more whatever the input. In a shard:
 
 1. Lengths, rounded up to the grid, make a histogram h.
 2. All combinations of up to ``depth`` lengths that fill the window exactly are enumerated; column s of A
@@ -36,7 +36,7 @@ from pelagraph.llm import common as c
 
 WINDOW, GRID, DEPTH = 2048, 8, 3
 END_ID = 1
-SHARD_DOCS = 16_384
+SHARD_PIECES = 16_384
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -190,10 +190,10 @@ def _pack(window: int, grid: int, depth: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grid: int = GRID, depth: int = DEPTH, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grid: int = GRID, depth: int = DEPTH, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-texts.count() // shard_docs))
-    pieces = c.map_arrow(texts, _pieces(window, end_id, json_path, ranks_path), _PIECE)
+    pieces = c.keep(c.map_arrow(texts, _pieces(window, end_id, json_path, ranks_path), _PIECE), "pieces")
+    shards = max(1, -(-pieces.count() // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(window, grid, depth), f"{_PIECE}, sequence_id long, offset long")
