@@ -3,7 +3,7 @@
 A list is a history of dated entries: on a day a pattern is added to it or removed. Each pattern's history
 becomes half-open validity intervals ``[from, until)``. A capture is tested against the entries in force at
 its fetch time: an as-of join on the capture's keys, which are its host, every parent domain, and its host
-with every leading part of its path.
+with every leading part of its path, as deep as the deepest pattern.
 
 DataFrame functions only. Captures are grouped to distinct (host, path, day) first, so a hot host does not
 multiply its matches; intervals join by equality of the key and containment of the time. The interval side
@@ -41,13 +41,14 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1)
 
 
-def keys(h: Column, p: Column) -> Column:
-    """The patterns that can match: the host's suffixes, and the host with each leading part of the path."""
+def keys(h: Column, p: Column, depth: int) -> Column:
+    """The patterns that can match: the host's suffixes, and the host with each leading part of the path, of at most depth names."""
     labels = F.split(h, r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     parts = F.filter(F.split(p, "/"), lambda x: x != "")
-    leading = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    n_parts = F.least(F.size(parts), F.lit(depth))
+    leading = F.when(n_parts > 0, F.transform(F.sequence(F.lit(1), n_parts), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(suffixes, leading))
 
 
@@ -67,7 +68,9 @@ def as_of(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """Distinct (host, path, time) of the captures that entries in force match, with the lists' names."""
     seen = captures.select(host(F.col(url_col)).alias("h"), path(F.col(url_col)).alias("p"), F.col(time_col).alias("t")).where("h != '' and t is not null").distinct()
     spans = intervals(entries)
-    keyed = seen.withColumn("key", F.explode(keys(F.col("h"), F.col("p"))))
+    names = F.size(F.filter(F.split(F.col("pattern"), "/"), lambda x: x != "")) - 1
+    depth = spans.agg(F.coalesce(F.max(names), F.lit(0))).first()[0]
+    keyed = seen.withColumn("key", F.explode(keys(F.col("h"), F.col("p"), depth)))
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = keyed.join(F.broadcast(spans), keyed["key"] == spans["pattern"])
     else:
