@@ -34,8 +34,6 @@ SEED = 17
 MAX_RATE = 200.0
 #: Sources (a row of at most 3 KB each) whose rates are broadcast; beyond, Catalyst chooses the join.
 SOURCES = 5_000
-#: Columns that the replication adds, and removes again.
-_SOURCE, _CDF, _PARTS, _COPY = "_mix_source", "_mix_cdf", "_mix_parts", "_mix_copy"
 
 
 def poisson_terms(rate: float = MAX_RATE) -> int:
@@ -92,25 +90,27 @@ def uniforms(id_col: str, text_col: str, count: Column, seed: int = SEED) -> Col
     return F.transform(F.array(key), each)[0]
 
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with _mix_copy: how often each row is to appear (rows of sources without weight have gone)."""
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED, copies: str = "copies") -> DataFrame:
+    """docs with the column copies: how often each row is to appear (rows of sources without weight have gone)."""
+    source, probabilities, pieces = c.fresh(docs, "source", "cdf", "parts")
     table = rates(docs, source_col, weights, temper, total)
     few = table.limit(SOURCES + 1).count() <= SOURCES
     rate = F.col("rate") if total is None else bounded(F.col("rate"))
-    table = table.withColumn("rate", rate).withColumn(_PARTS, parts(F.col("rate")))
-    table = table.select(F.col("source").alias(_SOURCE), _PARTS, cdf(F.col("rate") / F.col(_PARTS)).alias(_CDF))
+    table = table.withColumn("rate", rate).withColumn(pieces, parts(F.col("rate")))
+    table = table.select(F.col("source").alias(source), pieces, cdf(F.col("rate") / F.col(pieces)).alias(probabilities))
     table = F.broadcast(table) if few else table
-    joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(_SOURCE)))
-    u = uniforms(id_col, text_col, F.col(_PARTS), seed)
+    joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    u = uniforms(id_col, text_col, F.col(pieces), seed)
     #: The array holds the numbers for the inner lambda, which would else compute them anew for each probability.
-    n = F.aggregate(F.transform(u, lambda x: F.size(F.filter(_CDF, lambda p: p <= x))), F.lit(0), lambda a, b: a + b)
-    return joined.withColumn(_COPY, n).drop(_SOURCE, _CDF, _PARTS)
+    n = F.aggregate(F.transform(u, lambda x: F.size(F.filter(probabilities, lambda p: p <= x))), F.lit(0), lambda a, b: a + b)
+    return joined.withColumn(copies, n).drop(source, probabilities, pieces)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, temper: float = TEMPER, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The replicated documents with docs' columns, in random order over all partitions."""
-    many = counted(docs, id_col, text_col, source_col, weights, temper, total, seed)
-    many = many.withColumn(_COPY, F.explode(F.when(F.col(_COPY) > 0, F.sequence(F.lit(1), F.col(_COPY)))))
-    place = F.xxhash64(F.lit(seed), F.lit("place"), F.col(id_col), F.md5(F.col(text_col).cast("string").cast("binary")), F.col(_COPY))
-    dealt = many.withColumn(_SOURCE, place).repartition(c.width(docs), _SOURCE).sortWithinPartitions(_SOURCE)
+    copy, at = c.fresh(docs, "copy", "place")
+    many = counted(docs, id_col, text_col, source_col, weights, temper, total, seed, copy)
+    many = many.withColumn(copy, F.explode(F.when(F.col(copy) > 0, F.sequence(F.lit(1), F.col(copy)))))
+    place = F.xxhash64(F.lit(seed), F.lit("place"), F.col(id_col), F.md5(F.col(text_col).cast("string").cast("binary")), F.col(copy))
+    dealt = many.withColumn(at, place).repartition(c.width(docs), at).sortWithinPartitions(at)
     return dealt.select(*(F.col(f"`{x}`") for x in docs.columns))

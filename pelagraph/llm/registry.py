@@ -132,9 +132,11 @@ def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op9_poisson_mixing"] = f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
-terms AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM rates, range(0, 120) t(k) WHERE k <= ceil(rate + 9 * sqrt(rate) + 24)),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-u AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents)
+parts AS (SELECT source, greatest(1, ceil(rate / {mixing.MAX_RATE}))::BIGINT AS parts, rate / greatest(1, ceil(rate / {mixing.MAX_RATE})) AS part FROM rates),
+terms AS (SELECT source, part, unnest(range(0, ceil(part + 9 * sqrt(part) + 24)::BIGINT + 1)) AS k FROM parts),
+cdf AS (SELECT source, k, sum(exp(k * ln(part) - part - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+d AS (SELECT d.*, unnest(range(1, parts + 1)) AS j FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+u AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')), CASE WHEN j > 1 THEN j::VARCHAR END)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM d)
 SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= u.u
 """
 QUERIES = dict(sorted(QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import random
@@ -58,7 +59,7 @@ def test_toxicity_held_out(docs, labels):
 
 
 def test_toxicity_grammar():
-    m = toxicity.Model({"idiot": (200, 0)}, 300, 3000, [0.0] * 7)
+    m = toxicity.Model({"idiot": (200, 0)}, 300, 3000, [0.0] * 6)
     r = toxicity.Reader(m)
     best = lambda t: math.expm1(toxicity.features(t, r)[0])
     assert best("you are an idiot") > best("what an idiot") > best("he is not an idiot") > 0
@@ -69,6 +70,52 @@ def test_toxicity_grammar():
     assert steps == [[0] * 6] and factors[0][toxicity.INSULT] == 1
 
 
+def test_composed_machine_is_its_parts():
+    """Brute force: each transducer runs on its own, and the factors of all are multiplied word by word."""
+    r, parts = random.Random(5), (toxicity.READS, toxicity.NEGATED, toxicity.REPORTED, toxicity.AIMED)
+    for _ in range(300):
+        classes = [r.randrange(6) for _ in range(r.randrange(12))]
+        read = [(k, r.random() if k in (toxicity.INSULT, toxicity.THREAT) else 0.0) for k in classes]
+        want, states = 0.0, [m.start for m in parts]
+        for k, w in read:
+            want += w * math.prod(m.factor(s, k) for m, s in zip(parts, states, strict=True))
+            states = [m.step(s, k) for m, s in zip(parts, states, strict=True)]
+        assert abs(toxicity.clause_score(read, [str(i) for i in range(len(read))])[0] - want) < 1e-12
+
+
+def test_toxicity_same_as_brute_force(docs, labels):
+    """The arcs' counts and the features of every document, recomputed from plain dictionaries."""
+    model = toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    truth: dict = {}
+    for x in labels.collect():
+        if crc(x.doc_id, 3) != 1 and x.toxic is not None:
+            truth[x.doc_id] = max(truth.get(x.doc_id, 0), int(x.toxic > 0))
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    seen: dict = {}
+    for i, y in truth.items():
+        for arc in {a for w in toxicity._WORD.findall(texts[i].lower()) for a in toxicity.arcs_of(w)}:
+            n = seen.setdefault(arc, [0, 0])
+            n[1 - y] += 1
+    assert (model.toxic, model.clean) == (sum(truth.values()), len(truth) - sum(truth.values()))
+    assert model.arcs and all(tuple(seen[a]) == n for a, n in model.arcs.items())
+    rate = model.toxic / model.clean
+    assert set(model.arcs) == {a for a, (x, y) in seen.items() if x >= toxicity.MIN_TOXIC and x > 1.5 * rate * y}
+    reader = toxicity.Reader(model)
+    got = {x.doc_id: (x.score, x.predicted) for x in toxicity.detect(docs, model).collect()}
+    for i, t in list(texts.items())[:200]:
+        s = toxicity.score(toxicity.features(t, reader), model.curve)
+        assert abs(got[i][0] - s) < 1e-12 and got[i][1] == (s >= 0.7)
+
+
+def test_toxicity_conflicting_labels_and_repeated_ids(spark):
+    rows = [(i, "you idiot trash" if i % 2 else "a fine day", 9) for i in range(20)] + [(1, "you idiot trash", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _label int")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(df, marks, F.lit(True))
+    assert (model.toxic, model.clean) == (10, 10) and model.arcs["idiot"] == (10, 0)
+    assert toxicity.detect(df, model).count() == 21
+
+
 def test_toxicity_edges(odd, empty, labels, spark):
     model = toxicity.fit(odd, spark.createDataFrame([(1, 1, 1), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int"), F.lit(True))
     assert [r.score for r in toxicity.detect(odd, model).collect()] == [0.0] * len(ODD)
@@ -238,8 +285,8 @@ def all_segmentations(lattice, s):
 
 def test_lattice_sums_over_all_segmentations():
     v = lattice_lm.Vocabulary()
-    r = np.random.default_rng(0)
-    lattice = lattice_lm.Lattice(v.pieces, v.bytes, lattice_lm.log_probabilities(r.integers(0, 1000, v.size).astype(float)))
+    assert abs(sum(map(math.exp, [*v.pieces.values(), *v.bytes.values()])) - 1) < 1e-9
+    lattice = lattice_lm.Lattice(v.pieces, v.bytes)
     for w in ("a", "the", "reading", "naïve", "x日本", "zzzq"):
         assert abs(lattice.word(w) - math.log(all_segmentations(lattice, "▁" + w))) < 1e-9
     assert math.isfinite(lattice.word("a" * 20_000))
@@ -247,18 +294,41 @@ def test_lattice_sums_over_all_segmentations():
 
 @pytest.mark.parametrize("head", [400_000, 5])
 def test_language_model_same_as_brute_force(spark, docs, head):
-    rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()] + [(100_001, None), (100_002, "")]
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(100_001, None), (100_002, ""), (100_003, "zq vex zq"), (100_004, "zq the")]
+    v = lattice_lm.Vocabulary()
+    lattice, singles = lattice_lm.Lattice(v.pieces, v.bytes), None
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     m = crc_mod("doc_id", 7)
     got = {r.doc_id: r for r in lattice_lm.score(df, m == 2, m != 2, head=head).collect()}
     train = [words_of((t or "").encode()) for i, t in rows if crc(i, 7) != 2]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()) + len(train), len(c) + 1
+    words, singles, end = n - len(train), sum(x == 1 for x in c.values()), (len(train) + 1) / (n + 2)
+    share = (singles + 1) / (words + 2)
+
+    @functools.cache
+    def word(w):
+        pieces = all_segmentations(lattice, "▁" + w.decode()) if len(w) < 9 else math.exp(lattice.word(w.decode()))
+        return math.log10((1 - end) * (share * pieces + (1 - share) * c[w] / words))
+
     for i, t in rows:
         w = words_of((t or "").encode())
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, crc(i, 7) == 2)
-        assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base)) and got[i].score < 0
+        assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base))
+        want = sum(map(word, w)) + math.log10(end)
+        assert abs(got[i].score - want) < 1e-6 * max(1, abs(want))
+
+
+def test_language_model_knows_what_occurs_elsewhere(spark):
+    """A document of rare words scores higher if another has them too, wherever the words are counted."""
+    r = random.Random(3)
+    new = lambda: " ".join("".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(40))
+    twice = [new() for _ in range(20)]
+    rows = [*enumerate(t for t in twice for _ in (0, 1)), *((100 + i, new()) for i in range(40))]
+    for head in (400_000, 3):
+        got = {x.doc_id: x.score / x.n_tokens for x in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), F.lit(True), head=head).collect()}
+        assert min(got[i] for i in range(40)) > max(got[i] for i in got if i >= 100)
 
 
 def test_language_model_edges(odd, empty):
@@ -282,7 +352,7 @@ def test_ids_are_the_tokenizers(docs):
 
 def test_packing_keeps_every_id(spark, docs):
     df = docs.union(docs.limit(3))
-    got = packing.pack(df, shard_docs=300).collect()
+    got = packing.pack(df, shard_pieces=300).collect()
     by_doc, by_seq = {}, {}
     for p in got:
         by_doc.setdefault(p.doc_id, []).append(p)
