@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pelagraph.plans.parser import Expr, QueryError
 from pelagraph.storage import cut
 
+#: Prefix of a node's properties in a relationship's wide table.
+NODE = "__node__"
+
 
 @dataclass(frozen=True)
 class NodeTable:
@@ -27,11 +30,16 @@ class RelPair:
     """One FROM/TO pair of a relationship table: rows with _src and _dst (the nodes' keys) and properties.
 
     Once one of its relationships is to be changed, also _rid, which names a row.
+
+    If the rows are an end's node table themselves (its foreign key is the relationship), end is that end's column, and
+    wide is df with the node's properties as well, so that the node needs no join.
     """
 
     source: str
     target: str
     df: DataFrame
+    end: str | None = None
+    wide: DataFrame | None = None
 
     @property
     def properties(self) -> list[str]:
@@ -78,7 +86,13 @@ class Catalog:
         rest = [x for x in df.columns if x not in (src, dst)] if properties is None else properties
         shaped = df.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), *rest)
         known = self.rels.get(name, RelTable(name, ()))
-        self.rels[name] = replace(known, pairs=(*known.pairs, RelPair(source, target, shaped)))
+        pair = RelPair(source, target, shaped)
+        for label, column, end in ((source, src, "_src"), (target, dst, "_dst")):
+            node = self.node(label)
+            if df is node.df and column == node.key:
+                same = [F.col(f"`{x}`").alias(f"{NODE}{x}") for x in node.properties]
+                pair = replace(pair, end=end, wide=df.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), *rest, *same))
+        self.rels[name] = replace(known, pairs=(*known.pairs, pair))
 
     def node(self, label: str) -> NodeTable:
         if label not in self.nodes:
@@ -98,9 +112,12 @@ class Catalog:
 
     def replace_node(self, label: str, df: DataFrame) -> None:
         self.nodes[label] = replace(self.node(label), df=df)
+        for name, t in list(self.rels.items()):  # their rows are this node table no longer
+            if any(p.end and label in (p.source, p.target) for p in t.pairs):
+                self.rels[name] = replace(t, pairs=tuple(replace(p, end=None, wide=None) if label in (p.source, p.target) else p for p in t.pairs))
 
     def replace_pair(self, name: str, i: int, df: DataFrame) -> None:
         t = self.rel(name)
         pairs = list(t.pairs)
-        pairs[i] = replace(pairs[i], df=df)
+        pairs[i] = replace(pairs[i], df=df, end=None, wide=None)
         self.rels[name] = replace(t, pairs=tuple(pairs))

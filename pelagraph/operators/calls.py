@@ -55,7 +55,7 @@ def _directed(f):
 
 
 for _names, _f in {
-    ("pagerank", "page_rank"): lambda s, rel=None, iterations=20, damping=0.85, *_: alg.pagerank(graph_of(s, rel), iterations, damping).withColumnRenamed("id", "node"),
+    ("pagerank", "page_rank"): lambda s, rel=None, iterations=20, damping=0.85, tolerance=1e-6: alg.pagerank(graph_of(s, rel), iterations, damping, tolerance).withColumnRenamed("id", "node"),
     ("wcc", "weakly_connected_components"): _over(alg.wcc),
     ("scc", "strongly_connected_components"): _over(alg.scc),
     ("kcore", "k_core_decomposition"): _over(alg.kcore),

@@ -31,10 +31,10 @@ if TYPE_CHECKING:
 
 
 # ---------------------------------------------------------------- pieces
-def _with(s: State, df: DataFrame, **scope) -> State:
+def _with(s: State, df: DataFrame, scope: dict | None = None) -> State:
     from pelagraph.plans.lowering import State
 
-    return State(df, {**s.scope, **scope}, False, s.carry)
+    return State(df, {**s.scope, **(scope or {})}, False, s.carry)
 
 
 def _fixed(s: State) -> State:
@@ -122,7 +122,7 @@ def _create_node(lo: Lowering, s: State, n: NodePattern) -> State:
     columns = [p for p in t.properties if p in values or p in lo.wants(n.var, t.properties)]
     none = {f.name: F.lit(None).cast(f.dataType) for f in t.df.schema}
     df = s.df.select("*", values[t.key].alias(f"{n.var}___id"), *(values.get(p, none[p]).alias(f"{n.var}__{p}") for p in columns))
-    return _with(s, df, **{n.var: Bound("node", n.var, (t.label,), tuple(columns))})
+    return _with(s, df, {n.var: Bound("node", n.var, (t.label,), tuple(columns))})
 
 
 def _create_rel(lo: Lowering, s: State, a: NodePattern, r: RelPattern, b: NodePattern) -> State:
@@ -148,7 +148,7 @@ def _bind_rel(s: State, var: str, name: str, like: DataFrame, values: dict[str,
     none = {f.name: F.lit(None).cast(f.dataType) for f in like.schema}
     cols = [src.alias(f"{var}___src"), dst.alias(f"{var}___dst"), F.lit(name).alias(f"{var}___type")]
     cols += [rid.alias(f"{var}___rid")] if bound.ident else []
-    return _with(s, s.df.select("*", *cols, *(values.get(p, none[p]).alias(f"{var}__{p}") for p in bound.columns)), **{var: bound})
+    return _with(s, s.df.select("*", *cols, *(values.get(p, none[p]).alias(f"{var}__{p}") for p in bound.columns)), {var: bound})
 
 
 # ---------------------------------------------------------------- MERGE
@@ -198,7 +198,7 @@ def _merge_node(lo: Lowering, s: State, n: NodePattern, made: str) -> State:
         df = df.select(*rest, (F.col(made) | lost).alias(made), F.coalesce(F.col(f"`{n.var}___id`"), key).alias(f"{n.var}___id"), *given, *others)
     else:
         df = df.drop(*(f"_w_{k}" for k in values))
-    return _fixed(_with(s, df, **{n.var: Bound("node", n.var, (t.label,), tuple(columns))}))
+    return _fixed(_with(s, df, {n.var: Bound("node", n.var, (t.label,), tuple(columns))}))
 
 
 def _merge_rel(lo: Lowering, s: State, a: NodePattern, r: RelPattern, b: NodePattern, made: str) -> State:
@@ -228,7 +228,7 @@ def _merge_rel(lo: Lowering, s: State, a: NodePattern, r: RelPattern, b: NodePat
     bound = out.scope[r.var]
     rest = [F.col(f"`{x}`") for x in s.df.columns if x != made]
     df = out.df.select(*rest, (F.col(made) | lost).alias(made), *(F.col(f"`{x}`") for x in bound.all_columns()))
-    return _fixed(_with(s, df, **{r.var: bound}))
+    return _fixed(_with(s, df, {r.var: bound}))
 
 
 # ---------------------------------------------------------------- SET

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelagraph import semantics
-from pelagraph.catalog import RelPair
+from pelagraph.catalog import NODE, RelPair
 from pelagraph.functions import SCALARS, Context
 from pelagraph.functions.casts import cast, spark_type
 from pelagraph.operators import updates
@@ -299,7 +299,7 @@ class Lowering:
             return self.join_states(s, fresh, "inner")
         else:
             first_rel = parts[1] if len(parts) > 1 else None
-            if first_rel is not None and first_rel.hops is None and not first.props and self.implied(first, first_rel, parts[2]) and self.key_only(first, first_rel, parts[2]):
+            if first_rel is not None and first_rel.hops is None and not first.props and self.implied(first, first_rel, parts[2]) and (self.key_only(first, first_rel, parts[2]) or self.in_rel(first, first_rel, first.labels, parts[2].labels, False)):
                 s = self.from_rel(s, first, first_rel, parts[2])
             else:
                 df, bound = self.scan(first.var, first.var, first.labels, first.props, s)
@@ -311,7 +311,7 @@ class Lowering:
             if not (i == 1 and f"{r.var}" in s.scope and s.scope[r.var].kind == "rel" and getattr(self, "_started", None) is r):
                 s = self.recursive(s, parts[i - 1], r, b) if r.hops else self.expand(s, parts[i - 1], r, b)
             else:
-                s = self.arrive(s, r, b, s.scope[r.var])
+                s = self.arrive(s, r, b, self._far)
                 self._started = None
             made += [("rel", r.var), ("node", b.var)]
         if p.var:
@@ -343,8 +343,24 @@ class Lowering:
         table = self.catalog.node(p.target if back else p.source)
         return set(self.wants(n.var, table.properties)) | (self.needed.get(n.var, set()) - {"*"}) <= {table.key}
 
-    def edges(self, name: str, r: RelPattern, found: list[tuple[str, RelPair, bool]], ends: bool) -> tuple[DataFrame, Bound]:
-        """Relationship rows with from and to as the pattern walks them; ends: with their labels."""
+    def in_rel(self, n: NodePattern, r: RelPattern, sources: list[str], targets: list[str], far: bool) -> Bound | None:
+        """What n stands for, if the relationship's rows hold its properties; far: n is where the step arrives."""
+        found = self.pairs(r, sources, targets)
+        if len(found) != 1 or n.props or r.var in self.identified:
+            return None
+        _, pair, back = found[0]
+        if pair.end != ("_dst" if far != back else "_src"):
+            return None
+        label = pair.target if pair.end == "_dst" else pair.source
+        if n.labels and n.labels != [label]:
+            return None
+        table = self.catalog.node(label)
+        if unknown := self.needed.get(n.var, set()) - {"*"} - set(table.properties):
+            raise QueryError(f"{label} has no property {sorted(unknown)[0]}")
+        return Bound("node", n.var, (label,), tuple(self.wants(n.var, table.properties)))
+
+    def edges(self, name: str, r: RelPattern, found: list[tuple[str, RelPair, bool]], ends: bool, node: Bound | None = None) -> tuple[DataFrame, Bound]:
+        """Relationship rows with from and to as the pattern walks them; ends: with their labels; node: an end that they hold (in_rel)."""
         every = list(dict.fromkeys(p for _, pair, _ in found for p in pair.properties))
         if unknown := (self.needed.get(r.var, set()) - {"*"} | {k for k, _ in r.props}) - set(every):
             if found:
@@ -352,13 +368,15 @@ class Lowering:
         wanted = self.wants(r.var, every)
         frames = []
         for t, pair, back in found:
-            df = pair.df
+            df = pair.df if node is None else pair.wide.where(F.col(pair.end).isNotNull())
             for k, e in r.props:
                 df = df.where(semantics.compare("=", F.col(f"`{k}`"), F.lit(self.constant(e)), True, False) if k in pair.properties else F.lit(False))
             a, b = ("_dst", "_src") if back else ("_src", "_dst")
             cols = [F.col(a).alias(f"{name}___from"), F.col(b).alias(f"{name}___to"), F.col("_src").alias(f"{name}___src"), F.col("_dst").alias(f"{name}___dst"), F.lit(t).alias(f"{name}___type")]
             if r.var in self.identified:
                 cols.append(F.col("_rid").alias(f"{name}___rid"))
+            if node is not None:
+                cols += [F.col(f"`{NODE}{p}`").alias(f"{node.name}__{p}") for p in node.columns]
             if ends:
                 cols += [F.lit(pair.target if back else pair.source).alias(f"{name}___fl"), F.lit(pair.source if back else pair.target).alias(f"{name}___tl")]
             frames.append(df.select(*cols, *(F.col(f"`{p}`").alias(f"{name}__{p}") for p in wanted if p in pair.properties)))
@@ -381,10 +399,12 @@ class Lowering:
         r.var = r.var or f"_r{next(self.fresh)}"
         found = self.pairs(r, a.labels, b.labels)
         label = found[0][1].target if found[0][2] else found[0][1].source
-        e, bound = self.edges(r.var, r, found, True)
+        here = self.in_rel(a, r, a.labels, b.labels, False)
+        self._far = self.in_rel(b, r, a.labels, b.labels, True) if b.var != a.var and b.var not in s.scope else None
+        e, bound = self.edges(r.var, r, found, True, here or self._far)
         e = e.withColumn(f"{a.var}___id", F.col(f"{r.var}___from")).drop(f"{r.var}___from", f"{r.var}___fl")
         self._started = r
-        return State(e if s.empty else s.df.crossJoin(e), {**s.scope, a.var: Bound("node", a.var, (label,), ()), r.var: bound}, False, s.carry)
+        return State(e if s.empty else s.df.crossJoin(e), {**s.scope, a.var: here or Bound("node", a.var, (label,), ()), r.var: bound}, False, s.carry)
 
     def expand(self, s: State, a: NodePattern, r: RelPattern, b: NodePattern) -> State:
         start = s.scope[a.var]
@@ -392,7 +412,8 @@ class Lowering:
         found = self.pairs(r, list(start.labels), known)
         if r.var in s.scope and s.scope[r.var].kind == "rel":
             raise QueryError(f"relationship {r.var} is bound twice")
-        e, bound = self.edges(r.var, r, found, True)
+        far = self.in_rel(b, r, list(start.labels), known, True) if b.var not in s.scope else None
+        e, bound = self.edges(r.var, r, found, True, far)
         on = start.col("_id") == F.col(f"{r.var}___from")
         if len(start.labels) != 1:
             on = (start.col("_id").cast("string") == F.col(f"{r.var}___from").cast("string")) & (start.col("_label") == F.col(f"{r.var}___fl"))
@@ -400,11 +421,13 @@ class Lowering:
             end = s.scope[b.var]
             on = on & (end.col("_id").cast("string") == F.col(f"{r.var}___to").cast("string") if len(end.labels) != 1 else end.col("_id") == F.col(f"{r.var}___to"))
         df = s.df.join(e, on).drop(f"{r.var}___from", f"{r.var}___fl")
-        return self.arrive(State(df, {**s.scope, r.var: bound}, False, s.carry), r, b, bound)
+        return self.arrive(State(df, {**s.scope, r.var: bound}, False, s.carry), r, b, far)
 
-    def arrive(self, s: State, r: RelPattern, b: NodePattern, rel: Bound) -> State:
-        """Bind the end of a step, which the columns __to and __tl of the relationship name."""
+    def arrive(self, s: State, r: RelPattern, b: NodePattern, node: Bound | None) -> State:
+        """Bind the end of a step, which the columns __to and __tl of the relationship name; node: it is in the relationship's rows."""
         to, label = f"{r.var}___to", f"{r.var}___tl"
+        if node is not None:
+            return State(s.df.withColumnRenamed(to, f"{b.var}___id").drop(label), {**s.scope, b.var: node}, False, s.carry)
         if b.var in s.scope:
             end = s.scope[b.var]
             same = end.col("_id") == F.col(to) if len(end.labels) == 1 else (end.col("_id").cast("string") == F.col(to).cast("string")) & (end.col("_label") == F.col(label))
@@ -480,7 +503,7 @@ class Lowering:
                 t = self.catalog.node(wanted[0])
                 df = df.withColumn(end, F.col(end).try_cast(t.df.schema[t.key].dataType))
         scope = {**s.scope, r.var: Bound("hops", r.var)}
-        return self.arrive(State(df, scope, False, s.carry), RelPattern(r.var, r.types, r.props, r.direction), b, scope[r.var])
+        return self.arrive(State(df, scope, False, s.carry), RelPattern(r.var, r.types, r.props, r.direction), b, None)
 
     def path_value(self, s: State, name: str, made: list[tuple[str, str]]) -> State:
         """struct(nodes: ids, rels: texts type|src|dst)."""

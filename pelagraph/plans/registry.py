@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagraph.operators import algorithms as alg
 from pelagraph.operators import search, shard
-from pelagraph.plans import function_queries
+from pelagraph.plans import function_queries, graph_queries, update_queries
 from pelagraph.plans.testgraph import test_graph
 from pelagraph.session import GraphSession
 
@@ -196,6 +196,7 @@ ORACLE["copy_from_parquet"] = "SELECT n_nationkey::BIGINT AS k, n_name AS n FROM
 text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind = 'REL' RETURN name AS n", "SELECT * FROM (VALUES ('CO_ORDERED'), ('DID'), ('HAS_PART'), ('IN_NATION'), ('IN_REGION'), ('PLACED'), ('SOLD_BY')) t(n)")
 
 function_queries.register(text)
+update_queries.register(text, code)
 
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
@@ -206,12 +207,13 @@ text("algo_k_hop", "CALL k_hop('CO_ORDERED', 2, 2) YIELD node, hops RETURN node,
 text("algo_paths", "CALL variable_length_path('CO_ORDERED', 55, 2) YIELD target, length, path RETURN target, length, path", f"{_EDGES}, w AS (SELECT y, [55, y] AS p FROM e WHERE x = 55 UNION ALL SELECT e.y, list_append(p, e.y) FROM w JOIN e ON w.y = e.x WHERE len(p) < 3) SELECT y AS target, len(p) - 1 AS length, p AS path FROM w")
 text("algo_degree", "CALL node_degree('CO_ORDERED', 'BOTH') YIELD node, degree RETURN node, degree", f"{_EDGES}, d AS (SELECT x AS k FROM e UNION ALL SELECT y FROM e) SELECT p_partkey AS node, count(k) AS degree FROM part LEFT JOIN d ON k = p_partkey GROUP BY 1")
 text("algo_density", "CALL graph_density('CO_ORDERED') YIELD vertices, edges, density RETURN vertices, edges, density", f"{_EDGES}, n AS (SELECT count(*) AS v FROM part), m AS (SELECT count(*) AS c FROM e) SELECT v AS vertices, c AS edges, c / (v * (v - 1)) AS density FROM n, m")
-text("algo_pagerank", "CALL pagerank('CO_ORDERED', 2, 0.85) YIELD node, rank RETURN node, rank", f"""{_EDGES}, deg AS (SELECT x, count(*) AS d FROM e GROUP BY 1), n AS (SELECT count(*) AS n FROM part),
+text("algo_pagerank_two_rounds", "CALL pagerank('CO_ORDERED', 2, 0.85) YIELD node, rank RETURN node, rank", f"""{_EDGES}, deg AS (SELECT x, count(*) AS d FROM e GROUP BY 1), n AS (SELECT count(*) AS n FROM part),
 r0 AS (SELECT p_partkey AS id, 1.0 / n AS r FROM part, n),
 g1 AS (SELECT e.y AS id, sum(r / d) AS s FROM r0 JOIN e ON r0.id = e.x JOIN deg ON deg.x = e.x GROUP BY 1), k1 AS (SELECT sum(r) AS s FROM r0 WHERE id NOT IN (SELECT x FROM deg)),
 r1 AS (SELECT r0.id, 0.15 / n + 0.85 * (coalesce(g1.s, 0) + k1.s / n) AS r FROM r0 LEFT JOIN g1 ON r0.id = g1.id, n, k1),
 g2 AS (SELECT e.y AS id, sum(r / d) AS s FROM r1 JOIN e ON r1.id = e.x JOIN deg ON deg.x = e.x GROUP BY 1), k2 AS (SELECT sum(r) AS s FROM r1 WHERE id NOT IN (SELECT x FROM deg))
 SELECT r1.id AS node, 0.15 / n + 0.85 * (coalesce(g2.s, 0) + k2.s / n) AS rank FROM r1 LEFT JOIN g2 ON r1.id = g2.id, n, k2""")
+graph_queries.register(text, code, _EDGES)
 text("algo_kcore", "CALL kcore('CO_ORDERED') YIELD node, core_number RETURN node, core_number")
 text("algo_louvain", "CALL louvain('CO_ORDERED') YIELD node, community_id RETURN node, community_id")
 text("algo_spanning_forest", "CALL spanning_forest('CO_ORDERED') YIELD src_id, dst_id RETURN src_id, dst_id")

@@ -44,11 +44,12 @@ def read_csv(spark: SparkSession, path: str, headers: list[tuple[str, str]] | No
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or one object a line."""
-    whole = spark.read.json(path, multiLine=kind_of(path) == "json")
-    if whole.columns == ["_corrupt_record"]:
-        whole = spark.read.json(path)
-    return whole
+    """An array of objects, one object a line, or one object over several lines; the first text that is not blank tells."""
+    start = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value").alias("v")).first()
+    if start is not None and start["v"].startswith("["):
+        return spark.read.json(path, multiLine=True)
+    lines = spark.read.json(path)
+    return spark.read.json(path, multiLine=True) if lines.columns == ["_corrupt_record"] else lines
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 16, **options: str) -> DataFrame:
