@@ -8,14 +8,17 @@ little. Vertices with no edge are part of every result that covers vertices. Nul
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pelagraph.operators.joins import beside_hubs, running_sum
 from pelagraph.storage import cut
 
-
+#: Rounds of improved distances that sssp keeps as tables of their own before it writes one of them.
+MERGE_ROUNDS = 6
 #: Layers of vertices without way in or out that scc takes off in one job.
 TRIM_LAYERS = 4
 
@@ -66,8 +69,9 @@ def wcc(g: Graph) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("deg")))
+        large = beside_hubs(both.where("b > a"), least, "a", "deg", 2 * e.count())  # a hub's star is not dealt to one task
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -87,6 +91,7 @@ def _relax(g: Graph, source, direction: str, weighted: bool, limit: int | None,
     if carry_path:
         start = start.withColumn("path", F.array("id"))
     best = frontier = cut(start)
+    fresh: list[DataFrame] = []  # improvements since best was last written
     rounds = 0
     while limit is None or rounds < limit:
         rounds += 1
@@ -99,13 +104,25 @@ def _relax(g: Graph, source, direction: str, weighted: bool, limit: int | None,
             step = step.groupBy("id").agg(F.min(F.struct("distance", F.size("path").alias("n"), "path")).alias("m")).select("id", "m.distance", "m.path")
         else:
             step = step.groupBy("id").agg(F.min("distance").alias("distance"))
-        known = best.select(F.col("id").alias("k"), F.col("distance").alias("was"))
+        known = reduce(DataFrame.unionByName, fresh, best).select(F.col("id").alias("k"), F.col("distance").alias("was"))
+        if fresh and weighted:  # a vertex may be in several
+            known = known.groupBy("k").agg(F.min("was").alias("was"))
         better = cut(step.join(known, F.col("id") == F.col("k"), "left").where("was is null or distance < was").drop("k", "was"))
         if better.isEmpty():
             break
-        best = cut(best.join(better.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti").unionByName(better))
+        fresh.append(better)
         frontier = better
-    return best
+        if len(fresh) >= MERGE_ROUNDS:
+            best, fresh = cut(_latest(best, fresh, weighted)), []
+    return _latest(best, fresh, weighted) if fresh else best
+
+
+def _latest(best: DataFrame, fresh: list[DataFrame], weighted: bool) -> DataFrame:
+    """Each vertex as the last of the tables that has it: every later distance is a smaller one. Without weights only one has it."""
+    every = reduce(DataFrame.unionByName, fresh, best)
+    if not weighted:
+        return every
+    return every.groupBy("id").agg(*(F.min_by(x, "distance").alias(x) for x in every.columns if x != "id"))
 
 
 def sssp(g: Graph, source, direction: str = "OUT", weighted: bool = False) -> DataFrame:
@@ -163,13 +180,8 @@ def label_propagation(g: Graph, rounds: int = 10) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with 0, 1, … in the order of key: by range partitions, whose sizes alone are summed in one place."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(rows.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
-    return dealt.join(F.broadcast(before), "_p").withColumn(name, (place + F.col("_before")).cast("long")).drop("_p", "_before")
+    """rows with 0, 1, … in the order of key."""
+    return running_sum(rows, [F.col(key)], F.lit(1), name).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def scc(g: Graph) -> DataFrame:

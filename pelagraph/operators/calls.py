@@ -109,10 +109,18 @@ def query_fts_index(s: Any, name: str, query: str, k: int = 10, mode: str = "dis
 
 # ---------------------------------------------------------------- vectors
 class VectorIndex:
-    """Search is exact, so an index is the name of what to scan."""
+    """Cells of the table's rows as they were when it was built; a table changed since is scanned."""
 
-    def __init__(self, table: str, property_: str, metric: str):
-        self.table, self.property, self.metric = table, property_, metric
+    def __init__(self, s: Any, table: str, property_: str, metric: str):
+        t = s.catalog.node(table)
+        self.table, self.property, self.metric, self.rows = table, property_, metric, t.df
+        self.cells = search.Cells.build(t.df, t.key, property_, metric)
+
+    def nearest(self, s: Any, vector: list[float], k: int) -> DataFrame:
+        t = s.catalog.node(self.table)
+        if self.cells is not None and t.df is self.rows:
+            return self.cells.nearest(vector, k)
+        return search.nearest(t.df, t.key, self.property, vector, k, self.metric)
 
 
 @register("create_vector_index")
@@ -121,14 +129,14 @@ def create_vector_index(s: Any, table: str, name: str, property_: str, metric: s
         raise QueryError(f"index {name} exists already")
     if metric not in ("cosine", "l2", "dotproduct"):
         raise QueryError(f"no metric {metric}")
-    s.catalog.node(table)
-    s.indexes[name] = VectorIndex(table, property_, metric)
+    s.indexes[name] = VectorIndex(s, table, property_, metric)
     return s.done(f"created index {name}")
 
 
 @register("rebuild_vector_index")
 def rebuild_vector_index(s: Any, name: str) -> DataFrame:
-    _index(s, name, VectorIndex)
+    i = _index(s, name, VectorIndex)
+    s.indexes[name] = VectorIndex(s, i.table, i.property, i.metric)
     return s.done(f"rebuilt index {name}")
 
 
@@ -141,9 +149,7 @@ def drop_index(s: Any, name: str) -> DataFrame:
 
 @register("query_vector_index")
 def query_vector_index(s: Any, name: str, vector: list[float], k: int) -> DataFrame:
-    i = _index(s, name, VectorIndex)
-    t = s.catalog.node(i.table)
-    return search.nearest(t.df, t.key, i.property, list(vector), k, i.metric)
+    return _index(s, name, VectorIndex).nearest(s, list(vector), k)
 
 
 # ---------------------------------------------------------------- catalog

@@ -1,4 +1,4 @@
-"""Full-text search with BM25, and exact vector search.
+"""Full-text search with BM25, and exact vector search with and without an index.
 
 An index is a set of DataFrames (postings, document lengths), not a structure of its own: a query is a filter
 of the postings to its terms, one aggregation by document and a top-k.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -106,29 +107,42 @@ def tokens(text: Column, stemmed: bool = True) -> Column:
 
 @dataclass
 class TextIndex:
-    """postings: term, doc, tf, positions; lengths: doc, length."""
+    """postings: term, doc, tf; lengths: doc, length; words: doc and its words in order, not written.
+
+    Only phrases need places. They are written at the first query for a phrase.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    words: DataFrame
     table: str = ""
     properties: tuple[str, ...] = ()
     stemmed: bool = True
+    places: DataFrame | None = None
 
     @staticmethod
     def build(rows: DataFrame, key: str, properties: list[str], stemmed: bool = True, table: str = "") -> TextIndex:
         text = F.concat_ws(" ", *(F.col(f"`{p}`").cast("string") for p in properties))
         docs = rows.select(F.col(f"`{key}`").alias("doc"), tokens(text, stemmed).alias("words"))
-        lengths = cut(docs.select("doc", F.size("words").cast("long").alias("length")), "lengths")
-        words = docs.select("doc", F.posexplode("words").alias("at", "term"))
-        postings = words.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        return TextIndex(cut(postings, "postings"), lengths, table, tuple(properties), stemmed)
+        postings = cut(docs.select("doc", F.explode("words").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf")), "postings")
+        sizes = postings.groupBy(F.col("doc").alias("k")).agg(F.sum("tf").alias("length"))
+        lengths = docs.select("doc").join(sizes, F.col("doc") == F.col("k"), "left").select("doc", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+        return TextIndex(postings, cut(lengths, "lengths"), docs, table, tuple(properties), stemmed)
+
+    def positions(self, terms: list[str]) -> DataFrame:
+        """term, doc, positions"""
+        if self.places is None:
+            each = self.words.select("doc", F.posexplode("words").alias("at", "term"))
+            self.places = cut(each.groupBy("term", "doc").agg(F.sort_array(F.collect_list("at")).alias("positions")), "positions")
+        return self.places.where(F.col("term").isin(terms))
 
     def updated(self, rows: DataFrame, key: str) -> TextIndex:
         """With the documents of rows added or replaced."""
         new = TextIndex.build(rows, key, list(self.properties), self.stemmed, self.table)
         gone = new.lengths.select(F.col("doc").alias("k"))
         left = lambda df: df.join(gone, F.col("doc") == F.col("k"), "left_anti")
-        return TextIndex(cut(left(self.postings).unionByName(new.postings), "postings"), cut(left(self.lengths).unionByName(new.lengths), "lengths"), self.table, self.properties, self.stemmed)
+        both = lambda name: left(getattr(self, name)).unionByName(getattr(new, name))
+        return TextIndex(cut(both("postings"), "postings"), cut(both("lengths"), "lengths"), both("words"), self.table, self.properties, self.stemmed)
 
     def terms(self, query: str) -> list[str]:
         one = self.lengths.sparkSession.range(1).select(tokens(F.lit(query), self.stemmed).alias("w")).first()
@@ -145,12 +159,13 @@ class TextIndex:
         idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
         agg = [F.sum(idf * tf).alias("score"), F.count("*").alias("n")]
-        if phrase:
+        if phrase and wanted:
+            rows = rows.join(self.positions(wanted), ["term", "doc"])
             agg.append(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         out = rows.groupBy("doc").agg(*agg)
         if conjunctive:
             out = out.where(F.col("n") == len(wanted))
-        if phrase:
+        if phrase and wanted:
             bonus = F.lit(0.0)
             for x, y in zip(terms, terms[1:], strict=False):
                 here, there = F.coalesce(F.col("at")[x], F.array().cast("array<int>")), F.coalesce(F.col("at")[y], F.array().cast("array<int>"))
@@ -159,6 +174,84 @@ class TextIndex:
         return out.select("doc", "score").orderBy(F.desc("score"), "doc").limit(k)
 
 
+@dataclass
+class Cells:
+    """An exact index: vectors dealt to cells around centres, so that a query skips cells that cannot hold a neighbour.
+
+    Centres come from a sample of at most SAMPLE vectors (Lloyd's rounds). Every vector is in the cell of its nearest centre,
+    written as a partition of its own, with the cell's greatest distance to its centre, the radius. For cosine, vectors are
+    scaled to length 1. A query reads the cell with the nearest centre first; its k-th distance is a bound, and only cells
+    that the triangle inequality lets reach it are read besides. Vectors that are null, of another length or hold null
+    or non-finite components are in a cell of their own, which is read always. An index is of the rows it was built from.
+    """
+
+    SAMPLE, ROUNDS = 16_384, 8
+    rows: DataFrame
+    centres: np.ndarray
+    radii: dict[int, float]
+    metric: str
+
+    @staticmethod
+    def build(rows: DataFrame, key: str, vector: str, metric: str) -> Cells | None:
+        v = F.col(f"`{vector}`").cast("array<double>")
+        rows = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("embedding"), v.alias("v"))
+        n = rows.count()
+        drawn = rows.where(F.size("v") > 0).orderBy(F.xxhash64("id")).limit(Cells.SAMPLE).select("v").collect()
+        size = max(set(map(len, got)), key=list(map(len, got)).count) if (got := [r["v"] for r in drawn]) else 0
+        x = np.array([g for g in got if len(g) == size and None not in g], np.float64).reshape(-1, max(1, size))
+        x = Cells.scaled(x[np.isfinite(x).all(axis=1)], metric)
+        if len(x) == 0:
+            return None
+        centres = x[np.random.default_rng(5).permutation(len(x))[: max(1, min(256, int(np.sqrt(n)), len(x)))]]
+        for _ in range(Cells.ROUNDS):
+            near = ((centres**2).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
+            count = np.bincount(near, minlength=len(centres))
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x)
+            centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+
+        @F.pandas_udf("struct<cell:int,far:double>")
+        def place(vs: pd.Series) -> pd.DataFrame:
+            ok = vs.map(lambda y: y is not None and len(y) == size and bool(np.isfinite(np.array(y, np.float64)).all()))
+            cell, far = np.full(len(vs), -1, np.int32), np.zeros(len(vs))
+            if ok.any():
+                y = Cells.scaled(np.stack(vs[ok].map(lambda z: np.asarray(z, np.float64)).tolist()), metric)
+                d = np.sqrt(np.maximum(0, ((y[:, None, :] - centres[None, :, :]) ** 2).sum(2))) if len(y) * centres.size < 10_000_000 else np.stack([np.sqrt(((z - centres) ** 2).sum(1)) for z in y])
+                cell[ok.to_numpy()], far[ok.to_numpy()] = d.argmin(1), d.min(1)
+            return pd.DataFrame({"cell": cell, "far": far})
+
+        placed = rows.withColumn("p", place("v")).select("id", "embedding", F.col("p.cell").alias("cell"), F.col("p.far").alias("far"))
+        kept = cut(placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("cell"), "cells", "cell")
+        radii = {r["cell"]: r["far"] for r in kept.groupBy("cell").agg(F.max("far").alias("far")).collect()}
+        return Cells(kept.drop("far"), centres, radii, metric)
+
+    @staticmethod
+    def scaled(x: np.ndarray, metric: str) -> np.ndarray:
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 0, size, 1) if metric == "cosine" else x
+
+    def floor(self, q: np.ndarray) -> dict[int, float]:
+        """For each cell the least distance, in the metric's terms, that one of its vectors can have from q."""
+        y = self.scaled(q[None, :], self.metric)[0]
+        out = {-1: -np.inf}
+        for cell, radius in self.radii.items():
+            if cell >= 0:
+                gap = max(0.0, float(np.linalg.norm(self.centres[cell] - y)) - radius)
+                out[cell] = {"l2": gap, "cosine": gap * gap / 2, "dotproduct": -float(self.centres[cell] @ y) - radius * float(np.linalg.norm(y))}[self.metric]
+        return {c: f - 1e-9 * (1 + abs(f)) for c, f in out.items() if c in self.radii}
+
+    def nearest(self, query: list[float], k: int) -> DataFrame:
+        q = np.array(query, np.float64)
+        if len(q) != self.centres.shape[1]:
+            return nearest(self.rows, "id", "embedding", query, k, self.metric)
+        floors = self.floor(q)
+        first = min((c for c in floors if c >= 0), key=lambda c: (floors[c], float(np.linalg.norm(self.centres[c] - q)), c))
+        got = nearest(self.rows.where(F.col("cell") == first), "id", "embedding", query, k, self.metric).select("distance").collect()
+        bound = max(r["distance"] for r in got) if len(got) == k else np.inf
+        reach = [c for c, f in floors.items() if f <= bound + 1e-9]
+        return nearest(self.rows.where(F.col("cell").isin(reach)), "id", "embedding", query, k, self.metric)
+
+
 def nearest(rows: DataFrame, key: str, vector: str, query: list[float], k: int, metric: str = "cosine") -> DataFrame:
     """(rank, id, distance, embedding) by exact search: one scan and a top-k. dotproduct: the negated product."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -14,10 +14,10 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pelagraph.catalog import Catalog
+from pelagraph.operators.joins import running_sum
 from pelagraph.storage import cut
 
 _NODES = "id string, table string, props map<string,string>"
@@ -119,12 +119,20 @@ def time_buckets(rows: DataFrame, name: str, unit: str) -> DataFrame:
     return rows.select(at.alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("count"))
 
 
+def _ranked(rows: DataFrame, by: Column) -> DataFrame:
+    """rows with rank, 1 for the greatest: from the table of distinct values and how many rows have each."""
+    values = rows.groupBy(by.alias("_by")).agg(F.count("*").alias("_rows"))
+    places = running_sum(values, [F.desc("_by")], F.col("_rows"), "_upto").select("_by", (F.col("_upto") - F.col("_rows") + 1).cast("long").alias("rank"))
+    return rows.join(places, by.eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def rank(summary: DataFrame, by: str = "count") -> DataFrame:
     """summary with rank, share, and both cumulated, largest first."""
     keys = [c for c in summary.columns if c != by]
-    order = W.orderBy(F.desc(by), *keys)
-    share = F.col(by) / F.sum(by).over(W.partitionBy())
-    return summary.withColumn("rank", F.rank().over(W.orderBy(F.desc(by))).cast("long")).withColumn("share", share).withColumn("cumulative_count", F.sum(by).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("cumulative_share", F.sum(share).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    total = summary.agg(F.sum(by).alias("_total"))
+    out = _ranked(summary, F.col(by)).crossJoin(F.broadcast(total)).withColumn("share", F.col(by) / F.col("_total"))  # total: one row
+    out = running_sum(out, [F.desc(by), *(F.col(k) for k in keys)], F.col(by), "cumulative_count")
+    return out.withColumn("cumulative_share", F.col("cumulative_count") / F.col("_total")).drop("_total")
 
 
 def top(summary: DataFrame, k: int, by: str = "count", ascending: bool = False) -> DataFrame:
@@ -142,7 +150,8 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str], measure: str =
 
 
 def rank_deltas(deltas: DataFrame) -> DataFrame:
-    return deltas.withColumn("rank", F.rank().over(W.orderBy(F.desc(F.abs(F.col("delta"))))).cast("long"))
+    """deltas with rank, the greatest change first."""
+    return _ranked(deltas, F.abs(F.col("delta")))
 
 
 def gaining(deltas: DataFrame, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagraph.operators import algorithms as alg
 from pelagraph.operators import search, shard
-from pelagraph.plans import function_queries, graph_queries, update_queries
+from pelagraph.plans import function_queries, graph_queries, search_queries, update_queries
 from pelagraph.plans.testgraph import test_graph
 from pelagraph.session import GraphSession
 
@@ -197,6 +197,7 @@ text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind
 
 function_queries.register(text)
 update_queries.register(text, code)
+search_queries.register(text, code)
 
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"

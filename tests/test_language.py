@@ -165,3 +165,68 @@ def test_recursion_over_several_tables(graph):
 
 def test_submit(g):
     assert g.submit("RETURN 1 AS x").result()[0][0] == 1
+
+
+@pytest.fixture()
+def pair(spark):
+    g = GraphSession(spark)
+    g.cypher("CREATE NODE TABLE A (id INT64, n STRING, PRIMARY KEY (id))")
+    g.cypher("CREATE REL TABLE R (FROM A TO A, w INT64)")
+    g.cypher("CREATE (a:A {id: 1, n: 'x'})-[:R {w: 3}]->(b:A {id: 2}), (a)-[:R {w: 4}]->(b)")
+    return g
+
+
+def rows(g, text):
+    return sorted(map(tuple, g.cypher(text).collect()), key=repr)
+
+
+def test_parallel_relationships_are_told_apart(pair):
+    pair.cypher("MATCH (a:A)-[r:R]->(b:A) WHERE r.w = 3 SET r.w = 30")
+    assert rows(pair, "MATCH (a:A)-[r:R]->(b:A) RETURN r.w") == [(30,), (4,)]
+    pair.cypher("MATCH (a:A)-[r:R]->(b:A) WHERE r.w = 4 DELETE r")
+    assert rows(pair, "MATCH (a:A)-[r:R]->(b:A) RETURN r.w") == [(30,)]
+
+
+def test_merge_of_relationships(pair):
+    match = "MATCH (a:A {id: 1}), (b:A {id: 2}) "
+    assert rows(pair, match + "MERGE (a)-[r:R {w: 99}]->(b) RETURN r.w") == [(99,)]
+    assert rows(pair, match + "MERGE (a)-[r:R {w: 4}]->(b) ON MATCH SET r.w = 55 RETURN r.w") == [(55,)]
+    assert rows(pair, "MATCH (a:A)-[r:R]->(b:A) RETURN r.w") == [(3,), (55,), (99,)]
+    assert rows(pair, match + "MERGE (b)-[r:R]->(a) ON CREATE SET r.w = 7 RETURN r.w, type(r)") == [(7, "R")]
+
+
+def test_set_and_return(pair):
+    assert rows(pair, "MATCH (a:A {id: 1}) SET a.n = 'p', a.id = a.id + 10 RETURN a.id, a.n") == [(11, "p")]
+    assert rows(pair, "MATCH (a:A)-[r:R]->(b:A) RETURN a.id, a.n, b.id, r.w") == [(11, "p", 2, 3), (11, "p", 2, 4)]
+    assert rows(pair, "MATCH (a:A) WHERE a.id = 2 SET a = {n: 'bag'} RETURN a.id, a.n") == [(2, "bag")]
+    assert rows(pair, "MATCH (a:A) SET a.n = null RETURN a.n") == [(None,), (None,)]
+
+
+def test_deleted_nodes_take_their_relationships(pair):
+    pair.cypher("MATCH (b:A {id: 2}) DELETE b")
+    assert rows(pair, "MATCH (a:A)-[r:R]->(b:A) RETURN b.id") == [] and rows(pair, "MATCH (a:A) RETURN a.id") == [(1,)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["MERGE (a:A {id: 9}) RETURN nosuch.x", "CREATE (a:A {id: 1})", "UNWIND [5, 5] AS k CREATE (a:A {id: k})", "CREATE (a:A {n: 'keyless'})", "MERGE (a:A {id: 1, n: 'other'})", "MERGE (a:A {id: null})", "MATCH (a:A) SET a.id = 7", "MATCH (a:A) SET a.nosuch = 1", "MATCH (a:A) SET a = {nosuch: 1}", "CREATE (c:A {id: 40}), (d:A {id: 2})"],
+)
+def test_failing_statements_change_nothing(pair, text):
+    before = rows(pair, "MATCH (a:A) RETURN a.id, a.n")
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        pair.cypher(text).collect()
+    assert rows(pair, "MATCH (a:A) RETURN a.id, a.n") == before
+
+
+def test_explain_changes_nothing_and_profile_runs(pair):
+    pair.cypher("EXPLAIN CREATE (a:A {id: 50})")
+    assert rows(pair, "MATCH (a:A) RETURN a.id") == [(1,), (2,)]
+    got = [r.plan for r in pair.cypher("PROFILE MATCH (a:A) RETURN a.id").collect()]
+    assert got[0] == "rows: 2" and got[1].startswith("seconds: ") and len(got) > 3
+
+
+def test_updates_do_not_pile_up(pair):
+    for i in range(6):
+        pair.cypher(f"MATCH (a:A) WHERE a.id = 1 SET a.n = 'v{i}'")
+    plan = pair.cypher("MATCH (a:A) RETURN a.id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.strip().splitlines()) <= 3 and rows(pair, "MATCH (a:A {id: 1}) RETURN a.n") == [("v5",)]

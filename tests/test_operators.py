@@ -200,3 +200,49 @@ def test_mutation_builder(spark):
     m.apply()
     m.apply()
     assert [tuple(r) for r in g.cypher("MATCH (a:A)-[r:R]->(b:A) RETURN a.n, b.n, r.w").collect()] == [("y", None, 5)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dotproduct"])
+def test_vector_cells_are_exact(spark, metric):
+    r = random.Random(9)
+    rows = []
+    for i in range(600):
+        centre = 10 * (i % 12)
+        rows.append((i, [r.gauss(centre if j == i % 3 else 1, 1.5) for j in range(6)]))
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 6), (1003, [1.0, 2.0]), (1004, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    cells = search.Cells.build(df, "k", "v", metric)
+    for q in (rows[5][1], [0.0] * 6, [3.0, -2.0, 1.0, 0.5, 9.0, 2.0]):
+        want = [(x.id, round(x.distance, 9)) for x in search.nearest(df.where("k <> 1004"), "k", "v", q, 9, metric).collect()]
+        assert [(x.id, round(x.distance, 9)) for x in cells.nearest(q, 9).where("id <> 1004").collect()] == want
+    if metric == "l2":
+        assert sum(f <= 5 for f in cells.floor(__import__("numpy").array(rows[5][1])).values()) < len(cells.radii) / 2  # most cells are skipped
+    assert search.Cells.build(df.limit(0), "k", "v", metric) is None
+
+
+def test_running_sum_and_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from pelagraph.operators import joins
+
+    rows = [(i, i * 7 % 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = {x.k: x.s for x in joins.running_sum(df, [F.desc("n"), F.col("k")], F.col("n"), "s").collect()}
+    total, want = 0, {}
+    for k, n in sorted(rows, key=lambda x: (-x[1], x[0])):
+        total += n
+        want[k] = total
+    assert got == want
+    ranks = {x.k: x["rank"] for x in shard.rank(df, "n").collect()}
+    assert ranks == {k: 1 + sum(m > n for _, m in rows) for k, n in rows}
+    hot = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)], "a long, b long")
+    side = hot.groupBy("a").agg(F.count("*").alias("deg"), F.min("b").alias("least"))
+    got = sorted(map(tuple, joins.beside_hubs(hot, side, "a", "deg", 900).collect()))
+    assert got == sorted((x.a, x.b, x.deg, x.least) for x in hot.join(side, "a").collect())
+
+
+def test_weighted_distances_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(alg, "MERGE_ROUNDS", 2)
+    edges = [(i, i + 1, 1.0) for i in range(12)] + [(0, i, 5.0 * i) for i in range(2, 12)]
+    g = alg.Graph.of(spark.range(14).select("id"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    assert dict(map(tuple, alg.sssp(g, 0, weighted=True).collect())) == {**{i: float(i) for i in range(13)}, 13: None}
