@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pelagraph.operators.joins import beside_hubs
 from pelagraph.storage import cut, importable
 
 #: Multiplier of the rolling mix (2**64 divided by the golden ratio).
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bounds of an Arrow batch; smaller settings of the session stay.
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-#: Hot keys that a join broadcasts, at most; see beside_hubs.
-HUBS = 200_000
 #: Words whose hash a Python worker remembers before it starts over.
 _MEMO_WORDS = 100_000
 
@@ -196,21 +195,6 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"a": pa.array(part, pa.int64()), "b": pa.array([root(x) for x in part], pa.int64())})
 
 
-def beside_hubs(rows: DataFrame, side: DataFrame, key: str, many: str, total: int) -> DataFrame:
-    """rows joined with side, which has one row a key, without dealing a hot key's rows to one task.
-
-    many: side's column with the key's number of rows; total: their sum. Keys of more than total / HUBS rows, of which there
-    cannot be more than HUBS, are broadcast; the others' rows are shuffled. side is read twice, so it should be kept.
-    """
-    bound = max(64, -(-total // HUBS))
-    names = [x for x in side.columns if x != key]
-    hubs = F.broadcast(side.where(F.col(many) > bound).select(key, *(F.col(x).alias(f"hub_{x}") for x in names)))
-    near = rows.join(hubs, key, "left")
-    lone = F.col(f"hub_{many}").isNull()
-    hot = near.where(~lone).select(*rows.columns, *(F.col(f"hub_{x}").alias(x) for x in names))
-    return hot.unionByName(near.where(lone).select(*rows.columns).join(side.where(F.col(many) <= bound), key))
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): label is the smallest node reached over the undirected edges; nodes without edge are absent.
 

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pelagraph.llm import common as c
+from pelagraph.operators.joins import beside_hubs
 
 K = 5
 #: Percent of the union.
@@ -431,7 +432,7 @@ class _Texts:
 def star_pairs(post: DataFrame, alive: DataFrame) -> DataFrame:
     """(a, b): each content and the centre that it shares most with, where that is enough. post: token, key, rank."""
     centres = c.keep(post.groupBy("token").agg(F.min_by("key", "rank").alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
-    met = c.beside_hubs(post.drop("rank"), centres, "token", "many", post.count()).where("key != centre").groupBy("key", "centre").agg(F.count("*").alias("same"))
+    met = beside_hubs(post.drop("rank"), centres, "token", "many", post.count()).where("key != centre").groupBy("key", "centre").agg(F.count("*").alias("same"))
     mine, other = alive.select("key", "n", "m"), alive.select(F.col("key").alias("centre"), F.col("n").alias("cn"), F.col("m").alias("cm"))
     fits = met.join(_small(mine), "key").join(_small(other), "centre").where("same >= least(m, cm)").where(_sizes("n", "cn"))
     order = F.col("same") * (1 << 40) + F.col("centre").bitwiseAND(F.lit((1 << 40) - 1))
@@ -489,7 +490,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> Data
     post = post.join(_small(tied), F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("label", "key").alias("cls"))
     live = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many")).where("lo != hi").select("token", "many")
     live = c.keep(live, "live-tokens")
-    live = c.keep(c.beside_hubs(post, live, "token", "many", live.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "live")
+    live = c.keep(beside_hubs(post, live, "token", "many", live.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "live")
     wide = c.keep(live.where(F.col("many") > SMALL).groupBy("key").agg(F.count("*").alias("big")), "wide")
     linked = facts.linked(list_pairs(live.where(F.col("many") <= SMALL), alive, wide), alive, "linked")
     linked = linked.unionByName(stars)

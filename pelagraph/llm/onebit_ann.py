@@ -8,14 +8,12 @@ weighted sum of the ones in ``code & plane``. Divided by a it estimates the inne
 with an error above ``EPSILON`` times both norms times ``sqrt(((1 - a^2) / (bits - 1) + step^2 / 12) / a^2)`` only with a
 small probability (step: of the query's rounding).
 
-Codes meet, vectors do not: query planes are packed into blocks and meet each block of codes once, which is the work
-of a stated query set against all rows. A first round, of one block of codes for each block of queries, gives each query a floor:
-the k-th best of its lower bounds. In the second, of all blocks, a vector stays whose upper bound reaches the floor
-and the block's own k-th best lower bound; over all blocks, whose upper bound reaches the k-th best lower bound of all.
-Only for those are the vectors themselves fetched, and their inner products computed exactly.
-
-A block holds at most ``BLOCK`` codes on average, whatever the input, and is found by a hash of the id, so
-equal vectors spread like any others. No training: every row is indexed.
+Vectors are packed into blocks of about ``BLOCK``, codes, scalars and the vectors themselves, found by a hash of the id, so
+equal vectors spread like any others; the blocks are written once and stay where they are. Queries come to them, in
+passes: a pass broadcasts at most ``PASS_BYTES`` of packed queries (the stated query set, in blocks) and reads the
+blocks once. In a task a query's floor is the greater of the k-th best inner product it has met and the block's k-th best lower
+bound; only vectors whose upper bound reaches the floor are reranked exactly. A task sends each query's k best on, packed, one row
+a block of queries, and these are merged. No training: every row is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows with a null id. Rows that repeat an id count once, with the smallest vector. Only vectors of equal
@@ -26,17 +24,17 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from pelagraph.llm import common as c
 
-K, BLOCK, QUERIES = 20, 8192, 1024
+K, BLOCK, QUERIES, PASS_BYTES = 20, 8192, 1024, 32 << 20
 #: Bits a dimension, bits of a query's component, width of the error bound, seed of the rotation.
 SPREAD, PLANES, EPSILON, SEED = 4, 4, 2.4, 11
 
@@ -103,8 +101,8 @@ def _kth(low: np.ndarray, k: int) -> float:
     return float(np.partition(low, len(low) - k)[len(low) - k]) if len(low) >= k else -np.inf
 
 
-def _pack_blocks(queries: bool):
-    """Rows (dim, blk, vec_id, embedding), sorted by block, into one row of codes a block: of vectors, or of queries."""
+def _pack_blocks(queries: bool, kind: str):
+    """Rows (dim, blk, vec_id, embedding), sorted by block, into one row a block: codes, scalars and vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -120,7 +118,7 @@ def _pack_blocks(queries: bool):
             else:
                 codes, *rest = encode(x, turn)
                 scalars = np.stack(rest, axis=1).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([blk], pa.int64()), "ids": [t.column("vec_id").to_numpy()[o].tobytes()], "codes": [codes.tobytes()], "scalars": [scalars.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([blk], pa.int64()), "ids": [t.column("vec_id").to_numpy()[o].tobytes()], "codes": [codes.tobytes()], "scalars": [scalars.tobytes()], "x": [x.astype(kind).tobytes()]})
 
         for batch in batches:
             key = np.stack([batch.column("dim").to_numpy(), batch.column("blk").to_numpy()], 1)
@@ -138,57 +136,100 @@ def _pack_blocks(queries: bool):
     return run
 
 
-def _blocks(rows: DataFrame, size: int, queries: bool) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, queries: bool, kind: str) -> DataFrame:
     """Packed blocks of about size vectors of one dimension."""
     counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("blocks"))
-    dealt = rows.join(counts, "dim").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
+    dealt = rows.join(F.broadcast(counts), "dim").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")  # one row a dimension
     dealt = dealt.select("dim", "blk", "vec_id", "embedding").repartition(c.width(rows), "dim", "blk").sortWithinPartitions("dim", "blk")
-    return c.keep(c.map_arrow(dealt, _pack_blocks(queries), "dim int, blk long, ids binary, codes binary, scalars binary"), "blocks")
+    return c.keep(c.map_arrow(dealt, _pack_blocks(queries, kind), "dim int, blk long, ids binary, codes binary, scalars binary, x binary"), "blocks")
+
+
+class _Best:
+    """The k best found so far of each query of a block."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.scores = k, [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
+
+    def floor(self, j: int) -> float:
+        return float(self.scores[j][-1]) if len(self.scores[j]) == self.k else -np.inf
+
+    def add(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids[j], ids]), np.concatenate([self.scores[j], scores])
+        o = np.lexsort((ids, -scores))[: self.k]
+        self.ids[j], self.scores[j] = ids[o], scores[o]
+
+    def row(self) -> tuple[bytes, bytes, bytes]:
+        return np.array([len(x) for x in self.ids], np.int32).tobytes(), np.concatenate(self.ids).tobytes(), np.concatenate(self.scores).tobytes()
+
+
+def meet(block: dict, asked: dict, best: _Best, kind: str) -> int:
+    """Search a block of vectors for a block of queries of the same dimension; the number of vectors reranked."""
+    ids, dim = np.frombuffer(block["ids"], np.int64), block["dim"]
+    x, words = np.frombuffer(block["x"], kind).reshape(len(ids), dim), bits_for(dim) // 64
+    codes = np.frombuffer(block["codes"], np.uint64).reshape(len(ids), words)
+    norm, a, ones = np.ascontiguousarray(np.frombuffer(block["scalars"], np.float64).reshape(-1, 3).T)
+    q_ids = np.frombuffer(asked["ids"], np.int64)
+    planes = np.frombuffer(asked["codes"], np.uint64).reshape(len(q_ids), PLANES, words)
+    scalars, q = np.frombuffer(asked["scalars"], np.float64).reshape(-1, 4), np.frombuffer(asked["x"], kind).reshape(len(q_ids), dim)
+    reranked = 0
+    for j in range(len(q_ids)):
+        est, width = estimate(codes, norm, a, ones, planes[j], scalars[j])
+        other = ids != q_ids[j]
+        floor = max(best.floor(j), _kth(np.where(other, est - width, -np.inf), best.k))
+        near = np.flatnonzero((est + width >= floor) & other)
+        reranked += len(near)
+        best.add(j, ids[near], inner(x[near].astype(np.float64), q[j].astype(np.float64)))
+    return reranked
+
 
+_FOUND = "q_blk long, dim int, n binary, ids binary, scores binary"
 
-def _meet(k: int, pilot: bool):
-    """Pairs of a block of queries and one of codes -> each query's floor (pilot), or the vectors that may be among its best."""
+
+def _pass(held, k: int, kind: str):
+    """Blocks of vectors -> for each block of the pass' queries its k best in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        best = {i: _Best(len(r["ids"]) // 8, k) for i, r in enumerate(asked)}
+        seen: set[int] = set()
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                words = bits_for(r["dim"]) // 64
-                codes = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), words)
-                norm, a, ones = np.ascontiguousarray(np.frombuffer(r["scalars"], np.float64).reshape(-1, 3).T)
-                planes = np.frombuffer(r["q_codes"], np.uint64).reshape(len(q_ids), PLANES, words)
-                scalars = np.frombuffer(r["q_scalars"], np.float64).reshape(-1, 4)
-                floors = np.full(len(q_ids), -np.inf) if pilot else np.frombuffer(r["floors"], np.float64)
-                out = []
-                for j in range(len(q_ids)):
-                    est, width = estimate(codes, norm, a, ones, planes[j], scalars[j])
-                    low = np.where(ids == q_ids[j], -np.inf, est - width)
-                    floor = max(floors[j], _kth(low, k))
-                    if pilot:
-                        out.append(floor)
-                    else:
-                        near = np.flatnonzero((est + width >= floor) & (ids != q_ids[j]))
-                        out.append((ids[near], low[near], (est + width)[near]))
-                if pilot:
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array([r["dim"]], pa.int32()), "q_ids": [r["q_ids"]], "q_codes": [r["q_codes"]], "q_scalars": [r["q_scalars"]], "floors": [np.array(out).tobytes()]})
-                elif out:
-                    n = [len(x) for x, _, _ in out]
-                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, n), **{name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("vec_id", "low", "high"))}})
+            for block in batch.to_pylist():
+                for i, r in enumerate(asked):
+                    if r["dim"] == block["dim"]:
+                        meet(block, r, best[i], kind)
+                        seen.add(i)
+        for i in sorted(seen):
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i]["blk"]], pa.int64()), pa.array([asked[i]["dim"]], pa.int32()), *(pa.array([b], pa.binary()) for b in best[i].row())], names=["q_blk", "dim", "n", "ids", "scores"])
 
     return run
 
 
-def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query_id, vec_id, q, x) -> (query_id, vec_id, score)."""
-    for batch in batches:
-        q, x = batch.column("q"), batch.column("x")
-        size = np.diff(x.offsets.to_numpy())
-        score = np.zeros(batch.num_rows)
-        for dim in np.unique(size).tolist():
-            at = np.flatnonzero(size == dim)
-            rows = pa.array(at, pa.int64())
-            score[at] = inner(*(v.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for v in (x, q)))
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+def _merge(held, k: int):
+    """The tasks' rows, sorted by block of queries -> (query_id, rank, vec_id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids = {(r["dim"], r["blk"]): np.frombuffer(r["ids"], np.int64) for r in held.value}
+        name, best = None, _Best(0, k)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if name is not None:
+                n = [len(x) for x in best.ids]
+                rank = np.concatenate([np.arange(1, m + 1) for m in n]) if n else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[name], n)), pa.array(rank.astype(np.int32)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["dim"], r["q_blk"]) != name:
+                    yield from out()
+                    name = r["dim"], r["q_blk"]
+                    best = _Best(len(q_ids[name]), k)
+                ends = np.cumsum(np.frombuffer(r["n"], np.int32))
+                ids, scores = np.split(np.frombuffer(r["ids"], np.int64), ends[:-1]), np.split(np.frombuffer(r["scores"], np.float64), ends[:-1])
+                for j, (x, y) in enumerate(zip(ids, scores, strict=True)):
+                    best.add(j, x, y)
+        yield from out()
+
+    return run
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -200,24 +241,31 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query (over vec_id) holds, its k nearest others."""
+    spark = vectors.sparkSession
+    kind = "<f4" if isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType) else "<f8"
     rows = c.keep(valid(vectors, id_col, vector_col), "vectors")
-    base = _blocks(rows, block, False)
-    asked = _blocks(rows.where(is_query), queries, True).select("dim", F.col("blk").alias("q_blk"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("scalars").alias("q_scalars"))
-    asked = asked.join(base.groupBy("dim").agg(F.max("blk").alias("last")), "dim")
-    meeting = lambda left: left.join(base, ["dim", "blk"]).repartition(c.width(vectors))
-
-    first = asked.withColumn("blk", F.pmod(F.xxhash64("q_blk"), F.col("last") + 1)).drop("q_blk", "last")
-    floors = c.map_arrow(meeting(first), _meet(k, True), "dim int, q_ids binary, q_codes binary, q_scalars binary, floors binary")
-    floors = c.keep(floors, "floors").join(asked.select("dim", "last").distinct(), "dim")
-    every = floors.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
-    near = c.keep(c.map_arrow(meeting(every), _meet(k, False), "query_id long, vec_id long, low double, high double"), "near")
-
-    best = near.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("nth") <= k)
-    floor = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))
-    near = near.join(floor, "query_id").where("floor is null or high >= floor").select("query_id", "vec_id")
-    met = near.join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    found = c.map_arrow(met.select("query_id", "vec_id", "q", "x"), _rerank, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    base, asked = _blocks(rows, block, False, kind), _blocks(rows.where(is_query), queries, True, kind)
+    size = F.length("ids") + F.length("codes") + F.length("scalars") + F.length("x")
+    todo = asked.select("dim", "blk", size.alias("size")).orderBy("dim", "blk").toLocalIterator()  # three numbers a block of queries
+    found: list[DataFrame] = []
+
+    def run(chosen: list[tuple[int, int]]) -> None:
+        mine = asked.where(F.struct("dim", "blk").isin([F.struct(F.lit(d).cast("int"), F.lit(b).cast("long")) for d, b in chosen]))
+        held = spark.sparkContext.broadcast([r.asDict() for r in mine.collect()])
+        parts = c.map_arrow(base, _pass(held, k, kind), _FOUND)
+        dealt = parts.repartition(min(c.width(base), len(chosen)), "dim", "q_blk").sortWithinPartitions("dim", "q_blk")
+        found.append(c.keep(c.map_arrow(dealt, _merge(held, k), "query_id long, rank int, vec_id long, score double"), "nearest"))
+        held.unpersist()
+
+    chosen, total = [], 0
+    for r in todo:
+        if chosen and total + r["size"] > pass_bytes:
+            run(chosen)
+            chosen, total = [], 0
+        chosen.append((r["dim"], r["blk"]))
+        total += r["size"]
+    if chosen:
+        run(chosen)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagraph.llm import common, ngram_jaccard, onebit_ann
+from pelagraph.operators import joins
 
 SCHEMA = "doc_id long, text string, n long, key string"
 
@@ -116,7 +117,7 @@ def test_shared_passages_give_few_pairs(spark, monkeypatch):
 
 
 def test_components_of_a_star_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(common, "HUBS", 3)
+    monkeypatch.setattr(joins, "HUBS", 3)
     edges = [(5, 100 + i) for i in range(400)] + [(100 + i, 900 + i) for i in range(0, 400, 7)] + [(1, 5), (2000, 2001)]
     got = dict(common.components(spark.createDataFrame(edges, "x long, y long").repartition(5), "x", "y").collect())
     assert {v for k, v in got.items() if k < 2000} == {1} and got[2001] == 2000
@@ -188,7 +189,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = df.collect()
     x = {r.vec_id: np.array(r.embedding, np.float64) for r in rows}
-    got = onebit_ann.nearest(df, F.col("vec_id") % 20 == 0, block=100, queries=7).collect()
+    got = onebit_ann.nearest(df, F.col("vec_id") % 20 == 0, block=100, queries=7, pass_bytes=9_000).collect()
     by = {}
     for r in got:
         assert abs(r.score - float((x[r.query_id] * x[r.vec_id]).sum())) < 1e-12
@@ -245,6 +246,26 @@ def test_equal_vectors_in_several_blocks(spark):
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, n + 1): v for q in (0, 20, 40) for n, v in enumerate([i for i in range(6) if i != q][:5])}
 
 
+def test_few_vectors_are_reranked():
+    """Bounds from packed bits leave most of a block's vectors alone, and lose few of the best."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 64)) * 2
+    x = (centres[r.integers(0, 40, 4000)] + r.standard_normal((4000, 64))).astype("<f4")
+    turn = onebit_ann.rotation(64, onebit_ann.bits_for(64))
+    codes, norm, a, ones = onebit_ann.encode(x.astype(float), turn)
+    planes, scalars = onebit_ann.encode_queries(x[:50].astype(float), turn)
+    block = {"dim": 64, "ids": np.arange(4000).tobytes(), "x": x.tobytes(), "codes": codes.tobytes(), "scalars": np.stack([norm, a, ones], 1).astype(float).tobytes()}
+    asked = {"dim": 64, "ids": np.arange(50).tobytes(), "x": x[:50].tobytes(), "codes": planes.tobytes(), "scalars": scalars.tobytes()}
+    best = onebit_ann._Best(50, 20)
+    assert onebit_ann.meet(block, asked, best, "<f4") < 50 * 4000 * 0.2
+    hit = 0
+    for j in range(50):
+        s = x.astype(float) @ x[j].astype(float)
+        s[j] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(best.ids[j].tolist()))
+    assert hit >= 0.97 * 1000
+
+
 def test_very_long_and_very_small_vectors(spark):
     df = spark.createDataFrame([(0, [1e30, 2e30], 1, 1), (1, [1e-30, 0.0], 1, 1), (2, [3e30, 1e30], 1, 1)], VEC)
     got = [(r.query_id, r.vec_id) for r in onebit_ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
