@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagraph.operators import algorithms as alg
 from pelagraph.operators import search, shard
-from pelagraph.plans import function_queries, graph_queries, search_queries, update_queries
+from pelagraph.plans import function_queries, graph_queries, search_queries, session_queries, update_queries
 from pelagraph.plans.testgraph import test_graph
 from pelagraph.session import GraphSession
 
@@ -46,6 +46,12 @@ def code(name: str, sql: str | None = None):
     return add
 
 
+def with_folder(name: str, f: Callable[[GraphSession, str], DataFrame], sql: str) -> None:
+    """A query that reads the tables' folder as well."""
+    QUERIES[name] = lambda spark, sf_dir: f(test_graph(spark, sf_dir), sf_dir)
+    ORACLE[name] = sql
+
+
 # ---------------------------------------------------------------- scans, projection, filters
 text("flagship_segment_orders", "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 100000 RETURN c.c_mktsegment AS seg, count(*) AS n, sum(o.o_totalprice) AS total ORDER BY total DESC LIMIT 5",
      "SELECT c_mktsegment AS seg, count(*) AS n, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 GROUP BY 1 ORDER BY total DESC LIMIT 5")
@@ -198,6 +204,7 @@ text("call_show_tables", "CALL show_tables() YIELD name, type AS kind WHERE kind
 function_queries.register(text)
 update_queries.register(text, code)
 search_queries.register(text, code)
+session_queries.register(with_folder)
 
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
