@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pelagraph.operators.joins import beside_hubs, running_sum
-from pelagraph.storage import cut
+from pelagraph.storage import cut, drop
 
 #: Rounds of improved distances that sssp keeps as tables of their own before it writes one of them.
 MERGE_ROUNDS = 6
@@ -49,7 +49,7 @@ def pagerank(g: Graph, iterations: int = 20, damping: float = 0.85, tolerance: f
         return g.vertices.withColumn("rank", F.lit(0.0))
     sinks = g.vertices.join(degree, g.vertices["id"] == degree["src"], "left_anti").select(F.col("id").alias("sink"))
     sinks = cut(sinks)
-    rank = cut(g.vertices.withColumn("rank", F.lit(1.0 / n)))
+    rank = old = cut(g.vertices.withColumn("rank", F.lit(1.0 / n)))
     for _ in range(iterations):
         dangling = rank.join(sinks, F.col("id") == F.col("sink"), "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
         given = rank.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
@@ -57,7 +57,8 @@ def pagerank(g: Graph, iterations: int = 20, damping: float = 0.85, tolerance: f
         score = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("d") / n)
         new = cut(new.select("id", F.col("rank").alias("before"), score.alias("rank")))
         moved = new.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
-        rank = new.select("id", "rank")
+        drop(old)
+        rank, old = new.select("id", "rank"), new
         if moved < tolerance:
             break
     return rank
@@ -75,7 +76,8 @@ def wcc(g: Graph) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = cut(small.where("a <> b").distinct())
+        e, old = cut(small.where("a <> b").distinct()), e
+        drop(old, least)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

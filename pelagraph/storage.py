@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,40 @@ def cut(df: DataFrame, name: str = "step", *by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pelagraph-{_OWN}/{name}-{uuid.uuid4().hex[:8]}"
     _WRITTEN.append(path)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = vars(df).get("_written_to") if df is not None else None
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is written within at its end, but for the tables given to the function that it yields."""
+    before, kept = set(_WRITTEN), set()
+
+    def hold(df: DataFrame) -> DataFrame:
+        kept.add(vars(df).get("_written_to"))
+        return df
+
+    try:
+        yield hold
+    finally:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean(spark: SparkSession) -> None:
@@ -42,8 +77,7 @@ def _clean(spark: SparkSession) -> None:
         return
     for path in _WRITTEN:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
 
