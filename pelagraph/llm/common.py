@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pelagraph.operators.joins import beside_hubs
-from pelagraph.storage import cut, importable
+from pelagraph.storage import cut, drop, importable
 
 #: Multiplier of the rolling mix (2**64 divided by the golden ratio).
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -211,7 +211,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = keep(small.where("a != b").distinct(), "small")
+        e, old = keep(small.where("a != b").distinct(), "small"), e
+        drop(old, least, large)
         #: A forest of stars: each node has one edge and no star's centre has an edge of its own.
         many = e.groupBy("a").count().where("count > 1").limit(1)
         chained = e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi").limit(1)

@@ -379,10 +379,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 class _Texts:
-    """The named rows, and the sets of those contents that are asked for."""
+    """The named rows, and the sets of those contents that are asked for. alive: the candidates, a kept table.
 
-    def __init__(self, named: DataFrame, known, bits: int, parts: int):
-        self.named, self.known, self.bits, self.parts = named, known, bits, parts
+    near marks a table of at most one row a candidate for broadcast, if the candidates are few enough.
+    """
+
+    def __init__(self, named: DataFrame, known, bits: int, parts: int, alive: DataFrame):
+        self.named, self.known, self.bits, self.parts, self.alive = named, known, bits, parts, alive
+        self.near = F.broadcast if alive.count() <= BROADCAST_ROWS else lambda df: df
 
     def sets(self, wanted: DataFrame, columns: list[str], prefixes: bool = False) -> DataFrame:
         """wanted: doc_id, key and columns, one row a key. Adds shingles; with prefixes also asked and prefix."""
@@ -403,11 +407,11 @@ class _Texts:
                         out += [pa.array([m for _, m in pre], pa.int32()), pa.array([p.tobytes() for p, _ in pre], pa.binary())]
                     yield pa.RecordBatch.from_arrays(out, names=["key", *columns, "shingles", *(["asked", "prefix"] if prefixes else [])])
 
-        rows = self.named.join(_small(wanted), "doc_id").select("text", "key", *columns)
+        rows = self.named.join(self.near(wanted), "doc_id").select("text", "key", *columns)
         schema = ", ".join(["key long", *(f"{x} {t}" for x, t in wanted.dtypes if x in columns), "shingles binary", *(["asked int", "prefix binary"] if prefixes else [])])
         return c.map_arrow(rows, fetch, schema)
 
-    def linked(self, pairs: DataFrame, alive: DataFrame, name: str) -> DataFrame:
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """pairs: (a, b) of keys, distinct. The links among them, each verified on the whole sets (kept as table).
 
         The end of more pairs is the anchor, whose set meets its partners' in groups of at most CHUNK.
@@ -415,26 +419,27 @@ class _Texts:
         pairs = c.keep(pairs, name + "-pairs")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count()
         top = lambda x: degree.select(F.col("key").alias(x), F.col("count").alias("n" + x))
-        both = pairs.join(_small(top("a")), "a").join(_small(top("b")), "b")
+        both = pairs.join(self.near(top("a")), "a").join(self.near(top("b")), "b")
         turn = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         both = both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("anchor"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("key"))
-        cuts = both.groupBy("anchor").agg(F.count("*").alias("many")).join(_small(alive.select(F.col("key").alias("anchor"), "n")), "anchor")
+        cuts = both.groupBy("anchor").agg(F.count("*").alias("many")).join(self.near(self.alive.select(F.col("key").alias("anchor"), "n")), "anchor")
         cuts = cuts.select("anchor", F.greatest(F.ceil(F.col("many") / CHUNK), F.ceil(F.col("many") * F.col("n") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
         own = cuts.select("anchor", F.col("anchor").alias("key"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-        side = both.join(_small(cuts), "anchor").select("anchor", "key", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int").alias("cut"))
+        side = both.join(self.near(cuts), "anchor").select("anchor", "key", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int").alias("cut"))
         side = c.keep(side.unionByName(own).withColumn("grp", F.xxhash64("anchor", "cut")).drop("cut"), name + "-sides")
-        wanted = alive.join(_small(side.select("key").distinct()), "key", "left_semi").select("doc_id", "key")
+        wanted = self.alive.join(self.near(side.select("key").distinct()), "key", "left_semi").select("doc_id", "key")
         met = self.sets(wanted, []).join(_small(side), "key").select("grp", "anchor", "key", "shingles")
         met = met.repartition(self.parts, "grp").sortWithinPartitions("grp")
         return c.keep(c.map_arrow(met, _verify_anchors, "a long, b long"), name)
 
 
-def star_pairs(post: DataFrame, alive: DataFrame) -> DataFrame:
+def star_pairs(post: DataFrame, facts: _Texts) -> DataFrame:
     """(a, b): each content and the centre that it shares most with, where that is enough. post: token, key, rank."""
+    alive, near = facts.alive, facts.near
     centres = c.keep(post.groupBy("token").agg(F.min_by("key", "rank").alias("centre"), F.count("*").alias("many")).where("many > 1"), "centres")
     met = beside_hubs(post.drop("rank"), centres, "token", "many", post.count()).where("key != centre").groupBy("key", "centre").agg(F.count("*").alias("same"))
     mine, other = alive.select("key", "n", "m"), alive.select(F.col("key").alias("centre"), F.col("n").alias("cn"), F.col("m").alias("cm"))
-    fits = met.join(_small(mine), "key").join(_small(other), "centre").where("same >= least(m, cm)").where(_sizes("n", "cn"))
+    fits = met.join(near(mine), "key").join(near(other), "centre").where("same >= least(m, cm)").where(_sizes("n", "cn"))
     order = F.col("same") * (1 << 40) + F.col("centre").bitwiseAND(F.lit((1 << 40) - 1))
     return fits.groupBy("key").agg(F.max_by("centre", order).alias("b")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
@@ -443,7 +448,7 @@ def _sizes(x: str, y: str) -> str:
     return f"100 * {x} >= {THRESHOLD} * {y} and 100 * {y} >= {THRESHOLD} * {x}"
 
 
-def list_pairs(post: DataFrame, alive: DataFrame, wide: DataFrame) -> DataFrame:
+def list_pairs(post: DataFrame, facts: _Texts, wide: DataFrame) -> DataFrame:
     """(a, b): contents of different classes that share enough shingles of few contents.
 
     post: token, key, cls, of tokens in at most SMALL contents. wide: key, big, the number of a content's other live tokens.
@@ -451,8 +456,8 @@ def list_pairs(post: DataFrame, alive: DataFrame, wide: DataFrame) -> DataFrame:
     lists = post.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("key", "cls"))).alias("of")).groupBy("of").agg(F.count("*").alias("w"))
     each = F.expr("explode(flatten(transform(of, (x, i) -> transform(filter(slice(of, i + 2, size(of)), y -> y.cls != x.cls), y -> struct(x.key AS a, y.key AS b)))))")
     met = lists.select("w", each.alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("same"))
-    facts = alive.join(_small(wide), "key", "left").select("key", "n", "m", F.coalesce("big", F.lit(0)).alias("big"))
-    side = lambda x: _small(facts.select(F.col("key").alias(x), *(F.col(y).alias(x + y) for y in ("n", "m", "big"))))
+    rows = facts.alive.join(facts.near(wide), "key", "left").select("key", "n", "m", F.coalesce("big", F.lit(0)).alias("big"))
+    side = lambda x: facts.near(rows.select(F.col("key").alias(x), *(F.col(y).alias(x + y) for y in ("n", "m", "big"))))
     return met.join(side("a"), "a").join(side("b"), "b").where("same + least(abig, bbig) >= least(am, bm)").where(_sizes("an", "bn")).select("a", "b")
 
 
@@ -479,27 +484,27 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, frequent: int) -> Data
     asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * THRESHOLD / 100) / SHARE))
     alive = contents.join(post.groupBy("key").agg(F.count("*").alias("met")), "key").withColumn("asked", asked).where("met >= asked").join(asks, "key")
     alive = c.keep(alive, "alive")
-    facts = _Texts(named, known, bits, parts)
+    facts = _Texts(named, known, bits, parts, alive)
 
     #: The share of a content's shingles that met others, the greatest first; then the key.
     rank = F.floor((1 - F.col("met") / F.greatest("n", "met")) * 1023).cast("long") * (1 << 52) + F.col("key").bitwiseAND(F.lit((1 << 52) - 1))
-    post = c.keep(post.join(_small(alive.select("key", rank.alias("rank"))), "key"), "alive-entries")
-    stars = facts.linked(star_pairs(post, alive), alive, "stars")
+    post = c.keep(post.join(facts.near(alive.select("key", rank.alias("rank"))), "key"), "alive-entries")
+    stars = facts.linked(star_pairs(post, facts), "stars")
     tied = c.components(stars, "a", "b")
 
-    post = post.join(_small(tied), F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("label", "key").alias("cls"))
+    post = post.join(facts.near(tied), F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("label", "key").alias("cls"))
     live = post.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("many")).where("lo != hi").select("token", "many")
     live = c.keep(live, "live-tokens")
     live = c.keep(beside_hubs(post, live, "token", "many", live.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]), "live")
     wide = c.keep(live.where(F.col("many") > SMALL).groupBy("key").agg(F.count("*").alias("big")), "wide")
-    linked = facts.linked(list_pairs(live.where(F.col("many") <= SMALL), alive, wide), alive, "linked")
+    linked = facts.linked(list_pairs(live.where(F.col("many") <= SMALL), facts, wide), "linked")
     linked = linked.unionByName(stars)
-    dense = alive.join(_small(wide), "key").where("big >= asked")
+    dense = alive.join(facts.near(wide), "key").where("big >= asked")
     if dense.take(1):
         linked = linked.unionByName(_dense(live.where(F.col("many") > SMALL), dense, facts))
     classes = c.components(linked, "a", "b")
 
-    classes = _small(classes)
+    classes = facts.near(classes)
     rows = meta.join(classes, meta["key"] == classes["node"], "left").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "key").alias("cls"))
     least = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
     least = _small(c.keep(least, "least"))  # a class may hold a third of all rows; its one row here goes to them
@@ -513,16 +518,16 @@ def _dense(post: DataFrame, dense: DataFrame, facts: _Texts) -> DataFrame:
     The contents that such shingles tie are cut into blocks. A class of more than a block's documents has blocks of
     its own, which need not meet each other; the other classes share blocks by a hash of the class.
     """
-    post = post.join(_small(dense.select("key")), "key", "left_semi")
+    post = post.join(facts.near(dense.select("key")), "key", "left_semi")
     centres = post.groupBy("token").agg(F.min("key").alias("centre"))
     comps = c.components(post.join(centres, "token").where("key != centre").select("key", "centre").distinct(), "key", "centre")
     rows = dense.join(post.select("key", "cls").distinct(), "key").join(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key")
     rows = c.keep(rows.select("key", "doc_id", "n", "cls", "comp"), "dense")
     cuts = F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
     own = rows.groupBy("comp", "cls").agg(cuts.alias("own")).where("own > 1")
-    rows = rows.join(_small(own), ["comp", "cls"], "left")
+    rows = rows.join(facts.near(own), ["comp", "cls"], "left")
     rest = rows.where("own is null").groupBy("comp").agg(cuts.alias("rest"))
-    rows = rows.join(_small(rest), "comp", "left")
+    rows = rows.join(facts.near(rest), "comp", "left")
     blk = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("cls"), F.col("rest"))).otherwise(F.xxhash64("cls", F.pmod(F.xxhash64("key"), F.col("own"))))
     rows = c.keep(rows.select("key", "doc_id", "comp", blk.alias("blk"), F.when(F.col("own").isNotNull(), F.col("cls")).alias("whole")), "blocks")
     blocks = rows.groupBy("comp", "blk").agg(F.max("whole").alias("whole"))

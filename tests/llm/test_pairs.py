@@ -105,9 +105,9 @@ def test_shared_passages_give_few_pairs(spark, monkeypatch):
     seen = []
     linked = ngram_jaccard._Texts.linked
 
-    def counting(self, pairs, alive, name):
+    def counting(self, pairs, name):
         seen.append(pairs.count())
-        return linked(self, pairs, alive, name)
+        return linked(self, pairs, name)
 
     monkeypatch.setattr(ngram_jaccard._Texts, "linked", counting)
     monkeypatch.setattr(ngram_jaccard, "_dense", lambda *a: pytest.fail("no shingle here is in so many texts"))
