@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pelagraph.llm import language_id, mixing, ngram_jaccard, packing, quality_rules
 from pelagraph.llm.common import crc_mod, keep, table
+from pelagraph.storage import drop, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,15 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express compression, token ids or packing; tests compare the stages with brute force.
+#: SQL cannot express compression, token ids or packing; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as hold:  # what a stage has written on its way goes
+            after = hold(keep(stage(spark, docs, sf_dir), name))
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
