@@ -3,7 +3,8 @@
 Text and template are words (runs of letters and digits, lower-cased). A template can only be covered to
 the share c if its words that the text has at all make up c of it; texts that fail this go at once. In the
 others, among any ``(1 - c) * length + 1`` words of the template one must be matched, so the places of its
-rarest words in the text give every window that can hold it. A window is aligned: words unique to both
+rarest words in the text give every place where it can start. A match may drift from its start by a quarter of the template,
+and two words, to either side; a start close to one before it has its window within that one's. A window is aligned: words unique to both
 sides are anchors, the longest increasing subsequence of them is kept, the gaps between are aligned again,
 and equal words at a gap's ends are matched; a gap without such words is aligned by a longest common subsequence.
 The place itself, as long as the template, is aligned before the window around it, which may hold words of a
@@ -178,7 +179,7 @@ class Scanner:
                     continue
                 last = s
                 for more in (0, slack):
-                    lo, hi = max(0, s - more), min(len(tokens), s + len(t) + more)
+                    lo, hi = max(0, s - more), min(len(tokens), s + len(t) + more + (slack // 2 if more else 0))
                     held = Counter(tokens[lo:hi])
                     if sum(min(n, held[w]) for w, n in self.counts[name].items()) < self.least(name):
                         continue  # no alignment has more matches than that
