@@ -440,3 +440,67 @@ def test_url_filter_as_of(spark):
         assert {r.lists for r in got if r.blocked} == {"l", "m"}
     assert url_filter.judge(captures.limit(0), e).count() == 0
     assert not any(r.blocked for r in url_filter.judge(captures, e.limit(0)).collect())
+
+
+# ---------------------------------------------------------------- brute force
+def test_scanner_against_exact_alignment():
+    """Noisy templates amid other words: found if the exact longest common subsequence of the place covers enough, not found if that of
+    the whole text does not."""
+    s, r = license_scan.Scanner(), random.Random(11)
+    seen = Counter()
+    for name, t in s.templates.items():
+        for _ in range(25):
+            w, rate = [], r.choice([0.02, 0.1, 0.2, 0.3])
+            for x in t:
+                kind = r.random()
+                w += [x] if kind > rate else ["zz"] if kind > rate / 2 else [] if kind > rate / 4 else [x, "qq"]
+            text = " ".join(["lorem"] * 30 + w + ["ipsum"] * 30)
+            found = [m for m in s.find(text) if m.license == name]
+            whole = len(license_scan.common(license_scan.words(text), t))
+            if whole < s.least(name):
+                assert not found
+                seen["no"] += 1
+            else:
+                others = [m for m in s.find(text) if m.license != name]  # a longer template may hold a shorter one
+                assert found or others, (name, text)
+                assert all(s.least(name) <= m.matched <= whole for m in found)
+                seen["yes"] += 1
+    assert min(seen["yes"], seen["no"]) > 20
+
+
+def test_nnls_against_every_active_set():
+    r = np.random.default_rng(12)
+    for _ in range(40):
+        a, h = r.integers(0, 3, (6, 4)).astype(float), r.integers(0, 9, 6).astype(float)
+        best = float((h**2).sum())
+        for mask in range(1, 16):
+            at = [i for i in range(4) if mask >> i & 1]
+            x = np.linalg.lstsq(a[:, at], h, rcond=None)[0]
+            if x.min() >= -1e-9:
+                best = min(best, float(((a[:, at] @ x - h) ** 2).sum()))
+        x = packing.nnls(a, h)
+        assert x.min() >= 0 and float(((a @ x - h) ** 2).sum()) <= best + 1e-5
+
+
+def test_plans_are_partitions_near_the_optimum():
+    """Against the best of all partitions, by dynamic programming over subsets."""
+    r = np.random.default_rng(13)
+    for _ in range(25):
+        n = int(r.integers(1, 10))
+        lengths = r.integers(1, 65, n)
+        plan = packing.plan(lengths, 64, 4, 3)
+        assert sorted(i for p in plan for i in p) == list(range(n)) and all(lengths[p].sum() <= 64 for p in plan)
+        need = [(0, 0)] + [(99, 0)] * ((1 << n) - 1)  # (sequences, room used in the last)
+        for m in range(1, 1 << n):
+            for i in range(n):
+                if m >> i & 1:
+                    count, used = need[m ^ (1 << i)]
+                    need[m] = min(need[m], (count, used + lengths[i]) if count and used + lengths[i] <= 64 else (count + 1, int(lengths[i])))
+        assert len(plan) <= need[-1][0] + 1
+
+
+def test_very_long_urls(spark):
+    d = datetime.date(2024, 1, 1)
+    url = "http://site.org/" + "/".join(f"p{i}" for i in range(20_000))
+    got = url_filter.judge(spark.createDataFrame([(1, url, d), (2, url + "/x", d)], "page_id long, url string, fetched_at date"), spark.createDataFrame([("l", "site.org/p0/p1", "add", d), ("m", "site.org/p1", "add", d)], "list string, pattern string, action string, at date"))
+    assert {r.lists for r in got.collect()} == {"l"}
