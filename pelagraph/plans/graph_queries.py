@@ -37,11 +37,14 @@ def pagerank_sql(edges: str, vertices: str, rounds: int) -> str:
 
 
 _WCC = f"WITH RECURSIVE {TRADE}, r AS (SELECT id AS x, id AS y FROM v UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS id, min(y) AS component_id FROM r GROUP BY 1"
+#: Every vertex takes its neighbours' least label.
+_LEAST = _chain("SELECT id, id AS l FROM v", "SELECT o.id, least(o.l, coalesce(m.l, o.l)) AS l FROM {r} o LEFT JOIN (SELECT u.x, min(q.l) AS l FROM u JOIN {r} q ON q.id = u.y GROUP BY 1) m ON m.x = o.id", 15)
 #: A vertex's core number falls to the greatest h such that h neighbours have h or more, until none changes.
+_CORE_ROUNDS = 60
 _CORE = _chain(
     "SELECT id, count(y) AS c FROM v LEFT JOIN u ON u.x = id GROUP BY 1",
     "SELECT o.id, least(o.c, coalesce(h.h, o.c)) AS c FROM {r} o LEFT JOIN (SELECT x, max(least(c, upto)) AS h FROM (SELECT u.x, n.c, count(*) OVER (PARTITION BY u.x ORDER BY n.c DESC) AS upto FROM u JOIN {r} n ON u.y = n.id) GROUP BY 1) h ON h.x = o.id",
-    25,
+    _CORE_ROUNDS,
 )
 _LABELS = _chain(
     "SELECT id, id AS l FROM v",
@@ -54,9 +57,20 @@ w AS (SELECT x AS k, 0 AS d FROM c WHERE x = root UNION SELECT u.y, d + 1 FROM w
 SELECT min(p.k) AS src_id, q.k AS dst_id FROM b q JOIN u ON u.y = q.k JOIN b p ON p.k = u.x AND p.d = q.d - 1 GROUP BY q.k"""
 
 
+def _whole_table(text: Callable[..., None], edges: str) -> None:
+    """The same over the whole co-ordering graph; its diameter and its rounds to the last core number are far below the SQL's."""
+    base = f"{edges}, v AS (SELECT p_partkey AS id FROM part), u AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e)"
+    text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", f"{base}, {_LEAST} SELECT id AS node, l AS component_id FROM r15")
+    text("algo_kcore", "CALL kcore('CO_ORDERED') YIELD node, core_number RETURN node, core_number", f"{base}, {_CORE} SELECT id AS node, c AS core_number FROM r{_CORE_ROUNDS}")
+    text("algo_louvain", "CALL louvain('CO_ORDERED') YIELD node, community_id RETURN node, community_id", f"{base}, {_LABELS} SELECT id AS node, dense_rank() OVER (ORDER BY l) - 1 AS community_id FROM r{ROUNDS}")
+    text("algo_spanning_forest", "CALL spanning_forest('CO_ORDERED') YIELD src_id, dst_id RETURN src_id, dst_id",
+         f"{base}, {_LEAST}, w AS (SELECT id AS k, 0 AS d FROM r15 WHERE id = l UNION SELECT u.y, d + 1 FROM w JOIN u ON w.k = u.x WHERE d < 12), b AS (SELECT k, min(d) AS d FROM w GROUP BY 1) SELECT min(p.k) AS src_id, q.k AS dst_id FROM b q JOIN u ON u.y = q.k JOIN b p ON p.k = u.x AND p.d = q.d - 1 GROUP BY q.k")
+
+
 def register(text: Callable[..., None], code: Callable[..., Callable], edges: str) -> None:
+    _whole_table(text, edges)
     code("algo_wcc_trade", _WCC)(lambda g: alg.wcc(trade(g)))
-    code("algo_kcore_trade", f"WITH {TRADE}, {_CORE} SELECT id, c AS core_number FROM r25")(lambda g: alg.kcore(trade(g)))
+    code("algo_kcore_trade", f"WITH {TRADE}, {_CORE} SELECT id, c AS core_number FROM r{_CORE_ROUNDS}")(lambda g: alg.kcore(trade(g)))
     code("algo_louvain_trade", f"WITH {TRADE}, {_LABELS} SELECT id, dense_rank() OVER (ORDER BY l) - 1 AS community_id FROM r{ROUNDS}")(lambda g: alg.label_propagation(trade(g), ROUNDS))
     code("algo_spanning_forest_trade", _FOREST)(lambda g: alg.spanning_forest(trade(g)))
     code("algo_pagerank_trade", pagerank_sql(f"WITH {TRADE}", "SELECT id FROM v", 20))(lambda g: alg.pagerank(trade(g), tolerance=0.0).select(F.col("id").alias("node"), F.round("rank", 9).alias("rank")))

@@ -208,7 +208,6 @@ session_queries.register(with_folder)
 
 # ---------------------------------------------------------------- algorithms
 _BOTH = f"{_EDGES}, u AS (SELECT x, y FROM e UNION SELECT y, x FROM e)"
-text("algo_wcc", "CALL wcc('CO_ORDERED') YIELD node, component_id RETURN node, component_id", None)
 text("algo_sssp", "CALL sssp('CO_ORDERED', 1) YIELD node, distance RETURN node, distance", f"{_EDGES}, w AS (SELECT 1::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 12) SELECT p_partkey AS node, min(d)::DOUBLE AS distance FROM part LEFT JOIN w ON w.node = p_partkey GROUP BY 1")
 text("algo_sssp_both", "CALL sssp('CO_ORDERED', 5, 'BOTH') YIELD node, distance WHERE distance IS NOT NULL AND distance < 3 RETURN node, distance", f"{_BOTH}, w AS (SELECT 5::BIGINT AS node, 0 AS d UNION SELECT u.y, d + 1 FROM w JOIN u ON w.node = u.x WHERE d < 2) SELECT node, min(d)::DOUBLE AS distance FROM w GROUP BY 1")
 text("algo_k_hop", "CALL k_hop('CO_ORDERED', 2, 2) YIELD node, hops RETURN node, hops", f"{_EDGES}, w AS (SELECT 2::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 2) SELECT node, min(d)::BIGINT AS hops FROM w GROUP BY 1 HAVING min(d) > 0")
@@ -222,9 +221,6 @@ r1 AS (SELECT r0.id, 0.15 / n + 0.85 * (coalesce(g1.s, 0) + k1.s / n) AS r FROM
 g2 AS (SELECT e.y AS id, sum(r / d) AS s FROM r1 JOIN e ON r1.id = e.x JOIN deg ON deg.x = e.x GROUP BY 1), k2 AS (SELECT sum(r) AS s FROM r1 WHERE id NOT IN (SELECT x FROM deg))
 SELECT r1.id AS node, 0.15 / n + 0.85 * (coalesce(g2.s, 0) + k2.s / n) AS rank FROM r1 LEFT JOIN g2 ON r1.id = g2.id, n, k2""")
 graph_queries.register(text, code, _EDGES)
-text("algo_kcore", "CALL kcore('CO_ORDERED') YIELD node, core_number RETURN node, core_number")
-text("algo_louvain", "CALL louvain('CO_ORDERED') YIELD node, community_id RETURN node, community_id")
-text("algo_spanning_forest", "CALL spanning_forest('CO_ORDERED') YIELD src_id, dst_id RETURN src_id, dst_id")
 text("algo_sssp_paths", "CALL sssp_paths('CO_ORDERED', 40) YIELD node, distance, length RETURN node, distance, length", f"{_EDGES}, w AS (SELECT 40::BIGINT AS node, 0 AS d UNION SELECT e.y, d + 1 FROM w JOIN e ON w.node = e.x WHERE d < 12) SELECT node, min(d)::DOUBLE AS distance, min(d)::BIGINT AS length FROM w GROUP BY 1")
 
 
