@@ -518,9 +518,9 @@ def _dense(post: DataFrame, dense: DataFrame, facts: _Texts) -> DataFrame:
     The contents that such shingles tie are cut into blocks. A class of more than a block's documents has blocks of
     its own, which need not meet each other; the other classes share blocks by a hash of the class.
     """
-    post = post.join(facts.near(dense.select("key")), "key", "left_semi")
-    centres = post.groupBy("token").agg(F.min("key").alias("centre"))
-    comps = c.components(post.join(centres, "token").where("key != centre").select("key", "centre").distinct(), "key", "centre")
+    post = c.keep(post.select("token", "key", "cls").join(facts.near(dense.select("key")), "key", "left_semi"), "dense-entries")
+    centres = c.keep(post.groupBy("token").agg(F.min("key").alias("centre"), F.count("*").alias("many")), "dense-centres")
+    comps = c.components(beside_hubs(post, centres, "token", "many", post.count()).where("key != centre").select("key", "centre").distinct(), "key", "centre")
     rows = dense.join(post.select("key", "cls").distinct(), "key").join(comps.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key")
     rows = c.keep(rows.select("key", "doc_id", "n", "cls", "comp"), "dense")
     cuts = F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
