@@ -92,7 +92,7 @@ text("call_correlated", "MATCH (n:Nation) CALL { WITH n MATCH (c:Customer)-[:IN_
 # ---------------------------------------------------------------- patterns and joins
 text("expand_out", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n, r.r_name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 text("expand_in", "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WHERE r.r_name = 'ASIA' RETURN n.n_name AS n", "SELECT n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-text("expand_undirected", "MATCH (a:Part {p_partkey: 7})-[:CO_ORDERED]-(b:Part) RETURN b.p_partkey AS k", "WITH s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) SELECT y AS k FROM e WHERE x = 7 UNION ALL SELECT x FROM e WHERE y = 7")
+text("expand_undirected", "MATCH (a:Part)-[:CO_ORDERED]-(b:Part) RETURN a.p_partkey AS k, count(*) AS n, sum(b.p_size) AS s", "WITH s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey), u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) SELECT x AS k, count(*) AS n, sum(p_size)::DOUBLE AS s FROM u JOIN part ON p_partkey = y GROUP BY 1")
 text("expand_multi_type", "MATCH (o:Order)-[r:HAS_PART|SOLD_BY]->(x) RETURN type(r) AS t, count(*) AS n", "SELECT 'HAS_PART' AS t, count(*) AS n FROM lineitem UNION ALL SELECT 'SOLD_BY', count(*) FROM lineitem")
 text("expand_multi_pair", "MATCH (a)-[:IN_NATION]->(n:Nation) RETURN label(a) AS l, n.n_name AS n, count(*) AS c", "SELECT 'Customer' AS l, n_name AS n, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 UNION ALL SELECT 'Supplier', n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 2")
 text("expand_edge_properties", "MATCH (o:Order)-[h:HAS_PART {l_returnflag: 'R'}]->(p:Part) WHERE h.l_quantity > 48 RETURN p.p_brand AS b, count(*) AS n, sum(h.l_extendedprice * (1 - h.l_discount)) AS revenue", "SELECT p_brand AS b, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1")
@@ -106,7 +106,7 @@ text("optional_chain_count", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-
 _EDGES = "WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM s a JOIN s b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey)"
 text("recursive_bounded", "MATCH (a:Part {p_partkey: 1})-[:CO_ORDERED*1..3]->(b:Part) RETURN b.p_partkey AS k, count(*) AS paths", f"{_EDGES}, w AS (SELECT y, 1 AS d FROM e WHERE x = 1 UNION ALL SELECT e.y, d + 1 FROM w JOIN e ON w.y = e.x WHERE d < 3) SELECT y AS k, count(*) AS paths FROM w GROUP BY 1")
 text("recursive_per_hop", "MATCH (a:Part {p_partkey: 2})-[:CO_ORDERED*1..2 (r, n | WHERE n.p_size > 25)]->(b:Part) RETURN b.p_partkey AS k, count(*) AS paths", f"{_EDGES}, f AS (SELECT x, y FROM e JOIN part ON p_partkey = y WHERE p_size > 25), w AS (SELECT y, 1 AS d FROM f WHERE x = 2 UNION ALL SELECT f.y, d + 1 FROM w JOIN f ON w.y = f.x WHERE d < 2) SELECT y AS k, count(*) AS paths FROM w GROUP BY 1")
-text("recursive_zero_hops", "MATCH (a:Part {p_partkey: 3})-[r:CO_ORDERED*0..1]->(b:Part) RETURN b.p_partkey AS k, length(r) AS hops", f"{_EDGES} SELECT 3::BIGINT AS k, 0::BIGINT AS hops UNION ALL SELECT y, 1 FROM e WHERE x = 3")
+text("recursive_zero_hops", "MATCH (a:Part)-[r:CO_ORDERED*0..1]->(b:Part) RETURN length(r) AS hops, count(*) AS n, sum(b.p_size) AS s", f"{_EDGES} SELECT 0::BIGINT AS hops, count(*) AS n, sum(p_size)::DOUBLE AS s FROM part UNION ALL SELECT 1, count(*), sum(p_size) FROM e JOIN part ON p_partkey = y")
 text("path_value", "MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) RETURN length(p) AS l, nodes(p)[1] AS a, nodes(p)[2] AS b, size(rels(p)) AS r, is_acyclic(p) AS acyclic", "SELECT 1::BIGINT AS l, n_nationkey::VARCHAR AS a, n_regionkey::VARCHAR AS b, 1::BIGINT AS r, n_nationkey <> n_regionkey AS acyclic FROM nation")
 text("path_recursive", "MATCH p = (a:Part {p_partkey: 50})-[:CO_ORDERED*1..2]->(b:Part) RETURN b.p_partkey AS k, length(p) AS l, is_trail(p) AS t", f"{_EDGES}, w AS (SELECT y, 1 AS d FROM e WHERE x = 50 UNION ALL SELECT e.y, d + 1 FROM w JOIN e ON w.y = e.x WHERE d < 2) SELECT y AS k, d::BIGINT AS l, true AS t FROM w")
 
