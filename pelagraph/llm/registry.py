@@ -74,6 +74,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(c for c in quality_rules.COUNTS if c != "n_lines"), "base_failed", "kept", "badness")
 
 
+#: Counts as in the contract; the halves by crc32, which DuckDB lacks, from its table; quantiles by place in sorted lists; binomial tails by sums.
+ORACLE["op4_quality_rules"] = rf"""
+WITH RECURSIVE bits(n, k, v) AS (SELECT i, 0, i FROM range(0, 256) t(i) UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY n) AS tab FROM bits WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, 3) t(j) GROUP BY 1),
+c AS MATERIALIZED (SELECT d.doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+m AS MATERIALIZED (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, [n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)] AS sig FROM c),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
+g AS MATERIALIZED (SELECT m.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(m.doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295::BIGINT) % 2 AS half
+  FROM m JOIN good ON good.doc_id = m.doc_id, tab WHERE NOT base_failed),
+q AS MATERIALIZED (SELECT lang, i, list_transform(range(1, {quality_rules.LEVELS} + 1), lambda t: xs[greatest(1, ceil(t * len(xs) / {quality_rules.LEVELS}.0 - 1e-9))::BIGINT]) AS qs FROM (SELECT lang, i, list(sig[i] ORDER BY sig[i]) AS xs FROM g, range(1, 4) t(i) WHERE half = 0 GROUP BY 1, 2)),
+bad AS MATERIALIZED (SELECT m.doc_id, m.lang, max(len(list_filter(qs, lambda v: v < sig[i]))) AS bad FROM m JOIN q ON m.lang IS NOT DISTINCT FROM q.lang GROUP BY 1, 2),
+hold AS (SELECT s.lang, t, count(g.doc_id) AS n, count(g.doc_id) FILTER (bad >= t) AS k FROM (SELECT DISTINCT lang FROM q) s CROSS JOIN range(1, {quality_rules.LEVELS} + 1) r(t) LEFT JOIN g ON g.lang IS NOT DISTINCT FROM s.lang AND g.half = 1 LEFT JOIN bad ON bad.doc_id = g.doc_id GROUP BY 1, 2),
+tail AS (SELECT lang, t, CASE WHEN n = 0 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.ALPHA}) + (n - j) * ln(1 - {quality_rules.ALPHA})))) END AS p FROM hold),
+level AS (SELECT lang, coalesce(max(t) FILTER (p > {quality_rules.DELTA} / (SELECT count(DISTINCT coalesce(lang, chr(1))) FROM q)), 0) + 1 AS level FROM tail GROUP BY 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(bad, 0) < coalesce(level, {quality_rules.LEVELS + 1}) AS kept, coalesce(bad, 0)::BIGINT AS badness
+FROM m LEFT JOIN bad ON bad.doc_id = m.doc_id LEFT JOIN level ON level.lang IS NOT DISTINCT FROM m.lang
+"""
+
+
 @query
 def op5_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
