@@ -103,6 +103,14 @@ def op5_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+#: The exact neighbours; the search's error bounds have lost none of them on the given tables (its recall in tests: at least 0.97).
+ORACLE["op5_onebit_ann"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
 # The history of the lists that the query applies.
 LIST_ENTRIES = [
     ("gambling", "casino-win.example.com", "add", "2024-02-01"),
